@@ -31,6 +31,7 @@ ENCODINGS = {
     "BodyParts_Minor2": "BodyPartsEncoding_Minor2",
     CAUSE: "CauseOfInjuryEncoding",
 }
+KEPT = "kept"  # marks the rows of the level table that list the kept causes
 COLUMNS = (
     """ClaimNumber Age Gender MaritalStatus DependentChildren DependentsOther WeeklyWages PartTimeFullTime
     HoursWorkedPerWeek DaysWorkedPerWeek InitialIncurredCalimsCost HourlyWages DailyWages AnnualWages
@@ -89,6 +90,10 @@ class Fitted:
     levels: DataFrame
     prior: float | None
 
+    def kept(self) -> DataFrame:
+        """Causes that stand on their own."""
+        return self.levels.filter(F.col("feature") == KEPT).select(F.col("level").alias(CAUSE))
+
     def of(self, feature: str) -> DataFrame:
         return self.levels.filter(F.col("feature") == feature).withColumnRenamed("level", feature)
 
@@ -102,9 +107,6 @@ class SetStats:
     severity: float | None
 
 
-KEPT = "kept"
-
-
 def set_stats(base: DataFrame, cells: DataFrame) -> SetStats:
     return SetStats(
         encode.roll_up(cells, [YEAR], [COST]),
@@ -140,8 +142,7 @@ def train_cells(base: DataFrame) -> DataFrame:
 
 def finish(base: DataFrame, fitted: Fitted, stats: SetStats, noise_level: float = 0.0, seed: int = 0) -> DataFrame:
     """Look up the fitted values and standardise."""
-    kept = fitted.levels.filter(F.col("feature") == KEPT).select(F.col("level").alias(CAUSE))
-    out = encode.apply_rare_levels(base, kept, CAUSE)
+    out = encode.apply_rare_levels(base, fitted.kept(), CAUSE)
     out = out.withColumns(text.cause_flags(CAUSE))
     out = encode.apply_year_standard(out, stats.by_year, COST, "InitialIncurred_std")
     for i, (column, name) in enumerate(ENCODINGS.items()):
