@@ -112,8 +112,7 @@ def collapse(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Whitespace tokens; a blank text has none."""
-    clean = collapse(text)
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return F.array_remove(F.split(text, WHITE), "")
 
 
 def _has(text: Column, word: str) -> Column:
@@ -158,7 +157,7 @@ def body_parts(df: DataFrame, column: str = "ClaimDescription") -> DataFrame:
     place = F.transform(listed, lambda w: F.struct(F.array_position(_texts(words), w).alias("at"), w.alias("word")))
     return (
         df.withColumn("__tokens", tokens(text))
-        .withColumn("__found", F.array_sort(place))
+        .withColumn("__found", F.sort_array(place))
         .withColumns(
             {
                 "BodyParts": F.coalesce(part(0), fallback),
@@ -218,7 +217,8 @@ def capitalise(text: Column) -> Column:
 
 
 def to_base64(text: Column) -> Column:
-    return F.base64(F.encode(text, "UTF-8"))
+    """Base64 of the UTF-8 bytes in one line, whether or not the session cuts such lines."""
+    return F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit(""))
 
 
 def fill_template(template: str, values: Mapping[str, Column]) -> Column:

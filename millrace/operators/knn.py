@@ -9,7 +9,7 @@ as a grid of vector blocks and question blocks, each of bounded size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,14 @@ def mean_vector(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(vector_to_array(mean).alias(vector))
 
 
-def top_k_single(vectors: DataFrame, question: DataFrame, k: int = 3, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Top k for one question (a one-row table with the vector): project and take.
+def top_k_single(
+    vectors: DataFrame, question: Sequence[float], k: int = 3, id_col: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
+    """Top k for one question vector: project and take.
 
     Runs in the JVM: each task keeps its best k, the driver merges those.
     """
-    asked = question.select(F.col(vector)).scalar()
+    asked = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in question) + ")")
     return (
         vectors.select(F.col(id_col), dot(F.col(vector), asked).alias("score"))
         .filter("score is not null")

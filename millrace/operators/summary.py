@@ -5,64 +5,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import settle
+
 WORD = r"[\p{L}\p{N}]+"
-SALTS = 32
+HOT_SHARE = 1_000
 
 
 def document_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line_no, word, n): how often each word stands in each line.
+    """(doc, total, word, n, places): each word of a document once, with its lines.
 
-    Texts are spread by document id first, while they are compact. All later
-    groupings that contain the document id keep that layout and need no
-    further shuffle.
+    ``total`` counts all words of the document, ``places`` tells how often the
+    word stands in which line. Texts are spread by document id first, while
+    they are compact; both groupings contain the id and need no other shuffle.
     """
-    lines = documents.select(doc_id, text).repartition(doc_id).select(doc_id, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = (
+        documents.select(doc_id, text)
+        .repartition(doc_id)
+        .select(
+            doc_id,
+            F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("total"),
+            F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
+        )
+    )
     words = lines.select(
-        doc_id, "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("word")
+        doc_id, "total", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("word")
+    )
+    return (
+        words.groupBy(doc_id, "total", "word", "line_no")
+        .agg(F.count("*").alias("k"))
+        .groupBy(doc_id, "total", "word")
+        .agg(F.sum("k").alias("n"), F.collect_list(F.struct("line_no", "k")).alias("places"))
     )
-    return words.groupBy(doc_id, "line_no", "word").agg(F.count("*").alias("n"))
 
 
-def document_frequency(words: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Number of documents per word (partial counts first, so common words stay small)."""
-    return words.select(doc_id, "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+def document_frequency(words: DataFrame) -> DataFrame:
+    """Number of documents per word; a word has one row per document already."""
+    return words.groupBy("word").agg(F.count("*").alias("df"))
 
 
-def line_scores(words: DataFrame, n_documents: int, doc_id: str = "doc_id", salts: int = SALTS) -> DataFrame:
-    """Mean TF-IDF per line.
+def with_frequency(words: DataFrame, frequency: DataFrame, n_documents: int) -> DataFrame:
+    """Join each word of a document with its document frequency.
+
+    The vocabulary grows with the data, so it is joined by shuffle, but without
+    its common words, which would be hot keys. Words in at least one of
+    ``HOT_SHARE`` documents number at most ``HOT_SHARE`` times the mean count
+    of distinct words per document, however many documents there are; these
+    are broadcast. No key of the shuffled join has more rows than that share.
+    """
+    least = max(n_documents // HOT_SHARE, HOT_SHARE)
+    hot = frequency.filter(F.col("df") >= least)
+    cold = frequency.filter(F.col("df") < least)
+    looked_up = words.join(F.broadcast(hot), "word", "left")
+    common = looked_up.filter("df is not null")
+    others = looked_up.filter("df is null").drop("df").join(cold, "word")
+    return common.unionByName(others)
+
+
+def line_scores(words: DataFrame, n_documents: int, doc_id: str = "doc_id") -> DataFrame:
+    """Mean TF-IDF of the words of each line.
 
     tf is the share of a word in its document, idf is ln((1 + N) / (1 + df)).
-    The vocabulary grows with the data and is never broadcast by hint. A word
-    that stands in most documents would be one hot join key, so each word's
-    frequency is kept once per salt and the documents are spread over the salts.
     """
-    per_doc = Window.partitionBy(doc_id)
-    per_word = Window.partitionBy(doc_id, "word")
-    weighted = words.withColumn("tf", F.sum("n").over(per_word) / F.sum("n").over(per_doc)).withColumn(
-        "salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")
-    )
-    idf = document_frequency(words, doc_id).select(
-        F.col("word").alias("__word"),
-        F.log((1 + F.lit(n_documents)) / (1 + F.col("df"))).alias("idf"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
-    )
-    scored = weighted.join(idf, (F.col("word") == F.col("__word")) & (F.col("salt") == F.col("__salt")))
-    mean = F.sum(F.col("n") * F.col("tf") * F.col("idf")) / F.sum("n")
+    weight = F.col("n") / F.col("total") * F.log((1 + F.lit(n_documents)) / (1 + F.col("df")))
+    frequency = settle(document_frequency(words), "word-frequency")
+    weighted = with_frequency(words, frequency, n_documents).select(doc_id, weight.alias("w"), F.inline("places"))
+    mean = F.sum(F.col("k") * F.col("w")) / F.sum("k")
     # rounded so that equal lines tie whatever the order of summation
-    return scored.groupBy(doc_id, "line_no").agg(F.round(mean, 9).alias("score"))
+    return weighted.groupBy(doc_id, "line_no").agg(F.round(mean, 9).alias("score"))
 
 
 def extractive_summary(
-    documents: DataFrame, words: DataFrame, n_documents: int, n_lines: int = 10, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame, n_lines: int = 10, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per document its ``n_lines`` best lines, in text order, as bullet points.
 
     Only line numbers and scores are ranked; the chosen lines are then cut
     from the text by number. A document without words gets no summary.
     """
+    words = settle(document_words(documents, doc_id, text), "document-words")
     best = Window.partitionBy(doc_id).orderBy(F.desc("score"), "line_no")
     chosen = (
-        line_scores(words, n_documents, doc_id)
+        line_scores(words, documents.count(), doc_id)
         .withColumn("place", F.row_number().over(best))
         .filter(F.col("place") <= n_lines)
         .groupBy(doc_id)

@@ -580,15 +580,13 @@ def text_classify(spark, folder):
     labelled = documents.join(tables.table(spark, folder, "labels"), "doc_id").select(
         "text", F.col("quality").cast("double").alias("label")
     )
-    model = models.fit_text_classifier(settle(labelled, "labelled"))
+    model = models.fit_text_classifier(settle(labelled.hint("rebalance"), "labelled"))
     return rounded(models.classify(documents.select("doc_id", "text"), model, "doc_id"), 4)
 
 
 @query
 def extractive_summary(spark, folder):
-    documents = tables.table(spark, folder, "documents")
-    words = settle(summary.document_words(documents), "words")
-    return summary.extractive_summary(documents, words, documents.count())
+    return summary.extractive_summary(tables.table(spark, folder, "documents"))
 
 
 # -- vectors, context, conversations ------------------------------------------------------
@@ -598,7 +596,7 @@ def extractive_summary(spark, folder):
 def knn_single(spark, folder):
     """Nearest vectors to one question: the mean of all stored vectors."""
     stored = tables.table(spark, folder, "embeddings")
-    question = settle(knn.mean_vector(stored, "embedding"), "question")
+    question = knn.mean_vector(stored, "embedding").first().embedding
     return rounded(knn.top_k_single(stored, question, 3))
 
 

@@ -15,8 +15,12 @@ from millrace.operators.glm import score
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, schema, max_files: int = 1_000) -> DataFrame:
-    """Files of one table as they arrive (a single file or a folder of parts)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{folder}/{name}.parquet")
+    """Files of one table as they arrive (a folder of parts, or a single file)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def score_stream(
