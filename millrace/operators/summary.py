@@ -12,45 +12,43 @@ HOT_SHARE = 1_000
 
 
 def document_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, total, word, n, places): each word of a document once, with its lines.
+    """(doc, total, word, line_no, k, n, first): the words of each line.
 
-    ``total`` counts all words of the document, ``places`` tells how often the
-    word stands in which line. Texts are spread by document id first, while
-    they are compact; both groupings contain the id and need no other shuffle.
+    ``k`` counts a word in its line, ``n`` in its document, ``total`` all words
+    of the document; ``first`` marks one row per document and word. Texts are
+    spread by document id first, while they are compact; the grouping and the
+    window contain the id and need no other shuffle.
     """
-    lines = (
+    counted = (
         documents.select(doc_id, text)
         .repartition(doc_id)
-        .select(
-            doc_id,
-            F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("total"),
-            F.posexplode(F.split(text, "\n")).alias("line_no", "line"),
-        )
+        .select(doc_id, text, F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("total"))
     )
+    lines = counted.select(doc_id, "total", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     words = lines.select(
         doc_id, "total", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("word")
     )
+    same = Window.partitionBy(doc_id, "word")
     return (
         words.groupBy(doc_id, "total", "word", "line_no")
         .agg(F.count("*").alias("k"))
-        .groupBy(doc_id, "total", "word")
-        .agg(F.sum("k").alias("n"), F.collect_list(F.struct("line_no", "k")).alias("places"))
+        .withColumns({"n": F.sum("k").over(same), "first": F.col("line_no") == F.min("line_no").over(same)})
     )
 
 
 def document_frequency(words: DataFrame) -> DataFrame:
-    """Number of documents per word; a word has one row per document already."""
-    return words.groupBy("word").agg(F.count("*").alias("df"))
+    """Number of documents per word."""
+    return words.groupBy("word").agg(F.count_if("first").alias("df"))
 
 
 def with_frequency(words: DataFrame, frequency: DataFrame, n_documents: int) -> DataFrame:
-    """Join each word of a document with its document frequency.
+    """Join the words of documents with their document frequency.
 
     The vocabulary grows with the data, so it is joined by shuffle, but without
     its common words, which would be hot keys. Words in at least one of
     ``HOT_SHARE`` documents number at most ``HOT_SHARE`` times the mean count
     of distinct words per document, however many documents there are; these
-    are broadcast. No key of the shuffled join has more rows than that share.
+    are broadcast. The keys of the shuffled join stand in fewer documents.
     """
     least = max(n_documents // HOT_SHARE, HOT_SHARE)
     hot = frequency.filter(F.col("df") >= least)
@@ -68,7 +66,7 @@ def line_scores(words: DataFrame, n_documents: int, doc_id: str = "doc_id") -> D
     """
     weight = F.col("n") / F.col("total") * F.log((1 + F.lit(n_documents)) / (1 + F.col("df")))
     frequency = settle(document_frequency(words), "word-frequency")
-    weighted = with_frequency(words, frequency, n_documents).select(doc_id, weight.alias("w"), F.inline("places"))
+    weighted = with_frequency(words, frequency, n_documents).select(doc_id, "line_no", "k", weight.alias("w"))
     mean = F.sum(F.col("k") * F.col("w")) / F.sum("k")
     # rounded so that equal lines tie whatever the order of summation
     return weighted.groupBy(doc_id, "line_no").agg(F.round(mean, 9).alias("score"))
