@@ -21,11 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV with a header and a declared schema; nothing is inferred."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header and a declared schema; nothing is inferred.
+
+    ``multi_line`` is for quoted texts with line breaks; such files cannot be split.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
@@ -129,13 +134,14 @@ def run_sql(
 def create_table_as(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Create or replace a table from a query, and return the stored table.
 
-    The new table's files go to a fresh folder, so a query that reads the old
-    version of the table it replaces still sees whole data while it runs.
+    The rows are written in full to a fresh folder before the name is turned
+    to them, so the query may read the table that it replaces.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").format("parquet").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    df.write.parquet(path)
+    spark.sql(f"drop table if exists {name}")
+    return spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
 
 
 def promote(df: DataFrame, name: str) -> DataFrame:
