@@ -102,7 +102,7 @@ def column_roles(df: DataFrame, not_binned: Sequence[str], max_levels: int = 25)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     levels: dict[str, int] = {}
     if texts:
-        rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in texts]).first()
+        rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in texts]).first()
         few = [c for c in texts if rough[c] <= 4 * max_levels]
         if few:
             levels = df.agg(*[F.count_distinct(c).alias(c) for c in few]).first().asDict()

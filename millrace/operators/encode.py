@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 CENTRED = [
     "Age",
@@ -40,27 +39,39 @@ def moments(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(*aggs)
 
 
-def roll_up(cells: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Moments of coarser groups from moments of finer ones.
+def roll_up(cells: DataFrame, keys: Sequence[str], measures: Sequence[str], spread: bool = True) -> DataFrame:
+    """Moments of coarser groups from moments of finer ones; ``spread`` asks for the css too.
 
     The corrected sum of squares is the part within the fine groups plus the
     part between them, both sums of squares of deviations, so nothing cancels.
+    It takes the coarse means first: numbers when there is one group, else a
+    broadcast of one row per coarse group (years, levels of a word list).
     """
-    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    means = {}
-    for m in measures:
-        n, mean = F.col(f"{m}__n"), F.col(f"{m}__mean")
-        means[f"{m}__all"] = F.try_divide(F.sum(n * mean).over(over), F.sum(n).over(over))
-    centred = cells.withColumns(means) if means else cells
-    aggs = [F.sum("n").alias("n")]
+
+    def part(m: str, name: str) -> Column:
+        return F.col(f"{m}__{name}")
+
+    counts = [F.sum("n").alias("n"), *[F.sum(part(m, "n")).alias(f"{m}__n") for m in measures]]
+    means = [
+        F.try_divide(F.sum(part(m, "n") * part(m, "mean")), F.sum(part(m, "n"))).alias(f"{m}__mean") for m in measures
+    ]
+    sums = cells.groupBy(*keys).agg(*counts, *means)
+    if not spread or not measures:
+        return sums
+    if keys:
+        coarse = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], *[part(m, "mean").alias(f"{m}__all") for m in measures])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        based = cells.join(F.broadcast(coarse), same)
+    else:
+        overall = sums.first()
+        based = cells.withColumns({f"{m}__all": F.lit(overall[f"{m}__mean"]).cast("double") for m in measures})
+    aggs = list(counts)
     for m in measures:
-        n, mean, every = (F.col(f"{m}__{part}") for part in ("n", "mean", "all"))
-        aggs += [
-            F.sum(n).alias(f"{m}__n"),
-            F.max(every).alias(f"{m}__mean"),
-            F.sum(F.col(f"{m}__css") + n * (mean - every) * (mean - every)).alias(f"{m}__css"),
-        ]
-    return centred.groupBy(*keys).agg(*aggs)
+        off = part(m, "mean") - part(m, "all")
+        aggs += [F.max(part(m, "all")).alias(f"{m}__mean"), F.sum(part(m, "css") + part(m, "n") * off * off).alias(f"{m}__css")]
+    return based.groupBy(*keys).agg(*aggs)
 
 
 def std_pop(measure: str) -> Column:

@@ -19,26 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators.encode import moments, roll_up
+from millrace.operators.encode import moments
 from millrace.session import settle
 
 INTERCEPT = "Intercept"
-MAX_PARAMETERS = 5_000
+MAX_PARAMETERS = 2_000
 STOP_HORIZON = 3
 
 
 def level_cells(df: DataFrame, effects: Sequence[str], response: str) -> DataFrame:
     """One row per combination of levels: rows read, rows used, mean and css of the response.
 
-    The only pass over the table; the result is stored, since several small
-    aggregates follow.
+    The only pass over the table, aggregated map-side first.
     """
-    return settle(moments(df, effects, [response]), "glm-cells")
-
-
-def used_cells(cells: DataFrame, effects: Sequence[str], response: str) -> DataFrame:
-    """Drop what a fit leaves out: rows without a response or without a class level."""
-    return cells.filter(F.col(f"{response}__n") > 0).dropna(subset=list(effects))
+    return moments(df, effects, [response])
 
 
 def class_levels(cells: DataFrame, effects: Sequence[str], response: str) -> DataFrame:
@@ -58,22 +52,34 @@ def cross_products(cells: DataFrame, effects: Sequence[str], response: str) -> D
     """Counts and response sums overall, per level, and per pair of levels.
 
     ``set_id`` is the grouping id: bit set = effect not in the grouping, which
-    tells a missing level from an effect that was summed over.
+    tells a missing level from an effect that was summed over. Rows without a
+    response or without a class level are read but not used.
     """
     sets = [s for size in (0, 1, 2) for s in itertools.combinations(effects, size)]
-    n, mean, css = (F.col(f"{response}__{part}") for part in ("n", "mean", "css"))
+    used_n, mean, css = F.col("used"), F.col("mean"), F.col("css")
     return (
-        used_cells(cells, effects, response)
+        _used(cells, effects, response)
         .groupingSets([list(s) for s in sets], *effects)
         .agg(
             F.grouping_id().alias("set_id"),
-            F.sum(n).alias("n"),
-            F.sum(n * mean).alias("sum_y"),
-            F.sum(css + n * mean * mean).alias("sum_yy"),
+            F.sum("n").alias("n_read"),
+            F.sum(used_n).alias("n"),
+            F.sum(used_n * mean).alias("sum_y"),
+            F.sum(css + used_n * mean * mean).alias("sum_yy"),
         )
     )
 
 
+def _used(cells: DataFrame, effects: Sequence[str], response: str) -> DataFrame:
+    """Cells with the rows a fit uses: a response, and a level for every effect."""
+    complete = F.lit(True)
+    for e in effects:
+        complete = complete & F.col(e).isNotNull()
+    used = F.when(complete, F.col(f"{response}__n")).otherwise(0)
+    stats = [F.when(used > 0, F.col(f"{response}__{part}")).otherwise(0.0).alias(part) for part in ("mean", "css")]
+    return cells.select(*effects, "n", used.alias("used"), *stats)
+
+
 @dataclass
 class CrossProducts:
     """X'X and X'y of the full model (response centred), held on the driver."""
@@ -97,26 +103,28 @@ class CrossProducts:
 
 def collect_cross_products(cells: DataFrame, effects: Sequence[str], response: str) -> CrossProducts:
     effects = list(effects)
-    used = used_cells(cells, effects, response)
-    counts = used.agg(*[F.approx_count_distinct(e, 0.02).alias(e) for e in effects]).first()
-    if sum(counts) > MAX_PARAMETERS:
-        raise ValueError(f"about {sum(counts)} class levels; the solve takes at most {MAX_PARAMETERS}")
-    n_read = cells.agg(F.sum("n")).first()[0] or 0
-    overall = roll_up(used, [], [response]).first()
-    n = int(overall[f"{response}__n"] or 0)
-    if n == 0:
-        raise ValueError("no rows with a response")
-    mean, tss = overall[f"{response}__mean"], overall[f"{response}__css"]
-
-    rows = cross_products(cells, effects, response).collect()
+    cells = settle(cells, "glm-cells")
+    bound = 1 + MAX_PARAMETERS + MAX_PARAMETERS * MAX_PARAMETERS // 2
+    rows = cross_products(cells, effects, response).limit(bound + 1).collect()
     bits = {e: 1 << (len(effects) - 1 - i) for i, e in enumerate(effects)}
     present = {r.set_id: [e for e in effects if not r.set_id & bits[e]] for r in rows}
+    total = [r for r in rows if not present[r.set_id]]
+    n_read = sum(r.n_read for r in total)
+    n = sum(r.n for r in total)
+    rows = [r for r in rows if r.n]
     levels: dict[str, list[str]] = {e: [] for e in effects}
     for r in rows:
         if len(present[r.set_id]) == 1:
             e = present[r.set_id][0]
             levels[e].append(r[e])
     terms = [(INTERCEPT, "")] + [(e, lv) for e in effects for lv in sorted(levels[e])]
+    if len(rows) > bound or len(terms) > MAX_PARAMETERS + 1:
+        raise ValueError(f"more than {MAX_PARAMETERS} class levels; the dense solve is meant for fewer")
+    if n == 0:
+        raise ValueError("no rows with a response")
+    mean = total[0].sum_y / n
+    off = F.col("mean") - F.lit(mean)
+    tss = _used(cells, effects, response).agg(F.sum(F.col("css") + F.col("used") * off * off)).first()[0]
     at = {t: i for i, t in enumerate(terms)}
     xtx, xty = np.zeros((len(terms), len(terms))), np.zeros(len(terms))
     for r in rows:

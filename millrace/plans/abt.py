@@ -125,7 +125,7 @@ def fit_train(cells: DataFrame, min_count: int = 100, min_samples_leaf: float =
     levels = kept.select(F.lit(KEPT).alias("feature"), F.col(CAUSE).alias("level"), F.lit(0).cast("long").alias("n"), blank.alias("average"))
     average = encode.smoothed(TARGET, prior, min_samples_leaf, smoothing)
     for column in ENCODINGS:
-        rows = encode.roll_up(grouped, [column], [TARGET])
+        rows = encode.roll_up(grouped, [column], [TARGET], spread=False)
         levels = levels.unionAll(rows.select(F.lit(column), F.col(column), "n", average))
     return Fitted(settle(levels, "levels"), prior)
 

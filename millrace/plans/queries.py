@@ -460,7 +460,8 @@ def class_levels(spark, folder):
 
 @query
 def glm_sscp(spark, folder):
-    return rounded(glm.cross_products(_year_cells(spark, folder), EFFECTS, RESPONSE), 3)
+    products = glm.cross_products(_year_cells(spark, folder), EFFECTS, RESPONSE).filter("n > 0")
+    return rounded(products.select(*EFFECTS, "set_id", "n", "sum_y", "sum_yy"), 3)
 
 
 @query
