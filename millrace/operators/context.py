@@ -20,12 +20,12 @@ PROMPT = (
 def with_content(hits: DataFrame, documents: DataFrame, id_col: str, doc_id: str, content: str) -> DataFrame:
     """Put the content to retrieved ids.
 
-    The hits (k per question, of a question set whose size was checked) are
-    broadcast, so the documents are scanned once and their texts never
-    shuffled; only texts that were hit leave the scan.
+    ``hits`` should be a stored table (``session.settle``): while it is small,
+    Catalyst broadcasts it by its size, so the documents are scanned once and
+    their texts never shuffled; a large one becomes a shuffle join.
     """
     texts = documents.select(F.col(doc_id).alias("__doc"), F.col(content).alias("content"))
-    return texts.join(F.broadcast(hits), F.col("__doc") == F.col(id_col)).drop("__doc")
+    return texts.join(hits, F.col("__doc") == F.col(id_col)).drop("__doc")
 
 
 def context(hits: DataFrame, question_id: str, name: str, rank: str = "rank", content: str = "content") -> DataFrame:

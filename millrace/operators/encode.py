@@ -135,20 +135,40 @@ def apply_target_encoding(
     prior: float | None,
     noise_level: float = 0.0,
     seed: int = 0,
+    key: str | None = None,
 ) -> DataFrame:
-    """Left join to the fitted levels; a level that was not fitted gets the prior."""
+    """Left join to the fitted levels; a level that was not fitted gets the prior.
+
+    Noise, if any, is drawn by the row's ``key``.
+    """
     pairs = fitted.select(F.col(column).alias("__level"), F.col("average").alias("__average"))
     value = F.coalesce(F.col("__average"), F.lit(prior).cast("double"))
+    if noise_level:
+        value = add_noise(value, noise_level, F.col(key), seed)
     return (
         df.join(pairs, F.col(column) == F.col("__level"), "left")
-        .withColumn(out, add_noise(value, noise_level, seed))
+        .withColumn(out, value)
         .drop("__level", "__average")
     )
 
 
-def add_noise(value: Column, noise_level: float, seed: int = 0) -> Column:
-    """Multiply by 1 + level * N(0, 1); level 0 leaves the value alone."""
-    return value * (1 + F.lit(noise_level) * F.randn(seed)) if noise_level else value
+def gaussian(key: Column, seed: int = 0) -> Column:
+    """A standard normal number per key and seed (Box-Muller on two hashes).
+
+    Unlike ``randn`` it does not depend on how rows are spread or ordered, so
+    a task that runs again gives the same numbers.
+    """
+    span = 1 << 53
+
+    def uniform(n: int) -> Column:
+        return (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(n)), F.lit(span)) + 1) / F.lit(float(span + 1))
+
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+
+
+def add_noise(value: Column, noise_level: float, key: Column, seed: int = 0) -> Column:
+    """Multiply by 1 + level * N(0, 1)."""
+    return value * (1 + F.lit(noise_level) * gaussian(key, seed))
 
 
 def apply_frequency_encoding(df: DataFrame, levels: DataFrame, column: str, out: str) -> DataFrame:

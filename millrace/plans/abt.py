@@ -20,6 +20,7 @@ from millrace.operators import encode
 from millrace.operators.percentile import exact_percentile
 from millrace.session import settle
 
+KEY = "ClaimNumber"
 TARGET = "loss"
 COST = "InitialIncurredCalimsCost"
 LOG_COST = "LogInitialIncurredCalimsCost"
@@ -146,7 +147,7 @@ def finish(base: DataFrame, fitted: Fitted, stats: SetStats, noise_level: float
     out = out.withColumns(text.cause_flags(CAUSE))
     out = encode.apply_year_standard(out, stats.by_year, COST, "InitialIncurred_std")
     for i, (column, name) in enumerate(ENCODINGS.items()):
-        out = encode.apply_target_encoding(out, fitted.of(column), column, name, fitted.prior, noise_level, seed + i)
+        out = encode.apply_target_encoding(out, fitted.of(column), column, name, fitted.prior, noise_level, seed + i, KEY)
     out = encode.apply_frequency_encoding(out, fitted.of("BodyParts"), "BodyParts", "BodyParts_counts")
     severity = encode.severity_flag(F.col(LOG_COST), stats.severity)
     out = out.withColumns({"Severity_Ind": severity, "Severity_Ind_Cat": severity.cast("string"), **stats.centred})

@@ -459,6 +459,9 @@ group by grouping sets ((), (country_id), (nace_desc), (activity_desc), (country
         "stream_score": SCORES,
         "model_registry": f"""{emissions}, p as (select count(distinct activity_desc) + 1 as n from emissions where year_comp = {YEAR_A} and verified is not null)
 select 'emissions' as project, 'glm_back' as name, cast(v as int) as version, 'register' as action, n as n_parameters from p, (values (1), (2)) t(v)""",
+        "automl_manage": """select 'emissions_project' as project, action, version, message, error from (values
+ ('register', cast(1 as int), 'Register done', cast(null as varchar)), ('publish', 2, 'Publish done', null),
+ ('remove', null, null, 'invalid action; register or publish')) t(action, version, message, error)""",
         "extractive_summary": f"""with line as (select doc_id, cast(generate_subscripts(ls, 1) - 1 as int) as line_no, unnest(ls) as line
  from (select doc_id, string_split(text, chr(10)) as ls from documents)),
 w as (select doc_id, line_no, word, count(*) as n from (

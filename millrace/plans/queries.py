@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import dates, rules, text, vectors
-from millrace.operators import context, conversation, encode, glm, knn, models, summary
+from millrace.operators import context, conversation, encode, glm, knn, models, ranking, summary
 from millrace.operators.percentile import exact_percentile
 from millrace.operators.registry import Registry
 from millrace.plans import abt
@@ -241,13 +241,13 @@ def wordlist_edit(spark, folder):
         F.split(F.lit(";".join(text.word_list(text.BODY_PARTS))), ";"), text.BODY_PARTS_ADDED, text.BODY_PARTS_REMOVED
     )
     listed = spark.range(1).select(F.posexplode(words).alias("position", "word"))
-    used = (
-        fixtures.claims(spark, folder)
-        .select(F.explode(F.array_distinct(text.tokens(F.lower("ClaimDescription")))).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
+    tokens = fixtures.claims(spark, folder).select(
+        F.explode(F.array_distinct(text.tokens(F.lower("ClaimDescription")))).alias("token")
     )
-    counted = used.join(F.broadcast(listed), F.col("token") == F.col("word"), "right")
+    # only listed tokens are shuffled, so at most one row per word is left to join
+    found = tokens.join(F.broadcast(listed), F.col("token") == F.col("word"), "left_semi")
+    used = found.groupBy("token").agg(F.count("*").alias("n"))
+    counted = listed.join(used, F.col("token") == F.col("word"), "left")
     return counted.select("position", "word", F.coalesce("n", F.lit(0).cast("long")).alias("n_claims"))
 
 
@@ -386,7 +386,7 @@ def _encoded(spark, folder, split: str, noise_level: float = 0.0, seed: int = 0)
     out = encode.apply_rare_levels(out, fitted.kept(), abt.CAUSE)
     for i, (column, name) in enumerate(abt.ENCODINGS.items()):
         out = encode.apply_target_encoding(
-            out, fitted.of(column), column, name, fitted.prior, noise_level, seed + i
+            out, fitted.of(column), column, name, fitted.prior, noise_level, seed + i, KEY
         )
     return out.select(KEY, *abt.ENCODINGS.values())
 
@@ -421,9 +421,8 @@ def frequency_encode(spark, folder):
 def topk_by_task(spark, folder):
     """The five most active users per event type (ties by user)."""
     counts = tables.table(spark, folder, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("downloads"))
-    order = Window.partitionBy("event_type").orderBy(F.desc("downloads"), "user_id")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 5)
-    return ranked.select("event_type", "rank", "user_id", "downloads")
+    best = ranking.top_per_group(counts, "event_type", [F.desc("downloads"), "user_id"])
+    return best.select("event_type", "rank", "user_id", "downloads")
 
 
 # -- base table -----------------------------------------------------------------------
@@ -624,7 +623,7 @@ def knn_batch(spark, folder):
 
 
 def _contexts(spark, folder, questions: DataFrame) -> DataFrame:
-    hits = _hits(spark, folder, questions)
+    hits = settle(_hits(spark, folder, questions), "hits")
     documents = tables.table(spark, folder, "documents")
     return context.context(context.with_content(hits, documents, "vec_id", "doc_id", "text"), "question_id", "vec_id")
 

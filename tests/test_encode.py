@@ -81,12 +81,16 @@ def test_target_encoding_formula(spark):
     assert got["z"] == 4.0
 
 
-def test_noise_level(spark):
-    df = spark.range(2000).select(F.lit(10.0).alias("x"))
-    noisy = df.select(encode.add_noise(F.col("x"), 0.01, seed=3).alias("x"))
-    row = noisy.agg(F.avg("x").alias("m"), F.stddev("x").alias("s")).first()
-    assert row.m == pytest.approx(10, abs=0.02) and row.s == pytest.approx(0.1, rel=0.1)
-    assert df.select(encode.add_noise(F.col("x"), 0.0).alias("x")).distinct().count() == 1
+def test_noise_is_normal_and_repeatable(spark):
+    df = spark.range(4000).select("id", F.lit(10.0).alias("x"))
+
+    def noisy(rows, seed):
+        return rows.select("id", encode.add_noise(F.col("x"), 0.01, F.col("id"), seed).alias("y"))
+
+    row = noisy(df, 3).agg(F.avg("y").alias("m"), F.stddev("y").alias("s"), F.kurtosis("y").alias("k")).first()
+    assert row.m == pytest.approx(10, abs=0.01) and row.s == pytest.approx(0.1, rel=0.05) and abs(row.k) < 0.5
+    assert noisy(df, 3).exceptAll(noisy(df.repartition(7), 3)).count() == 0
+    assert noisy(df, 3).join(noisy(df, 4), ["id", "y"]).count() == 0
 
 
 def test_frequency_of_unseen_level(spark):
