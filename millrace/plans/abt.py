@@ -154,16 +154,36 @@ def finish(base: DataFrame, fitted: Fitted, stats: SetStats, noise_level: float
     return out.select(*[c for c in COLUMNS if c in out.columns])
 
 
+@dataclass
+class Learnt:
+    """The prepared train set with its cells, and what was fitted on it."""
+
+    base: DataFrame
+    cells: DataFrame
+    fitted: Fitted
+
+
+def learn(train: DataFrame, min_count: int = 100) -> Learnt:
+    base = prepare_train(train)
+    cells = train_cells(base)
+    return Learnt(base, cells, fit_train(cells, min_count))
+
+
+def train_table(learnt: Learnt, noise_level: float = 0.0, seed: int = 0) -> DataFrame:
+    return finish(learnt.base, learnt.fitted, set_stats(learnt.base, learnt.cells), noise_level, seed)
+
+
+def test_table(test: DataFrame, learnt: Learnt, noise_level: float = 0.0, seed: int = 0) -> DataFrame:
+    """Encodings and kept causes from train; severity, years and centring from the test set itself."""
+    base = prepare_test(test)
+    cells = settle(encode.moments(base, [YEAR], [COST, *encode.CENTRED]), "test-cells")
+    return finish(base, learnt.fitted, set_stats(base, cells), noise_level, seed + len(ENCODINGS))
+
+
 def build_abt(
     train: DataFrame, test: DataFrame | None = None, min_count: int = 100, noise_level: float = 0.0, seed: int = 0
 ) -> tuple[DataFrame, DataFrame | None]:
-    """(train, test) base tables; encodings and kept causes come from train alone."""
-    base = prepare_train(train)
-    cells = train_cells(base)
-    fitted = fit_train(cells, min_count)
-    done = finish(base, fitted, set_stats(base, cells), noise_level, seed)
-    if test is None:
-        return done, None
-    other = prepare_test(test)
-    other_cells = settle(encode.moments(other, [YEAR], [COST, *encode.CENTRED]), "test-cells")
-    return done, finish(other, fitted, set_stats(other, other_cells), noise_level, seed + len(ENCODINGS))
+    """(train, test) base tables."""
+    learnt = learn(train, min_count)
+    done = train_table(learnt, noise_level, seed)
+    return done, None if test is None else test_table(test, learnt, noise_level, seed)

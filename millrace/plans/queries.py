@@ -437,8 +437,8 @@ def abt_train(spark, folder):
 
 @query
 def abt_test(spark, folder):
-    _, test = abt.build_abt(fixtures.train_claims(spark, folder), fixtures.test_claims(spark, folder))
-    return rounded(test)
+    learnt = abt.learn(fixtures.train_claims(spark, folder))
+    return rounded(abt.test_table(fixtures.test_claims(spark, folder), learnt))
 
 
 # -- class-effect models ----------------------------------------------------------------
