@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -94,7 +95,7 @@ def _broadcast_top(stored: DataFrame, asked: DataFrame, k: int, schema: T.Struct
         best: list[list[tuple]] = [[] for _ in keys]
         for batch in batches:
             if batch.num_rows and keys:
-                _merge(best, batch.column(0), _as_matrix(batch.column(1)), matrix, k)
+                _merge(best, batch.column(0), _as_matrix(batch.column(1), matrix.shape[1]), matrix, k)
         flat = [(keys[j], i, -s) for j, found in enumerate(best) for s, i in found]
         yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in flat], schema=arrow)
 
@@ -139,9 +140,12 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _as_matrix(column: pa.Array) -> np.ndarray:
+def _as_matrix(column: pa.Array, dim: int) -> np.ndarray:
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths != {"min": dim, "max": dim}:
+        raise ValueError(f"vectors of length {lengths['min']} to {lengths['max']}, questions of length {dim}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), dim)
 
 
 def _merge(best: list[list[tuple]], ids: Iterable, rows: np.ndarray, matrix: np.ndarray, k: int) -> None:

@@ -9,6 +9,7 @@ from millrace.session import settle
 
 WORD = r"[\p{L}\p{N}]+"
 HOT_SHARE = 1_000
+MAX_HOT = 500_000  # words that may be broadcast
 
 
 def document_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,9 +49,12 @@ def with_frequency(words: DataFrame, frequency: DataFrame, n_documents: int) ->
     its common words, which would be hot keys. Words in at least one of
     ``HOT_SHARE`` documents number at most ``HOT_SHARE`` times the mean count
     of distinct words per document, however many documents there are; these
-    are broadcast. The keys of the shuffled join stand in fewer documents.
+    are broadcast, after a check of their number. The keys of the shuffled
+    join stand in fewer documents.
     """
     least = max(n_documents // HOT_SHARE, HOT_SHARE)
+    while frequency.filter(F.col("df") >= least).count() > MAX_HOT:
+        least *= 2
     hot = frequency.filter(F.col("df") >= least)
     cold = frequency.filter(F.col("df") < least)
     looked_up = words.join(F.broadcast(hot), "word", "left")

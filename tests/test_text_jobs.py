@@ -74,10 +74,11 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("share", [1000, 1])
-def test_summary_matches_brute_force(spark, monkeypatch, share):
-    """Also with every word looked up as a common one."""
+@pytest.mark.parametrize("share, most", [(1000, 500_000), (1, 500_000), (1, 2)])
+def test_summary_matches_brute_force(spark, monkeypatch, share, most):
+    """Also with every word, or only the commonest, looked up as a common one."""
     monkeypatch.setattr(summary, "HOT_SHARE", share)
+    monkeypatch.setattr(summary, "MAX_HOT", most)
     df = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.summary for r in summary.extractive_summary(df, 2).collect()}
     assert got == brute_summary(DOCS, 2)

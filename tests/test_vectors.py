@@ -61,6 +61,14 @@ def test_no_questions(case):
     assert knn.top_k(stored, asked.filter("question_id < 0"), 2).count() == 0
 
 
+@pytest.mark.parametrize("max_cells", [16_000_000, 2])
+def test_vectors_of_another_length_are_an_error(spark, max_cells):
+    stored = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>").coalesce(1)
+    asked = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0])], "question_id int, question_vector array<double>")
+    with pytest.raises(Exception, match="length|shape|inhomogeneous"):
+        knn.top_k(stored, asked, 1, max_cells=max_cells).collect()
+
+
 def test_mean_vector(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [0.0, 1.0])], "k int, v array<float>")
     assert {r.k: list(r.v) for r in knn.mean_vector(df, "v", "k").collect()} == {1: [2.0, 4.0], 2: [0.0, 1.0]}
