@@ -9,8 +9,7 @@ dealt out over *shards* by their hash; a shard is a bounded share of the hash
 space, and there are more of them for more text.
 
 1. Each part sketches its windows: for each shard, the cells of a two-row
-   count-min sketch, as gaps of sorted cell numbers (about one byte a cell),
-   no cell more than twice. Merging adds the parts' cells up in each shard and
+   count-min sketch, as gaps of sorted cell numbers (about ten bits a cell), no cell more than twice. Merging adds the parts' cells up in each shard and
    answers one bit for each cell sent: met at least twice or not. Estimates
    never fall short, so no repeated window is lost.
 2. Only windows whose cells were all met twice are sent with 128 bits of hash
@@ -43,7 +42,7 @@ from millrace.llm.words import NOT_SPACE, Words, join_words, mix, words_of
 from millrace.session import settle
 
 WIDTH = 13
-PART_BYTES = 8 << 20  # of input files; a part's text is a small multiple of it
+PART_BYTES = 4 << 20  # of input files; a part's text is a small multiple of it
 SHARD_BYTES = 24 << 20  # of text to a shard: some four million windows
 CELL_BITS = 24
 NO_ID = np.iinfo(np.int64).max
@@ -53,17 +52,25 @@ ANSWER = "part int, shard int, step int, first binary, second binary"
 
 
 def pack(cells: np.ndarray) -> bytes:
-    """Sorted numbers as gaps of one byte; longer gaps stand in a list of their own."""
-    gaps = np.diff(cells, prepend=cells.dtype.type(0)).astype(np.uint32)
-    large = gaps >= 255
-    return np.uint32(len(gaps)).tobytes() + np.where(large, 255, gaps).astype(np.uint8).tobytes() + gaps[large].tobytes()
+    """Sorted numbers as gaps: low bytes as they are, the rest of a gap as that many 0 bits and a 1."""
+    gaps = np.diff(cells, prepend=cells.dtype.type(0)).astype(np.int64)
+    mean = int(cells[-1]) // len(gaps)
+    low = 1 if mean < 1 << 11 else 2 if mean < 1 << 19 else 3
+    ends = np.cumsum((gaps >> 8 * low) + 1)
+    high = np.zeros(int(ends[-1]), np.uint8)
+    high[ends - 1] = 1
+    lows = gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :low].T  # byte by byte
+    return np.array([len(gaps), low], "<u4").tobytes() + lows.tobytes() + np.packbits(high).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    gaps = np.frombuffer(data, np.uint8, n, 4).astype(np.uint32)
-    gaps[gaps == 255] = np.frombuffer(data, np.uint8, offset=4 + n).view(np.uint32)
-    return np.cumsum(gaps, dtype=np.uint32)
+    n, low = np.frombuffer(data, "<u4", 2).tolist()
+    lows = np.frombuffer(data, np.uint8, n * low, 8).reshape(low, n).astype(np.int64)
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + n * low)))
+    gaps = np.diff(ends, prepend=-1) - 1
+    for i in range(low - 1, -1, -1):
+        gaps = (gaps << 8) | lows[i]
+    return np.cumsum(gaps).astype(np.uint32)
 
 
 def bits(flags: np.ndarray) -> bytes:
