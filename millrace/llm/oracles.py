@@ -42,8 +42,8 @@ link as materialized (
   select a.doc_id a, b.doc_id b from s a join s b on a.x = b.x and a.doc_id < b.doc_id
   join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
   group by 1, 2, na.n, nb.n having 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
-both as materialized (select a, b from link union all select b, a from link),
-reach(a, b) as (select doc_id, doc_id from d union select r.a, k.b from reach r join both k on r.b = k.a)
+pair as materialized (select a, b from link union all select b, a from link),
+reach(a, b) as (select doc_id a, doc_id b from d union select r.a, k.b from reach r join pair k on r.b = k.a)
 select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, c.component_id, d.doc_id = c.component_id kept
 from d left join n using (doc_id) join (select a doc_id, min(b) component_id from reach group by 1) c using (doc_id)
 """
