@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.quality import least
+
 MAX_PAGES = 300
 FEATURES = 1 << 14
 EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
@@ -268,7 +270,7 @@ def train(pages: DataFrame, html: str = "html", key: str = "page_id", max_pages:
     """Fit on at most ``max_pages`` pages that mark their article, those of least hash of the key."""
     marked = pages.filter(F.col(html).rlike("(?i)<(article|main)\\b"))
     rows = marked.select(F.xxhash64(F.col(key).cast("string"), F.length(html)).alias("h"), F.col(html).alias("page"))
-    made = rows.orderBy("h").limit(max_pages).coalesce(1).mapInArrow(_fit_rows, "model binary").collect()
+    made = least(rows, max_pages).coalesce(1).mapInArrow(_fit_rows, "model binary").collect()
     return pickle.loads(made[0][0]) if made else fit([])
 
 

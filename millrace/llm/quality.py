@@ -171,11 +171,17 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
 
 
+def least(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of least ``h`` (and ties of the last): the bound is found on ``h`` alone, so no other column is sorted."""
+    bound = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.filter(F.col("h") <= F.lit(bound).cast("long"))
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled rows, those of least hash of the key."""
     rows = labelled.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     rows = rows.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    made = rows.orderBy("h").limit(max_rows).coalesce(1).mapInArrow(_fit_rows, "model binary").collect()
+    made = least(rows, max_rows).coalesce(1).mapInArrow(_fit_rows, "model binary").collect()
     return pickle.loads(made[0][0]) if made else Model()
 
 
