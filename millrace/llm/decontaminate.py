@@ -243,7 +243,8 @@ def contaminated(share: int = 20) -> Column:
     return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    found = find_matches(docs, benchmark, **options)
-    return found.filter(~contaminated()).select(*[c for c in docs.columns if c in found.columns])
+    inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # so that no name clashes with an added one
+    found = find_matches(docs.withColumnsRenamed(inner), benchmark, text=inner[text], **options)
+    return found.filter(~contaminated()).select(*inner.values()).withColumnsRenamed({v: k for k, v in inner.items()})

@@ -61,6 +61,11 @@ PRIMER = [
      "<p>It rained in the morning, then the sun came out.</p><div class=advert>Buy now, for less.</div><form><label>Mail</label>Subscribe to our letters</form>"
      "<p>In the evening it rained again, as it had been said.</p></main><aside><p>Most read stories of this week.</p></aside><footer>About us</footer>", "post"),
     ("<table><tr><td class=sidebar>Links and more links<td class=body><p>A long text stands in a table here, as it once was done.</p><p>It goes on, and then it ends.</p></table>", "body"),
+    ("<nav><a href=/>Home</a></nav><article class=story><h1>A story told at length</h1><p>It begins here, with a sentence.</p><aside>Read more of this elsewhere</aside>"
+     "<p>It goes on.<div class='ad box'>Buy things, now and here.</div><p>Then comes more text, as it does.</p><ul><li>An item of it.<li>One more item.</ul>"
+     "<form>Get our letters by mail, each day.</form><p>It ends.</p><div class=comments><p>What a story, I liked it.</p><p>So did I.</p></div></article><footer>All rights</footer>", "story"),
+    ("<article id=story><header>By a writer, on a day</header><h2>Short</h2><p>One.</p><div class=notice>This site keeps cookies.</div><p>Two words.</p><nav>Back and forth</nav>"
+     "<blockquote>Somebody said so.</blockquote><p>Three.</p><section class=comment>A reader's thought.</section><div class=sidebar><p>Other news of today.</p></div><footer>Tags and dates</footer></article>", "story"),
 ]
 
 
