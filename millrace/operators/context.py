@@ -42,8 +42,8 @@ def context(hits: DataFrame, question_id: str, name: str, rank: str = "rank", co
 
 
 def prompts(contexts: DataFrame, questions: DataFrame, question_id: str, query: str, template: str = PROMPT) -> DataFrame:
-    """Fill the prompt template with each question and its context."""
-    values = {"query": newline_to_blank(F.col(query)), "context": F.col("context")}
-    return contexts.join(questions.select(question_id, query), question_id).select(
+    """Fill the prompt template with each question and its context, which is empty for a question without hits."""
+    values = {"query": newline_to_blank(F.col(query)), "context": F.coalesce("context", F.lit(""))}
+    return questions.select(question_id, query).join(contexts, question_id, "left").select(
         question_id, fill_template(template, values).alias("prompt")
     )

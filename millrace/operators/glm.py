@@ -168,19 +168,21 @@ def sbc(sse: float, n: int, p: int) -> float:
     return n * math.log(sse / n) + p * math.log(n) if sse > 0 else -math.inf
 
 
-def fit_statistics(sse: float, tss: float, n: int, p: int) -> dict[str, float]:
+def fit_statistics(sse: float, tss: float, n: int, p: int) -> dict[str, float | None]:
+    """Figures of a fit; null where a figure is undefined (a perfect or saturated fit, a constant target)."""
     model_df, error_df = p - 1, n - p
-    mse = sse / error_df
-    r2 = 1 - sse / tss
+    mse = sse / error_df if error_df > 0 else None
+    r2 = 1 - sse / tss if tss > 0 else None
+    log = n * math.log(sse / n) if sse > 0 else None
     return {
-        "root_mse": math.sqrt(mse),
+        "root_mse": None if mse is None else math.sqrt(mse),
         "r_square": r2,
-        "adj_r_square": 1 - (n - 1) / error_df * (1 - r2),
-        "aic": n * math.log(sse / n) + 2 * p + n + 2,
-        "aicc": n * math.log(sse / n) + n * (n + p) / (n - p - 2),
-        "sbc": sbc(sse, n, p),
+        "adj_r_square": None if r2 is None or error_df <= 0 else 1 - (n - 1) / error_df * (1 - r2),
+        "aic": None if log is None else log + 2 * p + n + 2,
+        "aicc": None if log is None or n - p - 2 <= 0 else log + n * (n + p) / (n - p - 2),
+        "sbc": None if log is None else log + p * math.log(n),
         "ase": sse / n,
-        "f_value": ((tss - sse) / model_df) / mse if model_df else math.nan,
+        "f_value": ((tss - sse) / model_df) / mse if model_df and mse else None if model_df else math.nan,
     }
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.vectors import dot
+from millrace.functions.vectors import dot, is_finite
 
 MAX_CELLS = 16_000_000  # numbers in the question matrix a task holds (128 MB)
 BLOCK_ROWS = 100_000
@@ -40,10 +40,12 @@ def top_k_single(
     """Top k for one question vector: project and take.
 
     Runs in the JVM: each task keeps its best k, the driver merges those.
+    Vectors with a null, NaN or infinite element are left out, as in ``top_k``.
     """
     asked = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in question) + ")")
     return (
-        vectors.select(F.col(id_col), dot(F.col(vector), asked).alias("score"))
+        vectors.filter(is_finite(F.col(vector)))
+        .select(F.col(id_col), dot(F.col(vector), asked).alias("score"))
         .filter("score is not null")
         .orderBy(F.desc("score"), id_col)
         .limit(k)
@@ -63,10 +65,11 @@ def top_k(
     """Rows (question_id, id, score, rank) with the k best vectors per question.
 
     Ties go to the lower id. Vectors of another length than the question's
-    are an error, null vectors are left out.
+    are an error. Vectors and questions that are null or have a null, NaN or
+    infinite element are left out, row by row, before anything is scored.
     """
-    asked = questions.select(question_id, F.col(question_vector).cast("array<double>").alias("v")).filter("v is not null")
-    stored = vectors.select(id_col, F.col(vector).alias("v")).filter("v is not null")
+    asked = questions.select(question_id, F.col(question_vector).cast("array<double>").alias("v")).filter(is_finite(F.col("v")))
+    stored = vectors.select(id_col, F.col(vector).alias("v")).filter(is_finite(F.col("v")))
     schema = T.StructType(
         [
             T.StructField(question_id, questions.schema[question_id].dataType),

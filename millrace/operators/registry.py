@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "project string, name string, version int, path string, action string"
-STATE = "project string, state string"
+STATE = "project string, state string, seq long"
 
 
 class Registry:
@@ -70,7 +70,9 @@ class Registry:
     # project states and actions on the champion
 
     def set_state(self, project: str, state: str) -> None:
-        self._append("states", STATE, (project, state))
+        """Add a state; the latest one decides."""
+        last = self._read("states", STATE).filter(F.col("project") == project).agg(F.max("seq")).first()[0]
+        self._append("states", STATE, (project, state, (last or 0) + 1))
 
     def manage(self, project: str, action: str) -> DataFrame:
         """Register or publish the champion of a completed project.
@@ -78,12 +80,13 @@ class Registry:
         Returns one row (project, action, version, message, error); what is
         wrong is told in the row, as a service would.
         """
-        states = {r.state.lower() for r in self._read("states", STATE).filter(F.col("project") == project).collect()}
+        latest = F.max_by(F.lower("state"), "seq")
+        state = self._read("states", STATE).filter(F.col("project") == project).agg(latest).first()[0]
         version = message = error = None
-        if not states:
+        if state is None:
             error = f"no project {project}"
-        elif "completed" not in states:
-            message = f"project is not completed: {sorted(states)[-1]}"
+        elif state != "completed":
+            message = f"project is not completed: {state}"
         elif action not in ("register", "publish"):
             error = "invalid action; register or publish"
         else:

@@ -93,3 +93,15 @@ def test_context_and_prompt(spark):
     )
     prompt = context.prompts(contexts, questions, "question_id", "query", "Q {query} C {context}").first().prompt
     assert prompt.startswith("Q why not? C Document Name: 9\nContent: nine {query}")
+
+
+@pytest.mark.parametrize("max_cells", [1, 4, 16_000_000])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_bad_vectors_cost_no_hits(spark, max_cells, parts):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [0.5, 0.5]), (4, [None, 1.0]), (5, None), (6, [inf, 0.0]), (7, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [nan, 1.0]), (4, None)], "question_id long, question_vector array<double>")
+    got = sorted((r.question_id, r["rank"], r.vec_id) for r in knn.top_k(vectors, asked, 2, max_cells=max_cells).collect())
+    assert got == [(1, 1, 1), (1, 2, 3), (2, 1, 7), (2, 2, 3)]
+    assert [r.vec_id for r in knn.top_k_single(vectors, [1.0, 0.0], 3).collect()] == [1, 3, 7]
