@@ -363,8 +363,8 @@ def _prompt() -> str:
     before, rest = PROMPT.split("{query}")
     middle, after = rest.split("{context}")
     return f"""{CONTEXTS}
-select question_id, {_str(before)} || 'Which passages are about topic ' || question_id || '?' || {_str(middle)} || context || {_str(after)} as prompt
-from contexts"""
+select label as question_id, {_str(before)} || 'Which passages are about topic ' || label || '?' || {_str(middle)} || coalesce(context, '') || {_str(after)} as prompt
+from topics left join contexts on label = question_id"""
 
 
 def _flag_query() -> str:
