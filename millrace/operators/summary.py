@@ -82,7 +82,8 @@ def extractive_summary(
     """Per document its ``n_lines`` best lines, in text order, as bullet points.
 
     Only line numbers and scores are ranked; the chosen lines are then cut
-    from the text by number. A document without words gets no summary.
+    from the text by number. A document without words, or without a text, has
+    no lines and an empty summary.
     """
     words = settle(document_words(documents, doc_id, text), "document-words")
     best = Window.partitionBy(doc_id).orderBy(F.desc("score"), "line_no")
@@ -95,6 +96,7 @@ def extractive_summary(
     )
     lines = F.split(F.col(text), "\n")
     bullets = F.transform(F.col("numbers"), lambda i: F.concat(F.lit("- "), F.get(lines, i)))
-    return documents.join(chosen, doc_id).select(
-        doc_id, F.size("numbers").alias("n_lines"), F.concat_ws("\n", bullets).alias("summary")
+    count = F.when(F.col("numbers").isNull(), 0).otherwise(F.size("numbers"))
+    return documents.join(chosen, doc_id, "left").select(
+        doc_id, count.alias("n_lines"), F.concat_ws("\n", bullets).alias("summary")
     )

@@ -471,9 +471,10 @@ tf as (select doc_id, word, sum(n) as n from w group by 1, 2),
 d as (select doc_id, sum(n) as total from w group by 1),
 s as (select w.doc_id, line_no, round(sum(w.n * (tf.n / total) * ln((1 + (select count(*) from documents)) / (1.0 + df))) / sum(w.n), 9) as score
  from w join f using (word) join tf on tf.doc_id = w.doc_id and tf.word = w.word join d on d.doc_id = w.doc_id group by 1, 2),
-r as (select *, row_number() over (partition by doc_id order by score desc, line_no) as place from s)
-select r.doc_id, cast(count(*) as int) as n_lines, string_agg('- ' || line, chr(10) order by r.line_no) as summary
-from r join line on r.doc_id = line.doc_id and r.line_no = line.line_no where place <= 10 group by 1""",
+r as (select *, row_number() over (partition by doc_id order by score desc, line_no) as place from s),
+best as (select r.doc_id, cast(count(*) as int) as n_lines, string_agg('- ' || line, chr(10) order by r.line_no) as summary
+from r join line on r.doc_id = line.doc_id and r.line_no = line.line_no where place <= 10 group by 1)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(summary, '') as summary from documents left join best using (doc_id)""",
         "knn_single": """with q as (select list(m order by pos) as v from (select pos, avg(x) as m from (
   select cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as pos from embeddings) group by 1))
 select vec_id, round(list_dot_product(cast(embedding as double[]), v), 6) as score from embeddings, q

@@ -48,6 +48,7 @@ def test_words(log):
 
 
 def brute_summary(docs, n_lines):
+    docs = [(d, t or "") for d, t in docs]
     words = {d: [re.findall(r"[^\W_]+", line.lower()) for line in t.split("\n")] for d, t in docs}
     df = Counter(w for ls in words.values() for w in {w for line in ls for w in line})
     out = {}
@@ -60,8 +61,7 @@ def brute_summary(docs, n_lines):
                 s = sum(counts[w] / total * math.log((1 + len(docs)) / (1 + df[w])) for w in line) / len(line)
                 scored.append((-round(s, 9), i))
         best = sorted(i for _, i in sorted(scored)[:n_lines])
-        if best:
-            out[d] = "\n".join("- " + t.split("\n")[i] for i in best)
+        out[d] = "\n".join("- " + t.split("\n")[i] for i in best)
     return out
 
 
@@ -71,6 +71,8 @@ DOCS = [
     (3, "..."),
     (4, "One long line with the words"),
     (5, "the\nthe\nthe"),
+    (6, None),
+    (7, ""),
 ]
 
 
