@@ -18,18 +18,20 @@ PROMPT = (
 
 
 def with_content(hits: DataFrame, documents: DataFrame, id_col: str, doc_id: str, content: str) -> DataFrame:
-    """Put the content to retrieved ids.
+    """Put the content to retrieved ids; a hit without a document keeps its place, with null content.
 
     ``hits`` should be a stored table (``session.settle``): while it is small,
     Catalyst broadcasts it by its size, so the documents are scanned once and
     their texts never shuffled; a large one becomes a shuffle join.
     """
     texts = documents.select(F.col(doc_id).alias("__doc"), F.col(content).alias("content"))
-    return texts.join(hits, F.col("__doc") == F.col(id_col)).drop("__doc")
+    wanted = hits.select(F.col(id_col).alias("__doc")).distinct()
+    found = texts.join(wanted, "__doc", "left_semi")
+    return hits.join(found, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
 
 
 def context(hits: DataFrame, question_id: str, name: str, rank: str = "rank", content: str = "content") -> DataFrame:
-    """One context text per question: documents in rank order (k per question)."""
+    """One context text per question: documents in rank order (k per question), those without content left out."""
     piece = fill_template(DOCUMENT, {"name": F.col(name).cast("string"), "content": F.col(content)})
     return hits.groupBy(question_id).agg(
         F.concat_ws(

@@ -1,30 +1,30 @@
 """Exact top-k stored vectors per question vector, by dot product.
 
-A question set of checked size travels to the data: each task keeps a running
-top k per question over its own rows, so only k rows per question and task
-are shuffled, and no pair is ever emitted. A larger question set is laid out
-as a grid of vector blocks and question blocks, each of bounded size.
+Questions are cut into blocks of bounded size. Each block travels to the data:
+every task keeps a running top k per question over its own rows, so only k
+rows per question and task are shuffled, no pair is ever emitted, and stored
+vectors stay where they are. One scan of the vectors serves a whole block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.vectors import dot, is_finite
+from millrace.session import new_path, settle
 
 MAX_CELLS = 16_000_000  # numbers in the question matrix a task holds (128 MB)
-BLOCK_ROWS = 100_000
 SCORES_AT_ONCE = 4_000_000
 
 
@@ -34,19 +34,29 @@ def mean_vector(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(vector_to_array(mean).alias(vector))
 
 
+def is_score(score: Column) -> Column:
+    """Whether a score is a finite number; finite vectors can still overflow."""
+    return score.isNotNull() & ~F.isnan(score) & (F.abs(score) < F.lit(math.inf))
+
+
 def top_k_single(
-    vectors: DataFrame, question: Sequence[float], k: int = 3, id_col: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame,
+    question: Sequence[float],
+    k: int = 3,
+    id_col: str = "vec_id",
+    vector: str = "embedding",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Top k for one question vector: project and take.
+    """Top k for one question vector: project and take. ``carry`` names columns to return with a hit.
 
     Runs in the JVM: each task keeps its best k, the driver merges those.
-    Vectors with a null, NaN or infinite element are left out, as in ``top_k``.
+    What is left out is the same as in ``top_k``.
     """
     asked = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in question) + ")")
     return (
-        vectors.filter(is_finite(F.col(vector)))
-        .select(F.col(id_col), dot(F.col(vector), asked).alias("score"))
-        .filter("score is not null")
+        vectors.filter(is_finite(F.col(vector)) & F.col(id_col).isNotNull())
+        .select(id_col, *carry, dot(F.col(vector), asked).alias("score"))
+        .filter(is_score(F.col("score")))
         .orderBy(F.desc("score"), id_col)
         .limit(k)
     )
@@ -66,10 +76,13 @@ def top_k(
 
     Ties go to the lower id. Vectors of another length than the question's
     are an error. Vectors and questions that are null or have a null, NaN or
-    infinite element are left out, row by row, before anything is scored.
+    infinite element are left out, row by row, before anything is scored; so
+    are vectors without an id, and scores that overflow. ``max_cells`` bounds
+    the numbers of one question block and so the memory of driver and tasks.
     """
+    spark = vectors.sparkSession
     asked = questions.select(question_id, F.col(question_vector).cast("array<double>").alias("v")).filter(is_finite(F.col("v")))
-    stored = vectors.select(id_col, F.col(vector).alias("v")).filter(is_finite(F.col("v")))
+    stored = vectors.select(id_col, F.col(vector).alias("v")).filter(is_finite(F.col("v")) & F.col(id_col).isNotNull())
     schema = T.StructType(
         [
             T.StructField(question_id, questions.schema[question_id].dataType),
@@ -77,73 +90,45 @@ def top_k(
             T.StructField("score", T.DoubleType()),
         ]
     )
+    asked = settle(asked, "questions")
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    dim = size.dim or 1
-    if size.n * dim <= max_cells:
-        best = _broadcast_top(stored, asked, k, schema)
-    else:
-        best = _grid_top(stored, asked, k, schema, max(1, max_cells // dim), size.n)
+    per_block = max(1, max_cells // max(1, size.dim or 1))
+    blocks, found = new_path(spark, "question-blocks"), new_path(spark, "hits")
+    even = asked.repartition(max(1, math.ceil(size.n / per_block)))
+    even.write.option("maxRecordsPerFile", per_block).parquet(blocks)
+    for file in spark.read.schema(asked.schema).parquet(blocks).inputFiles():
+        block = spark.read.schema(asked.schema).parquet(file).toArrow()  # at most max_cells numbers
+        _block_top(stored, block, k, schema).write.mode("append").parquet(found)
     order = Window.partitionBy(question_id).orderBy(F.desc("score"), id_col)
+    best = spark.read.schema(schema).parquet(found) if size.n else spark.createDataFrame([], schema)
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _broadcast_top(stored: DataFrame, asked: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    rows = asked.collect()  # at most MAX_CELLS numbers, counted by the caller
-    keys = [r[0] for r in rows]
-    shared = stored.sparkSession.sparkContext.broadcast(np.array([r.v for r in rows], dtype=np.float64))
-    names = schema.names
+def _block_top(stored: DataFrame, block: pa.Table, k: int, schema: T.StructType) -> DataFrame:
+    """The best k per question of a block and task, as rows of ``schema``."""
+    block = block.combine_chunks()
+    keys = pa.chunked_array(block.column(0)).combine_chunks()
+    vectors = pa.chunked_array(block.column(1)).combine_chunks()
+    dim = len(vectors[0]) if len(vectors) else 0
+    shared = stored.sparkSession.sparkContext.broadcast((keys, _as_matrix(vectors, dim)))
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = shared.value
-        best: list[list[tuple]] = [[] for _ in keys]
+        keys, matrix = shared.value
+        best = None
         for batch in batches:
-            if batch.num_rows and keys:
-                _merge(best, batch.column(0), _as_matrix(batch.column(1), matrix.shape[1]), matrix, k)
-        flat = [(keys[j], i, -s) for j, found in enumerate(best) for s, i in found]
-        yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in flat], schema=arrow)
+            if batch.num_rows and len(matrix):
+                best = _merge(best, batch.column(0), _as_matrix(batch.column(1), matrix.shape[1]), matrix, k)
+        if best is not None:
+            asked, scores, ids = best
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(asked)).cast(arrow.types[0]), pa.array(ids, arrow.types[1]), pa.array(scores)], schema=arrow)
 
-    arrow = _arrow_schema(schema)
     return stored.mapInArrow(run, schema)
 
 
-def _grid_top(stored: DataFrame, asked: DataFrame, k: int, schema: T.StructType, per_block: int, n: int) -> DataFrame:
-    id_col, question_id = stored.columns[0], asked.columns[0]
-    q_blocks = math.ceil(n / per_block)
-    v_blocks = max(1, math.ceil(stored.count() / BLOCK_ROWS))
-
-    def block(column: str, blocks: int):
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def copies(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = stored.withColumn("vb", block(id_col, v_blocks)).withColumn("qb", copies(q_blocks))
-    right = asked.withColumn("qb", block(question_id, q_blocks)).withColumn("vb", copies(v_blocks))
-    names = schema.names
-
-    def run(vectors: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        best: list[list[tuple]] = [[] for _ in range(len(questions))]
-        if len(vectors) and len(questions):
-            matrix = np.array(questions["v"].tolist(), dtype=np.float64)
-            step = max(1, SCORES_AT_ONCE // len(questions))
-            for at in range(0, len(vectors), step):
-                part = vectors.iloc[at : at + step]
-                rows = np.array(part["v"].tolist(), dtype=np.float64)
-                _merge(best, pa.array(part[id_col]), rows, matrix, k)
-        keys = questions[question_id].tolist()
-        flat = [(keys[j], i, -s) for j, found in enumerate(best) for s, i in found]
-        return pd.DataFrame(flat, columns=names)
-
-    return left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(run, schema)
-
-
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def _as_matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, dim))
     lengths = pc.min_max(pc.list_value_length(column)).as_py()
     if lengths != {"min": dim, "max": dim}:
         raise ValueError(f"vectors of length {lengths['min']} to {lengths['max']}, questions of length {dim}")
@@ -151,23 +136,41 @@ def _as_matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
-def _merge(best: list[list[tuple]], ids: Iterable, rows: np.ndarray, matrix: np.ndarray, k: int) -> None:
-    """Fold a batch into the running lists of (-score, id).
+def _merge(best: tuple | None, ids: pa.Array, rows: np.ndarray, matrix: np.ndarray, k: int) -> tuple:
+    """Fold a batch into the running hits: arrays of question number, score and id, the best first per question.
 
-    One matrix product finds candidates with a small margin; their scores are
-    then computed row by row in a fixed order, so equal vectors get equal
-    scores and ties are decided by id.
+    One matrix product finds candidates, with a margin above its rounding
+    error; their scores are then summed row by row in a fixed order, so equal
+    vectors get equal scores and ties are decided by id.
     """
-    names = ids.to_numpy(zero_copy_only=False)
-    step = max(1, SCORES_AT_ONCE // max(1, len(matrix)))
+    names = np.array(ids.to_pylist(), dtype=object) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+    n, dim = matrix.shape
+    asked, scores, found = best or (np.empty(0, np.int64), np.empty(0), names[:0])
+    lengths = np.sqrt((matrix * matrix).sum(axis=1))
+    step, pairs = max(1, SCORES_AT_ONCE // n), max(1, SCORES_AT_ONCE // max(1, dim))
     for at in range(0, len(rows), step):
         block, block_ids = rows[at : at + step], names[at : at + step]
-        rough = block @ matrix.T
-        keep = min(k, len(block))
-        cut = -np.partition(-rough, keep - 1, axis=0)[keep - 1]
-        margin = 1e-9 * (1.0 + np.abs(rough).max(axis=0))
-        for j in range(len(matrix)):
-            found = np.flatnonzero(rough[:, j] >= cut[j] - margin[j])
-            scores = (block[found] * matrix[j]).sum(axis=1)
-            fresh = sorted(zip((-scores).tolist(), block_ids[found].tolist()))[:k]
-            best[j] = sorted(best[j] + fresh)[:k]
+        with np.errstate(all="ignore"):
+            rough = matrix @ block.T
+            rough[~np.isfinite(rough)] = -np.inf
+            cut = np.partition(rough, -min(k, len(block)), axis=1)[:, -min(k, len(block))]
+            full = np.bincount(asked, minlength=n) >= k  # the last hit of a full question bounds what can still enter
+            last = np.full(n, np.inf)
+            np.minimum.at(last, asked, scores)
+            cut = np.maximum(cut, np.where(full, last, -np.inf))
+            margin = 8 * (dim + 1) * np.finfo(float).eps * lengths * np.sqrt((block * block).sum(axis=1).max())
+            least = np.where(np.isfinite(margin), cut - margin, -np.inf)
+            q, r = np.nonzero(rough >= least[:, None])
+            for i in range(0, len(q), pairs):
+                qs, rs = q[i : i + pairs], r[i : i + pairs]
+                exact = (block[rs] * matrix[qs]).sum(axis=1)
+                good = np.isfinite(exact)
+                asked = np.concatenate([asked, qs[good]])
+                scores = np.concatenate([scores, exact[good]])
+                found = np.concatenate([found, block_ids[rs[good]]])
+                order = np.lexsort((found, -scores, asked))
+                asked, scores, found = asked[order], scores[order], found[order]
+                first = np.searchsorted(asked, asked)
+                keep = np.arange(len(asked)) - first < k
+                asked, scores, found = asked[keep], scores[keep], found[keep]
+    return asked, scores, found

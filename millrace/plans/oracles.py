@@ -353,8 +353,8 @@ def _hits(k: int) -> str:
 
 
 CONTEXTS = f"""with {_hits(3)}, contexts as (
- select question_id, string_agg('Document Name: ' || vec_id || chr(10) || 'Content: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context
- from hits join documents on vec_id = doc_id group by 1)"""
+ select question_id, coalesce(string_agg('Document Name: ' || vec_id || chr(10) || 'Content: ' || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank), '') as context
+ from hits left join documents on vec_id = doc_id group by 1)"""
 
 
 def _prompt() -> str:
@@ -477,7 +477,8 @@ from r join line on r.doc_id = line.doc_id and r.line_no = line.line_no where pl
 select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(summary, '') as summary from documents left join best using (doc_id)""",
         "knn_single": """with q as (select list(m order by pos) as v from (select pos, avg(x) as m from (
   select cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as pos from embeddings) group by 1))
-select vec_id, round(list_dot_product(cast(embedding as double[]), v), 6) as score from embeddings, q
+select vec_id, round(list_dot_product(cast(embedding as double[]), v), 6) as score, text as content
+from embeddings left join documents on vec_id = doc_id, q
 order by list_dot_product(cast(embedding as double[]), v) desc, vec_id limit 3""",
         "knn_batch": f"with {_hits(5)} select question_id, vec_id, round(score, 6) as score, rank from hits",
         "rag_context": f"{CONTEXTS} select * from contexts",

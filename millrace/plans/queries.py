@@ -594,10 +594,11 @@ def extractive_summary(spark, folder):
 
 @query
 def knn_single(spark, folder):
-    """Nearest vectors to one question: the mean of all stored vectors."""
+    """Nearest vectors to one question, the mean of all stored vectors, with their content."""
     stored = tables.table(spark, folder, "embeddings")
     question = knn.mean_vector(stored, "embedding").first().embedding
-    return rounded(knn.top_k_single(stored, question, 3))
+    hits = settle(knn.top_k_single(stored, question, 3), "hits")
+    return rounded(context.with_content(hits, tables.table(spark, folder, "documents"), "vec_id", "doc_id", "text"))
 
 
 def _topic_questions(spark, folder) -> DataFrame:

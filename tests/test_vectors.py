@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,10 +30,18 @@ def case(spark):
     return vectors, questions, stored, asked
 
 
-@pytest.mark.parametrize("max_cells", [16_000_000, 24])
-def test_top_k_is_exact(case, max_cells):
-    """Both ways: questions sent to the data, and the grid for a large question set."""
+@pytest.mark.parametrize("max_cells", [16_000_000, 24, 1])
+@pytest.mark.parametrize("at_once", [1, 40, 4_000_000])
+def test_top_k_is_exact(case, max_cells, at_once, monkeypatch):
+    """Whatever the size of question blocks and of the steps within a batch."""
     vectors, questions, stored, asked = case
+    matrix, rows = (np.array([v for _, v in x], dtype=float) for x in (questions, vectors))
+    monkeypatch.setattr(knn, "SCORES_AT_ONCE", at_once)
+    best = None
+    for at in range(0, len(rows), 150):
+        best = knn._merge(best, pa.array([i for i, _ in vectors[at : at + 150]]), rows[at : at + 150], matrix, 5)
+    place = np.arange(35) % 5 + 1
+    assert {(q, i, p, round(s, 9)) for q, s, i, p in zip(*best, place)} == brute(vectors, questions, 5)
     assert collected(knn.top_k(stored, asked, 5, max_cells=max_cells)) == brute(vectors, questions, 5)
 
 
@@ -95,11 +104,27 @@ def test_context_and_prompt(spark):
     assert prompt.startswith("Q why not? C Document Name: 9\nContent: nine {query}")
 
 
+def test_a_hit_without_a_document_keeps_its_question(spark):
+    hits = spark.createDataFrame([(1, 7, 1), (1, 9, 2), (2, 9, 1)], "question_id int, vec_id int, rank int")
+    documents = spark.createDataFrame([(7, "seven"), (8, "no")], "doc_id int, text string")
+    found = context.with_content(hits, documents, "vec_id", "doc_id", "text")
+    assert found.count() == 3
+    contexts = {r.question_id: r.context for r in context.context(found, "question_id", "vec_id").collect()}
+    assert contexts == {1: "Document Name: 7\nContent: seven", 2: ""}
+
+
+def test_scores_that_overflow_are_left_out(spark):
+    stored = spark.createDataFrame([(1, [1e300, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1e300, 1.0])], "question_id int, question_vector array<double>")
+    assert [r.vec_id for r in knn.top_k(stored, asked, 2).orderBy("rank").collect()] == [2, 3]
+    assert [r.vec_id for r in knn.top_k_single(stored, [1e300, 1.0], 2).collect()] == [2, 3]
+
+
 @pytest.mark.parametrize("max_cells", [1, 4, 16_000_000])
 @pytest.mark.parametrize("parts", [1, 5])
 def test_bad_vectors_cost_no_hits(spark, max_cells, parts):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [0.5, 0.5]), (4, [None, 1.0]), (5, None), (6, [inf, 0.0]), (7, [0.0, 1.0])]
+    rows = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [0.5, 0.5]), (4, [None, 1.0]), (5, None), (6, [inf, 0.0]), (7, [0.0, 1.0]), (None, [9.0, 9.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [nan, 1.0]), (4, None)], "question_id long, question_vector array<double>")
     got = sorted((r.question_id, r["rank"], r.vec_id) for r in knn.top_k(vectors, asked, 2, max_cells=max_cells).collect())
