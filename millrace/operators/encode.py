@@ -156,12 +156,14 @@ def gaussian(key: Column, seed: int = 0) -> Column:
     """A standard normal number per key and seed (Box-Muller on two hashes).
 
     Unlike ``randn`` it does not depend on how rows are spread or ordered, so
-    a task that runs again gives the same numbers.
+    a task that runs again gives the same numbers. The 52 bits of a draw come
+    from md5, which other engines have too.
     """
-    span = 1 << 53
+    span = 1 << 52
 
     def uniform(n: int) -> Column:
-        return (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(n)), F.lit(span)) + 1) / F.lit(float(span + 1))
+        digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)), F.lit(str(n))))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(span + 1))
 
     return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
 

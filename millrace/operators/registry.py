@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STORED = "kind string, name string, path string, seq long"
 ENTRY = "project string, name string, version int, path string, action string"
 STATE = "project string, state string, seq long"
 
@@ -14,7 +17,9 @@ class Registry:
     """A folder with stored tables, fitted models, project states and registered versions.
 
     Everything is parquet in a folder that all executors reach. Entries are
-    appended, never rewritten; meant for one writer at a time.
+    appended, never rewritten, and every stored table or model has a folder of
+    its own, so a registered version keeps its content when the name is stored
+    again. Meant for one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -23,21 +28,33 @@ class Registry:
     # stored tables and models
 
     def store_table(self, df: DataFrame, name: str) -> str:
-        """Store a table under a name, replacing an earlier one."""
-        path = f"{self.root}/tables/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return path
+        """Store a table under a name and return its path; ``table`` reads the latest one."""
+        path = f"{self.root}/tables/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._stored("table", name, path)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/tables/{name}")
+        return self.spark.read.parquet(self.stored_path(name, "table"))
 
     def store_model(self, model: PipelineModel, name: str) -> str:
-        path = f"{self.root}/models/{name}"
-        model.write().overwrite().save(path)
-        return path
+        """Store a fitted model under a name and return its path; ``model`` loads the latest one."""
+        path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
+        model.write().save(path)
+        return self._stored("model", name, path)
 
     def model(self, name: str) -> PipelineModel:
-        return PipelineModel.load(f"{self.root}/models/{name}")
+        return PipelineModel.load(self.stored_path(name, "model"))
+
+    def _stored(self, kind: str, name: str, path: str) -> str:
+        last = self._read("stored", STORED).filter(F.col("name") == name).agg(F.max("seq")).first()[0]
+        self._append("stored", STORED, (kind, name, path, (last or 0) + 1))
+        return path
+
+    def stored_path(self, name: str, kind: str | None = None) -> str | None:
+        """Path of what was stored last under a name; None when there is nothing."""
+        same = F.col("name") == name
+        same = same & (F.col("kind") == kind) if kind else same
+        return self._read("stored", STORED).filter(same).agg(F.max_by("path", "seq")).first()[0]
 
     # versions
 
@@ -57,7 +74,7 @@ class Registry:
     def entries(self) -> DataFrame:
         return self._read("entries", ENTRY)
 
-    def register(self, path: str, name: str, project: str, force: bool = False, action: str = "register") -> int:
+    def register(self, path: str | None, name: str, project: str, force: bool = False, action: str = "register") -> int:
         """Add a version. A name that is taken needs ``force``, which adds the next one."""
         same = (F.col("project") == project) & (F.col("name") == name)
         last = self.entries().filter(same).agg(F.max("version")).first()[0]
@@ -67,6 +84,24 @@ class Registry:
         self._append("entries", ENTRY, (project, name, version, path, action))
         return version
 
+    def version_path(self, project: str, name: str, version: int | None = None, action: str | None = None) -> str:
+        """Path of a version, or of the newest one; ``action`` asks for one that was, say, published."""
+        same = (F.col("project") == project) & (F.col("name") == name)
+        same = same & (F.col("version") == version) if version is not None else same
+        same = same & (F.col("action") == action) if action else same
+        path = self.entries().filter(same).agg(F.max_by("path", "version")).first()[0]
+        if path is None:
+            raise ValueError(f"no {action or 'registered'} version {'' if version is None else version} of {project}/{name}")
+        return path
+
+    def published_table(self, project: str, name: str, version: int | None = None) -> DataFrame:
+        """The table (such as coefficients) of a published version."""
+        return self.spark.read.parquet(self.version_path(project, name, version, "publish"))
+
+    def published_model(self, project: str, name: str, version: int | None = None) -> PipelineModel:
+        """The fitted model of a published version."""
+        return PipelineModel.load(self.version_path(project, name, version, "publish"))
+
     # project states and actions on the champion
 
     def set_state(self, project: str, state: str) -> None:
@@ -90,8 +125,7 @@ class Registry:
         elif action not in ("register", "publish"):
             error = "invalid action; register or publish"
         else:
-            path = f"{self.root}/models/{project}"
-            version = self.register(path, project, project, force=True, action=action)
+            version = self.register(self.stored_path(project), project, project, force=True, action=action)
             message = f"{action.capitalize()} done"
         schema = "project string, action string, version int, message string, error string"
         return self.spark.createDataFrame([(project, action, version, message, error)], schema)

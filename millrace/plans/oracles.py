@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from millrace.functions import text
+from millrace.operators.models import SEED
 from millrace.operators.summary import WORD
 from millrace.plans import abt
-from millrace.plans.queries import YEAR_A, YEAR_B
+from millrace.plans.queries import NOISE_LEVEL, REGISTERED, YEAR_A, YEAR_B
 from millrace.sources.fixtures import DESCRIPTIONS
 
 # Columns of the given tables, as Spark names their types.
@@ -173,6 +174,22 @@ def _encoding_columns() -> str:
     )
 
 
+def _noisy_encode() -> str:
+    """Encodings times 1 + level * N(0, 1), the normal number drawn from md5 of key, seed and 1 or 2."""
+    def uniform(seed: int, n: int) -> str:
+        digits = f"substr(md5(ClaimNumber || '|{seed}|{n}'), 1, 13)"
+        return f"((cast(('0x' || {digits}) as bigint) + 1.0::double) / {float((1 << 52) + 1)!r}::double)"
+
+    columns = []
+    for i, name in enumerate(abt.ENCODINGS.values()):
+        normal = f"sqrt(-2 * ln({uniform(SEED + i, 1)})) * cos(2 * pi() * {uniform(SEED + i, 2)})"
+        value = f"coalesce(enc{i}.average, (select p from prior))"
+        columns.append(f"round({value} * (1 + {NOISE_LEVEL} * {normal}), 6) as {name}")
+    return f"""with {CLAIMS}, loss as (select *, ln(1 + {CAPPED}) as loss from claims),
+{_features('loss')}, {_encodings('featured')}
+select ClaimNumber, split, {', '.join(columns)} from {_encoding_joins('grouped')}"""
+
+
 def _target_encode(split: str) -> str:
     return f"""with {CLAIMS}, loss as (select *, ln(1 + {CAPPED}) as loss from claims),
 {_features('loss')}, {_encodings('featured')}
@@ -316,6 +333,38 @@ SCORES = f"""with {EMISSIONS}, {ONE_EFFECT}
 select l_orderkey, l_linenumber, activity_desc, round(m, 6) as predicted from emissions left join e on activity_desc = level"""
 
 
+def _model_registry() -> str:
+    """Parameters and intercept (the mean of the last level) of the one-effect model of each version."""
+    versions = [
+        f"""select cast({v} as int) as version, count(*) + 1 as n_parameters, round(max_by(m, level), 6) as intercept
+from (select {e} as level, avg(verified) as m from u group by 1)"""
+        for v, e in enumerate(REGISTERED, 1)
+    ]
+    return f"""with {EMISSIONS}, u as (select * from emissions where year_comp = {YEAR_A} and verified is not null)
+select 'emissions' as project, 'glm_back' as name, 'register' as action, * from ({' union all '.join(versions)})"""
+
+
+def _level_totals(effects: list[str]) -> str:
+    """The observed totals per level, which a least-squares fit meets; the selected model holds activity_desc alone."""
+    levels = [
+        f"select '{e}' as effect, {e} as level, count(*) as n, round(sum(verified), 3) as total_predicted from u group by {e}" for e in effects
+    ]
+    return f"""with {EMISSIONS}, u as (select * from emissions where year_comp = {YEAR_A} and verified is not null)
+{' union all '.join(levels)}"""
+
+
+def _anova() -> str:
+    """Analysis of variance of the selected model, which holds activity_desc alone; its p-value is 0 to two digits."""
+    return f"""with {EMISSIONS}, u as (select * from emissions where year_comp = {YEAR_A} and verified is not null),
+g as (select activity_desc, count(*) as c, var_pop(verified) * count(*) as css from u group by 1),
+s as (select (select count(*) from u) as n, (select count(*) from g) as p, (select sum(css) from g) as sse,
+  (select var_pop(verified) * count(*) from u) as tss),
+m as (select *, (tss - sse) / (p - 1) as msm, sse / (n - p) as mse from s)
+select 'Model' as source, p - 1 as df, round(tss - sse, 2) as ss, round(msm, 2) as ms, round(msm / mse, 2) as f_value, cast(0 as double) as p_value from m
+union all select 'Error', n - p, round(sse, 2), round(mse, 2), null, null from m
+union all select 'Corrected Total', n - 1, round(tss, 2), null, null, null from m"""
+
+
 def _fit_statistics() -> str:
     stats = {
         "n_read": "n_read",
@@ -418,7 +467,7 @@ from (select page_id, regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>'
         "select cast(position as int) as position, word, coalesce(n, 0) as n_claims from listed left join used on word = tok",
         "date_parts": f"{claims}select ClaimNumber, {_columns(PARTS)}, dayname(DateTimeOfAccident) as WeekdayOfAccident from claims",
         "report_delay": f"{claims}select ClaimNumber, {DAYS} as DaysReportDelay, {WEEKS} as WeeksReportDelay from claims",
-        "log_cost": f"{claims}select ClaimNumber, round(ln(1 + {cost}), 8) as LogInitialIncurredCalimsCost, round(ln(1 + {CAPPED}), 8) as loss from claims where split = 'train'",
+        "log_cost": f"{claims}select ClaimNumber, round(ln(1 + {cost}), 8) as LogInitialIncurredCalimsCost, case when split = 'train' then round(ln(1 + {CAPPED}), 8) end as loss from claims",
         "code_interactions": f"{claims}select ClaimNumber, {_columns(INTERACTIONS)} from claims",
         "text_normalize": f"""select doc_id, replace(text, chr(10), ' ') as one_line, {_collapsed('text')} as collapsed, lower(lang) as library,
  upper(substr(source, 1, 1)) || lower(substr(source, 2)) as table_name, to_base64(encode(text)) as encoded from documents""",
@@ -436,6 +485,7 @@ s as (select split as sp, quantile_cont(lc, 0.95) as q from d group by 1)
 select ClaimNumber, cast(lc >= q as int) as Severity_Ind, round(q, 8) as threshold, split from d join s on split = sp""",
         "rare_level": f"""{features}, kept as (select CauseOfInjury as k from featured where split = 'train' group by 1 having count(*) >= 100 and CauseOfInjury <> 'Unknown')
 select ClaimNumber, split, case when CauseOfInjury in (select k from kept) then CauseOfInjury else 'Others' end as CauseOfInjury from featured""",
+        "encode_noise": _noisy_encode(),
         "target_encode": _target_encode("train"),
         "target_encode_test": _target_encode("test"),
         "frequency_encode": f"""{features}, n as (select BodyParts as b, count(*) as n from featured where split = 'train' group by 1)
@@ -457,8 +507,10 @@ group by grouping sets ((), (country_id), (nace_desc), (activity_desc), (country
         "glm_fit_statistics": _fit_statistics(),
         "glm_score": SCORES,
         "stream_score": SCORES,
-        "model_registry": f"""{emissions}, p as (select count(distinct activity_desc) + 1 as n from emissions where year_comp = {YEAR_A} and verified is not null)
-select 'emissions' as project, 'glm_back' as name, cast(v as int) as version, 'register' as action, n as n_parameters from p, (values (1), (2)) t(v)""",
+        "model_registry": _model_registry(),
+        "glm_fit_totals": _level_totals(["country_id", "nace_desc", "activity_desc"]),
+        "glm_published_totals": _level_totals(["activity_desc"]),
+        "glm_anova": _anova(),
         "automl_manage": """select 'emissions_project' as project, action, version, message, error from (values
  ('register', cast(1 as int), 'Register done', cast(null as varchar)), ('publish', 2, 'Publish done', null),
  ('remove', null, null, 'invalid action; register or publish')) t(action, version, message, error)""",

@@ -24,8 +24,10 @@ from millrace.streaming import scoring
 YEAR_A, YEAR_B = 1997, 1998
 EFFECTS = ["country_id", "nace_desc", "activity_desc"]
 ONE_EFFECT = ["activity_desc"]
+REGISTERED = ["activity_desc", "country_id"]  # the effect of each version in the registry
 RESPONSE = "verified"
 KEY = "ClaimNumber"
+NOISE_LEVEL = 0.01
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -263,9 +265,11 @@ def report_delay(spark, folder):
 
 @query
 def log_cost(spark, folder):
-    claims = fixtures.train_claims(spark, folder)
+    """Logarithms of both costs; the loss is known for train rows only."""
+    claims = fixtures.claims(spark, folder)
     cost = rules.clip(F.col("UltimateIncurredClaimCost"), high=rules.COST_CAP)
-    return rounded(claims.select(KEY, F.log1p(abt.COST).alias(abt.LOG_COST), F.log1p(cost).alias(abt.TARGET)), 8)
+    loss = F.when(F.col("split") == "train", F.log1p(cost))
+    return rounded(claims.select(KEY, F.log1p(abt.COST).alias(abt.LOG_COST), loss.alias(abt.TARGET)), 8)
 
 
 @query
@@ -403,7 +407,9 @@ def target_encode_test(spark, folder):
 
 @query
 def encode_noise(spark, folder):
-    return rounded(_encoded(spark, folder, "train", noise_level=0.01, seed=models.SEED))
+    """Encodings with noise, on train and on test."""
+    sets = [_encoded(spark, folder, s, NOISE_LEVEL, models.SEED).withColumn("split", F.lit(s)) for s in ("train", "test")]
+    return rounded(union(sets))
 
 
 @query
@@ -491,7 +497,32 @@ def glm_forward(spark, folder):
 
 @query
 def glm_anova(spark, folder):
-    return rounded(glm.anova(spark, _year_fit(spark, folder, selection="BACKWARD")), 4)
+    return rounded(glm.anova(spark, _year_fit(spark, folder, selection="BACKWARD")), 2)
+
+
+def _level_totals(spark, folder, coefficients: DataFrame, effects: Sequence[str]) -> DataFrame:
+    """Rows and predicted total per level of the effects: least squares meets the observed totals, and only it does."""
+    used = fixtures.emissions(spark, folder, YEAR_A).filter(F.col(RESPONSE).isNotNull())
+    scored = glm.score(used, coefficients, effects)
+    pairs = F.array(*[F.struct(F.lit(e).alias("effect"), F.col(e).alias("level")) for e in effects])
+    levels = scored.select(F.explode(pairs).alias("p"), "predicted").groupBy("p.effect", "p.level")
+    return rounded(levels.agg(F.count("*").alias("n"), F.sum("predicted").alias("total_predicted")), 3)
+
+
+@query
+def glm_fit_totals(spark, folder):
+    """Predicted totals of the full model per level of each effect."""
+    return _level_totals(spark, folder, glm.parameter_estimates(spark, _year_fit(spark, folder)), EFFECTS)
+
+
+@query
+def glm_published_totals(spark, folder):
+    """The model that BACKWARD selects, stored, published, loaded by name and version, and applied."""
+    registry = Registry(spark, new_path(spark, "registry"))
+    chosen = _year_fit(spark, folder, selection="BACKWARD")
+    path = registry.store_table(glm.parameter_estimates(spark, chosen), "reg_model")
+    version = registry.register(path, "glm_back", "emissions", action="publish")
+    return _level_totals(spark, folder, registry.published_table("emissions", "glm_back", version), chosen.effects)
 
 
 def _stored_model(spark, folder) -> tuple[Registry, str]:
@@ -508,12 +539,20 @@ def glm_store(spark, folder):
 
 @query
 def model_registry(spark, folder):
-    """Register a stored model twice; list versions with the parameters stored for them."""
-    registry, path = _stored_model(spark, folder)
-    for _ in range(2):
-        registry.register(path, "glm_back", "emissions", force=True)
-    parameters = registry.table("reg_model").agg(F.count("*").alias("n")).select("n").scalar()
-    return registry.entries().select("project", "name", "version", "action", parameters.alias("n_parameters"))
+    """Two models stored under one name, each registered: every version shows its own parameters."""
+    registry = Registry(spark, new_path(spark, "registry"))
+    for effect in REGISTERED:
+        estimates = glm.parameter_estimates(spark, _year_fit(spark, folder, [effect]))
+        registry.register(registry.store_table(estimates, "reg_model"), "glm_back", "emissions", force=True)
+    entries = registry.entries()
+    intercept = F.max(F.when(F.col("effect") == glm.INTERCEPT, F.col("estimate")))
+    versions = []
+    for version in range(1, len(REGISTERED) + 1):
+        stored = spark.read.parquet(registry.version_path("emissions", "glm_back", version))
+        facts = stored.agg(F.count("*").alias("n_parameters"), intercept.alias("intercept"))
+        versions.append(facts.withColumn("version", F.lit(version)))
+    shown = entries.join(F.broadcast(union(versions)), "version")
+    return rounded(shown.select("project", "name", "version", "action", "n_parameters", "intercept"))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import new_path
+from millrace.session import durable_path
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -134,20 +134,26 @@ def run_sql(
 def create_table_as(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Create or replace a table from a query, and return the stored table.
 
-    The rows are written in full to a fresh folder before the name is turned
-    to them, so the query may read the table that it replaces.
+    The rows are written in full to a fresh folder of the warehouse before the
+    name is turned to them, so the query may read the table that it replaces,
+    and a run that fails leaves the old table. With the same columns the name
+    never goes away in between.
     """
     spark = df.sparkSession
-    path = path or new_path(spark, name)
+    path = path or durable_path(spark, name)
     df.write.parquet(path)
+    if spark.catalog.tableExists(name) and spark.table(name).dtypes == df.dtypes:
+        spark.sql(f"alter table {name} set location '{path}'")
+        spark.catalog.refreshTable(name)
+        return spark.table(name)
     spark.sql(f"drop table if exists {name}")
     return spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
 
 
 def promote(df: DataFrame, name: str) -> DataFrame:
-    """Store a table and make it visible to every session of the application."""
+    """Store a table in the warehouse and make it visible to every session of the application."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = durable_path(spark, name)
     df.write.parquet(path)
     spark.read.schema(df.schema).parquet(path).createOrReplaceGlobalTempView(name)
     return spark.table(f"global_temp.{name}")
