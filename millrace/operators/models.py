@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IDF, HashingTF, OneHotEncoder, RegexTokenizer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from millrace.functions.rules import column_roles
+from millrace.session import settle
 
 SEED = 9125
+WORD = r"[\p{L}\p{N}]+"
 TEMPLATES = [
     ("linear", "Linear template", "One linear model on encoded classes", ["linear"]),
     ("trees", "Tree template", "Random forest and boosted trees", ["forest", "boosting"]),
@@ -66,6 +67,27 @@ class Project:
     state: str = "completed"
 
 
+def train_part(key: Sequence[str]) -> Column:
+    """Whether a row is one of the seven in ten that models are fitted on, by md5 of its key."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10 < 7
+
+
+def project_from_table(
+    spark: SparkSession, name: str, table: str, target: str, template: str = "standard", key: Sequence[str] = (), **options
+) -> Project:
+    """A project from the name of a table (``library.table``) and a target; roles come from the columns.
+
+    Texts of few values are classes, numbers are numbers, other columns are
+    left out. Without a key, rows are parted by all their plain columns.
+    """
+    df = spark.table(table)
+    plain = [c for c, kind in df.dtypes if "<" not in kind]
+    roles = column_roles(df.drop(target, *key), []).collect()
+    classes, numbers = [r.column_name for r in roles if r.is_cat], [r.column_name for r in roles if r.is_num]
+    return create_project(df, name, template, table, target, classes, numbers, key or plain, **options)
+
+
 def create_project(
     df: DataFrame,
     name: str,
@@ -89,24 +111,21 @@ def create_project(
         *classes,
         *[F.col(c).cast("double").alias(c) for c in numbers],
         F.col(target).cast("double").alias("label"),
-        (F.pmod(F.xxhash64(*key), F.lit(10)) < 7).alias("train"),
+        train_part(key).alias("train"),
     )
     encoder = _features(classes, numbers).fit(rows.filter("train"))
     prepared = encoder.transform(rows).select("features", "label", "train")
     # even parts of a bounded size, as many as there are cores at least: every iteration runs over them
-    ready = prepared.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        train, check = ready.filter("train"), ready.filter("not train")
-        if binary:
-            judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
-        else:
-            judge = RegressionEvaluator(labelCol="label", metricName="rmse")
-        tried = []
-        for kind in kinds[template]:
-            model = _learner(kind, binary).fit(train)
-            tried.append((kind, judge.evaluate(model.transform(check)), model))
-    finally:
-        ready.unpersist()
+    ready = settle(prepared.hint("rebalance"), "features")
+    train, check = ready.filter("train"), ready.filter("not train")
+    if binary:
+        judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
+    else:
+        judge = RegressionEvaluator(labelCol="label", metricName="rmse")
+    tried = []
+    for kind in kinds[template]:
+        model = _learner(kind, binary).fit(train)
+        tried.append((kind, judge.evaluate(model.transform(check)), model))
     tried.sort(key=lambda t: -t[1] if judge.isLargerBetter() else t[1])
     champion = PipelineModel(stages=[*encoder.stages, tried[0][2]])
     metric = judge.getMetricName()
@@ -127,24 +146,33 @@ def leaderboard(spark: SparkSession, project: Project) -> DataFrame:
     return board.join(F.broadcast(templates(spark)), "id").withColumnRenamed("id", "template_id")
 
 
-def fit_text_classifier(
-    texts: DataFrame, label: str = "label", text: str = "text", features: int = 1 << 16
-) -> Transformer:
-    """Bag of words with inverse document frequency, then logistic regression."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
-        HashingTF(inputCol="__words", outputCol="__tf", numFeatures=features),
-        IDF(inputCol="__tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, maxIter=30, tol=1e-4),
-    ]
-    return Pipeline(stages=stages).fit(texts)
+def _words(text: str) -> Column:
+    return F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word")
+
 
+def fit_text_classifier(texts: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
+    """Multinomial naive Bayes on words, labels 0 and 1: a table (word, weight), the prior under the null word.
 
-def classify(texts: DataFrame, model: Transformer, key: str, names: Sequence[str] = ("negative", "positive")) -> DataFrame:
-    """Label and probability for every text, in batch."""
-    said = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
-    return model.transform(texts).select(
+    Every word keeps a weight of its own, the logarithm of its smoothed share
+    in texts of label 1 over that in texts of label 0. One grouped pass;
+    texts without a label are left out.
+    """
+    one, zero = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    counts = settle(texts.select(label, _words(text)).groupBy("word").agg(one.alias("one"), zero.alias("zero")).filter("one + zero > 0"), "word-counts")
+    total = counts.agg(F.coalesce(F.sum("one"), F.lit(0)).alias("one"), F.coalesce(F.sum("zero"), F.lit(0)).alias("zero"), F.count("*").alias("n")).first()
+    share = F.log((F.col("one") + 1.0) / (total.one + total.n)) - F.log((F.col("zero") + 1.0) / (total.zero + total.n))
+    prior = texts.agg(F.log((one + 1.0) / (zero + 1.0)).alias("weight"))
+    return counts.select("word", share.alias("weight")).unionByName(prior.select(F.lit(None).cast("string").alias("word"), "weight"))
+
+
+def classify(texts: DataFrame, weights: DataFrame, key: str, names: Sequence[str] = ("negative", "positive"), text: str = "text") -> DataFrame:
+    """Label and its probability for every text, in batch; ``key`` tells texts apart. A text without known words gets the prior's."""
+    prior = weights.filter("word is null").first().weight
+    counted = texts.select(key, _words(text)).groupBy(key, "word").agg(F.count("*").alias("n"))
+    sums = counted.join(weights, "word").groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias("__sum"))
+    odds = F.round(F.coalesce("__sum", F.lit(0.0)) + F.lit(prior), 9)  # a tie is one whatever the order of summation
+    return texts.select(key).join(sums, key, "left").select(
         key,
-        said.alias("label"),
-        F.array_max(vector_to_array("probability").cast(T.ArrayType(T.DoubleType()))).alias("score"),
+        F.when(odds >= 0, names[1]).otherwise(names[0]).alias("label"),
+        (1 / (1 + F.exp(-F.abs(odds)))).alias("score"),
     )

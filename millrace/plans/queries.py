@@ -28,6 +28,7 @@ REGISTERED = ["activity_desc", "country_id"]  # the effect of each version in th
 RESPONSE = "verified"
 KEY = "ClaimNumber"
 NOISE_LEVEL = 0.01
+PROJECT_KEY = ["l_orderkey", "l_linenumber"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -593,7 +594,7 @@ def _project(spark, folder, template: str = "standard") -> models.Project:
         RESPONSE,
         classes=EFFECTS,
         numbers=["year_comp"],
-        key=["l_orderkey", "l_linenumber"],
+        key=PROJECT_KEY,
     )
 
 
@@ -604,23 +605,28 @@ def automl_leaderboard(spark, folder):
 
 @query
 def automl_manage(spark, folder):
-    """Publish, register and a wrong action, on a finished project."""
+    """Actions on a running, a failed and a finished project; the published champion is loaded and applied."""
     project = _project(spark, folder, "linear")
     registry = Registry(spark, new_path(spark, "projects"))
     registry.store_model(project.champion, project.name)
-    registry.set_state(project.name, project.state)
-    return union([registry.manage(project.name, action) for action in ("register", "publish", "remove")])
+    done = []
+    for state, action in [("running", "register"), ("failed", "publish"), *[(project.state, a) for a in ("register", "publish", "remove")]]:
+        registry.set_state(project.name, state)
+        done.append(registry.manage(project.name, action))
+    champion = registry.published_model(project.name, project.name)
+    fitted = fixtures.emissions(spark, folder).filter(models.train_part(PROJECT_KEY) & F.col(RESPONSE).isNotNull())
+    scored = champion.transform(fitted).agg(F.count("*").alias("n_scored"), F.avg("prediction").alias("mean_predicted"))
+    scored = scored.withColumn("scored_message", F.lit("Publish done"))
+    return rounded(union(done).join(F.broadcast(scored), F.col("message") == F.col("scored_message"), "left").drop("scored_message"), 4)
 
 
 @query
 def text_classify(spark, folder):
     """A classifier learnt from the labelled documents, applied to all of them."""
     documents = tables.table(spark, folder, "documents")
-    labelled = documents.join(tables.table(spark, folder, "labels"), "doc_id").select(
-        "text", F.col("quality").cast("double").alias("label")
-    )
-    model = models.fit_text_classifier(settle(labelled.hint("rebalance"), "labelled"))
-    return rounded(models.classify(documents.select("doc_id", "text"), model, "doc_id"), 4)
+    labelled = documents.join(tables.table(spark, folder, "labels"), "doc_id").select("text", F.col("quality").alias("label"))
+    weights = settle(models.fit_text_classifier(labelled), "word-weights")
+    return rounded(models.classify(documents.select("doc_id", "text"), weights, "doc_id"), 4)
 
 
 @query

@@ -66,6 +66,33 @@ def test_registry(spark, tmp_path):
     assert registry.entries().count() == 2
 
 
+def test_versions_keep_their_content(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path))
+    for n, action in ((2, "register"), (5, "publish"), (7, "register")):
+        registry.register(registry.store_table(spark.range(n), "m"), "m", "p", force=True, action=action)
+    assert [spark.read.parquet(registry.version_path("p", "m", v)).count() for v in (1, 2, 3)] == [2, 5, 7]
+    assert registry.published_table("p", "m").count() == registry.published_table("p", "m", 2).count() == 5
+    for version in (1, 4):
+        with pytest.raises(ValueError, match="no publish version"):
+            registry.published_table("p", "m", version)
+
+
+def test_a_project_that_failed_after_all_is_not_published(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path))
+    for state in ("completed", "failed"):
+        registry.set_state("p", state)
+    assert registry.manage("p", "publish").first().message == "project is not completed: failed"
+
+
+def test_stored_tables_lie_in_the_warehouse(spark):
+    tables.create_table_as(spark.range(2), "t_lasting")
+    tables.create_table_as(spark.range(3), "t_lasting")
+    tables.create_table_as(spark.range(3).withColumnRenamed("id", "other"), "t_lasting")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    assert spark.table("t_lasting").columns == ["other"] and spark.table("t_lasting").count() == 3
+    assert all(f.removeprefix("file://").startswith(warehouse) for f in spark.table("t_lasting").inputFiles())
+
+
 def test_manage_needs_a_completed_project(spark, tmp_path):
     registry = Registry(spark, str(tmp_path))
     assert registry.manage("p", "register").first().error == "no project p"

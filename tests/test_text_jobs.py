@@ -111,3 +111,24 @@ def test_text_classifier(spark):
     df = spark.createDataFrame(rows, "i int, text string, label double")
     got = models.classify(df, models.fit_text_classifier(df), "i").collect()
     assert all(r.label == ("positive" if r.i % 2 else "negative") for r in got)
+
+
+def test_text_classifier_by_hand(spark):
+    rows = [(1, "a a b", 1), (2, "b c", 0), (3, None, 1), (4, "", 0), (5, "A zzz", None), (6, "unseen", None)]
+    df = spark.createDataFrame(rows, "i int, text string, label int")
+    weights = {r.word: r.weight for r in models.fit_text_classifier(df).collect()}
+    assert weights[None] == pytest.approx(math.log(3 / 3)) and set(weights) == {None, "a", "b", "c"}
+    assert weights["a"] == pytest.approx(math.log(3 / 6) - math.log(1 / 5))
+    got = {r.i: r for r in models.classify(df, models.fit_text_classifier(df), "i").collect()}
+    assert len(got) == 6 and got[5].label == "positive" and got[2].label == "negative"
+    assert got[3].score == got[4].score == got[6].score == 0.5
+    nothing = models.fit_text_classifier(df.limit(0))
+    assert models.classify(df, nothing, "i").count() == 6
+
+
+def test_project_from_a_table_name(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i % 2), f"free text {i}", [i]) for i in range(200)], "k int, c string, y double, t string, a array<int>")
+    df.createOrReplaceTempView("lines_of_project")
+    project = models.project_from_table(spark, "p", "lines_of_project", "y", "linear")
+    assert project.table == "lines_of_project" and project.results[0][1] < 0.2
+    assert "prediction" in project.champion.transform(df).columns
