@@ -28,24 +28,25 @@ PHRASES = {
 ACCIDENT_WORDS = ["STRUCK", "HAMMER", "LADDER", "STAIR", "FELT", "TRUCK", "MOTOR"]
 
 # The body part list, and the words added to and removed from it.
-BODY_PARTS = """
-abdomen; adam's apple; adenoids; adrenal gland; anatomy; ankle; anus; appendix; arch; arm;
-artery; back; ball of the foot; belly; belly button; big toe; bladder; blood; blood vessels;
-body; bone; brain; breast; buttocks; calf; capillary; carpal; cartilage; cell;
-cervical vertebrae; cheek; chest; chin; circulatory system; clavicle; coccyx; collar bone;
-diaphragm; digestive system; ear; ear lobe; elbow; endocrine system; esophagus; eye; eyebrow;
-eyelashes; eyelid; face; fallopian tubes; feet; femur; fibula; filling; finger; fingernail;
-follicle; foot; forehead; gallbladder; glands; groin; gums; hair; hand; head; heart; heel; hip;
-humerus; immune system; index finger; instep; intestines; iris; jaw; kidney; knee; larynx; leg;
-ligament; lip; liver; lobe; lumbar vertebrae; lungs; lymph node; mandible; metacarpal;
-metatarsal; molar; mouth; muscle; nail; navel; neck; nerves; nipple; nose; nostril; organs;
-ovary; palm; pancreas; patella; pelvis; phalanges; pharynx; pinky; pituitary; pore; pupil;
-radius; rectum; red blood cells; respiratory system; ribs; sacrum; scalp; scapula; senses; shin;
-shoulder; shoulder blade; skeleton; skin; skull; sole; spinal column; lumbar; spine; spleen;
-sternum; stomach; tarsal; teeth; tendon; testes; thigh; thorax; throat; thumb; thyroid; tibia;
-tissue; toe; toenail; tongue; tonsils; tooth; torso; trachea; ulna; ureter; urethra;
-urinary system; uterus; uvula; vein; vertebra; waist; white blood cells; wrist
-"""
+BODY_PARTS = [
+    "abdomen", "adam's apple", "adenoids", "adrenal gland", "anatomy", "ankle", "anus", "appendix", "arch", "arm",
+    "artery", "back", "ball of the foot", "belly", "belly button", "big toe", "bladder", "blood", "blood vessels",
+    "body", "bone", "brain", "breast", "buttocks", "calf", "capillary", "carpal", "cartilage", "cell",
+    "cervical vertebrae", "cheek", "chest", "chin", "circulatory system", "clavicle", "coccyx", "collar bone",
+    "diaphragm", "digestive system", "ear", "ear lobe", "elbow", "endocrine system", "esophagus", "eye", "eyebrow",
+    "eyelashes", "eyelid", "face", "fallopian tubes", "feet", "femur", "fibula", "filling", "finger", "fingernail",
+    "follicle", "foot", "forehead", "gallbladder", "glands", "groin", "gums", "hair", "hand", "head", "heart", "heel",
+    "hip", "humerus", "immune system", "index finger", "instep", "intestines", "iris", "jaw", "kidney", "knee",
+    "larynx", "leg", "ligament", "lip", "liver", "lobe", "lumbar vertebrae", "lungs", "lymph node", "mandible",
+    "metacarpal", "metatarsal", "molar", "mouth", "muscle", "nail", "navel", "neck", "nerves", "nipple", "nose",
+    "nostril", "organs", "ovary", "palm", "pancreas", "patella", "pelvis", "phalanges", "pharynx", "pinky",
+    "pituitary", "pore", "pupil", "radius", "rectum", "red blood cells", "respiratory system", "ribs", "sacrum",
+    "scalp", "scapula", "senses", "shin", "shoulder", "shoulder blade", "skeleton", "skin", "skull", "sole",
+    "spinal column", "lumbar", "spine", "spleen", "sternum", "stomach", "tarsal", "teeth", "tendon", "testes",
+    "thigh", "thorax", "throat", "thumb", "thyroid", "tibia", "tissue", "toe", "toenail", "tongue", "tonsils",
+    "tooth", "torso", "trachea", "ulna", "ureter", "urethra", "urinary system", "uterus", "uvula", "vein", "vertebra",
+    "waist", "white blood cells", "wrist",
+]
 BODY_PARTS_ADDED = [
     "feet", "hands", "wrists", "kidneys", "lungs", "teeth", "shoulders", "fingers", "knees",
     "toes", "arms", "eyes", "ears", "legs", "ankles",
@@ -87,7 +88,7 @@ def edited_word_list(words: Column, added: Sequence[str], removed: Sequence[str]
 
 def body_part_words() -> list[str]:
     """The edited body part list as a constant, in its order."""
-    words = list(dict.fromkeys(word_list(BODY_PARTS) + BODY_PARTS_ADDED))
+    words = list(dict.fromkeys(BODY_PARTS + BODY_PARTS_ADDED))
     return [w for w in words if w not in BODY_PARTS_REMOVED]
 
 
@@ -243,6 +244,10 @@ def fill_template(template: str, values: Mapping[str, Column]) -> Column:
 
 
 def html_items(html: Column, tag: str = "li") -> Column:
-    """Texts of all ``<tag>`` elements: inner markup stripped, lower case."""
-    inner = F.regexp_extract_all(html, F.lit(f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-    return F.transform(inner, lambda item: F.lower(F.regexp_replace(item, "<[^>]*>", "")))
+    """Texts of all ``<tag>`` elements, tags in any case: inner markup stripped, lower case.
+
+    An item that is not closed ends at the next item, at the end of its list, or with the page.
+    """
+    item = f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)(?=</?{tag}[\\s>]|</[uo]l\\s*>|\\z)"
+    inner = F.regexp_extract_all(html, F.lit(item), F.lit(1))
+    return F.transform(inner, lambda x: F.lower(F.regexp_replace(x, "<[^>]*>", "")))

@@ -23,7 +23,7 @@ def document_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     counted = (
         documents.select(doc_id, text)
         .repartition(doc_id)
-        .select(doc_id, text, F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("total"))
+        .select(doc_id, text, F.size(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("total"))
     )
     lines = counted.select(doc_id, "total", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     words = lines.select(

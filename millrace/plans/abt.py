@@ -33,6 +33,7 @@ ENCODINGS = {
     CAUSE: "CauseOfInjuryEncoding",
 }
 KEPT = "kept"  # marks the rows of the level table that list the kept causes
+# The names and the order of the output columns.
 COLUMNS = (
     """ClaimNumber Age Gender MaritalStatus DependentChildren DependentsOther WeeklyWages PartTimeFullTime
     HoursWorkedPerWeek DaysWorkedPerWeek InitialIncurredCalimsCost HourlyWages DailyWages AnnualWages

@@ -115,7 +115,7 @@ def _tokens(column: str) -> str:
 
 
 def _word_list() -> list[str]:
-    words = text.word_list(text.BODY_PARTS)
+    words = list(text.BODY_PARTS)
     words += [w for w in text.BODY_PARTS_ADDED if w not in words]
     return [w for w in words if w not in text.BODY_PARTS_REMOVED]
 
@@ -452,7 +452,8 @@ def all_sql() -> dict[str, str]:
         "round(list_sum(cast(embedding as double[])), 6) as vector_sum from embeddings join documents on vec_id = doc_id",
         "html_items": """select page_id, cast(generate_subscripts(found, 1) - 1 as int) as item_no,
  lower(regexp_replace(unnest(found), '<[^>]*>', '', 'g')) as item
-from (select page_id, regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1) as found from pages)""",
+from (select page_id, list_transform(string_split_regex(html, '(?i)<li(\\s[^>]*)?>')[2:],
+ lambda x: string_split_regex(x, '(?i)</li[\\s>]|</[uo]l\\s*>')[1]) as found from pages)""",
         "json_props": """select event_id, cast(props->>'$.k' as int) as k, '{"k":' || cast(props->>'$.k' as int) || '}' as encoded from events""",
         "json_items": "select p_partkey, p_partkey as id, p_name as name, p_type as description from part "
         "union all select p_partkey, p_partkey, p_brand, p_type from part",

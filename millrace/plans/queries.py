@@ -241,7 +241,7 @@ def cause_of_injury(spark, folder):
 def wordlist_edit(spark, folder):
     """The edited word list, with the number of claims that hold each word as a token."""
     words = text.edited_word_list(
-        F.split(F.lit(";".join(text.word_list(text.BODY_PARTS))), ";"), text.BODY_PARTS_ADDED, text.BODY_PARTS_REMOVED
+        F.split(F.lit(";".join(text.BODY_PARTS)), ";"), text.BODY_PARTS_ADDED, text.BODY_PARTS_REMOVED
     )
     listed = spark.range(1).select(F.posexplode(words).alias("position", "word"))
     tokens = fixtures.claims(spark, folder).select(
@@ -374,43 +374,42 @@ def _text_features(claims: DataFrame) -> DataFrame:
 @query
 def rare_level(spark, folder):
     """Kept causes come from the train rows and are applied to all."""
-    claims = _text_features(fixtures.claims(spark, folder))
+    claims = settle(_text_features(fixtures.claims(spark, folder)).select(KEY, "split", abt.CAUSE), "causes")
     counts = claims.filter("split = 'train'").groupBy(abt.CAUSE).agg(F.count("*").alias("n"))
     kept = settle(encode.fit_rare_levels(counts, abt.CAUSE), "kept")
     return encode.apply_rare_levels(claims, kept, abt.CAUSE).select(KEY, "split", abt.CAUSE)
 
 
-def _encoded(spark, folder, split: str, noise_level: float = 0.0, seed: int = 0) -> DataFrame:
-    """Smoothed target encodings, fitted on train in one grouped pass."""
-    train = _text_features(fixtures.train_claims(spark, folder))
-    cost = rules.clip(F.col("UltimateIncurredClaimCost"), high=rules.COST_CAP)
+def _encoded(spark, folder, splits: Sequence[str], noise_level: float = 0.0, seed: int = 0) -> DataFrame:
+    """Smoothed target encodings of the sets, fitted on train in one grouped pass; texts are looked at once."""
     keys = list(abt.ENCODINGS)
-    cells = settle(encode.moments(train.withColumn(abt.TARGET, F.log1p(cost)), keys, [abt.TARGET]), "cells")
-    fitted = abt.fit_train(cells)
-    out = train if split == "train" else _text_features(fixtures.test_claims(spark, folder))
-    out = encode.apply_rare_levels(out, fitted.kept(), abt.CAUSE)
+    claims = fixtures.claims(spark, folder).filter(F.col("split").isin("train", *splits))
+    cost = rules.clip(F.col("UltimateIncurredClaimCost"), high=rules.COST_CAP)
+    rows = _text_features(claims).withColumn(abt.TARGET, F.when(F.col("split") == "train", F.log1p(cost)))
+    rows = settle(rows.select(KEY, "split", *keys, abt.TARGET), "encoded-keys")
+    fitted = abt.fit_train(settle(encode.moments(rows.filter("split = 'train'"), keys, [abt.TARGET]), "cells"))
+    out = encode.apply_rare_levels(rows.filter(F.col("split").isin(*splits)), fitted.kept(), abt.CAUSE)
     for i, (column, name) in enumerate(abt.ENCODINGS.items()):
         out = encode.apply_target_encoding(
             out, fitted.of(column), column, name, fitted.prior, noise_level, seed + i, KEY
         )
-    return out.select(KEY, *abt.ENCODINGS.values())
+    return out.select(KEY, "split", *abt.ENCODINGS.values())
 
 
 @query
 def target_encode(spark, folder):
-    return rounded(_encoded(spark, folder, "train"))
+    return rounded(_encoded(spark, folder, ["train"]).drop("split"))
 
 
 @query
 def target_encode_test(spark, folder):
-    return rounded(_encoded(spark, folder, "test"))
+    return rounded(_encoded(spark, folder, ["test"]).drop("split"))
 
 
 @query
 def encode_noise(spark, folder):
     """Encodings with noise, on train and on test."""
-    sets = [_encoded(spark, folder, s, NOISE_LEVEL, models.SEED).withColumn("split", F.lit(s)) for s in ("train", "test")]
-    return rounded(union(sets))
+    return rounded(_encoded(spark, folder, ["train", "test"], NOISE_LEVEL, models.SEED))
 
 
 @query

@@ -178,6 +178,9 @@ def test_html_items(spark):
     html = "<ul><li class='k'><a href='#'>One</a></li>\n<li>T\nwo</li><link>no</link><li></li></ul>"
     df = spark.createDataFrame([(html,)], "h string").select(text.html_items(F.col("h")).alias("x"))
     assert df.first().x == ["one", "t\nwo", ""]
+    loose = "<UL><LI id=a>One<li>two <b>x</b></UL> after <ol><li>three</LI ><li>four"
+    df = spark.createDataFrame([(loose,), (None,), ("",)], "h string").select(text.html_items(F.col("h")).alias("x"))
+    assert [r.x for r in df.collect()] == [["one", "two x", "three", "four"], None, []]
 
 
 def test_capitalise_and_base64(spark):
