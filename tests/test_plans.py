@@ -2,7 +2,9 @@
 
 import pytest
 
+from millrace.operators import knn
 from millrace.plans import queries
+from millrace.sources import tables
 
 PLAIN = [
     "avg_city_2021", "dedup_rows", "fill_replace", "guarded_wages", "clip_rules", "keyword_flags", "body_parts",
@@ -31,7 +33,8 @@ def test_row_work_does_not_shuffle(spark, folder, name):
 
 def test_groups_are_limited_before_the_shuffle(spark, folder):
     assert plan(spark, folder, "topk_by_task").count("WindowGroupLimit") == 2
-    assert "TakeOrderedAndProject" in plan(spark, folder, "knn_single")
+    hits = knn.top_k_single(tables.table(spark, folder, "embeddings"), [1.0] * 64, 3)
+    assert "TakeOrderedAndProject" in hits._jdf.queryExecution().executedPlan().toString()
 
 
 def test_only_needed_columns_are_read(spark, folder):
