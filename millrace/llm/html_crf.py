@@ -13,6 +13,11 @@ other layouts are always among them. At most ``max_pages`` pages, the least by a
 their id (a documented bound), are learned from, in one task; the model has
 a fixed size. All pages are decoded whole, where they lie.
 
+Scripts, styles and text areas are no text, to their end tag or the end of the
+page. Pictures (svg), frames, lists to choose from, templates and what stands
+for a script are left out only if they are ended; a start tag without its end
+hides nothing.
+
 Null html is an empty page; a page without main text has an empty text.
 """
 
@@ -35,11 +40,20 @@ from millrace.llm.quality import least
 MAX_PAGES = 300
 FEATURES = 1 << 14
 EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
+#: Content that is no markup and runs to its own end tag, or to the end of the page.
+RAW = ("script", "style", "textarea")
+#: Content that is not shown, if its end tag is there; without it they are tags like others.
+PLAIN, NESTED = ("iframe", "noscript"), ("svg", "template", "select")
 PARSE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|noscript|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?P<rest>[^>]*)>"
+    rf"|<(?P<unseen>{'|'.join(PLAIN + NESTED)})(?=[\s/>])(?P<more>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*|[^>]*)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+END = {k: re.compile(rf"</{k}\s*>", re.I) for k in RAW}
+#: To the end tag, with no other start tag of the kind before it.
+CLOSED = {k: re.compile(rf"(?:(?!<{k}[\s/>]).)*?</{k}\s*>", re.S | re.I) for k in RAW + PLAIN}
+SVG_END = re.compile(r"(?=</svg\s*>)", re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
@@ -69,6 +83,47 @@ PRIMER = [
 ]
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Where the text breaks off and goes on again, and the tag there if it counts: its name, whether it ends, attributes."""
+    found: list[tuple[int, int, str | None, bool, str]] = []
+    unended: dict[str, list[int]] = {k: [] for k in NESTED}
+    unseen: dict[int, int] = {}  # start tag to end tag
+    at = 0
+    while m := PARSE.search(page, at):
+        at = m.end()
+        name, attributes = m["tag"] or m["unseen"], m["attributes"] or m["more"] or ""
+        name = name and name.lower()
+        if m["raw"]:
+            kind = m["raw"].lower()
+            if not unended["svg"]:
+                end = END[kind].search(page, at)
+            elif m["rest"].endswith("/"):  # in an svg a tag can be its own end
+                end = m
+            else:
+                end = CLOSED[kind].match(page, at) or SVG_END.search(page, at) or END[kind].search(page, at)
+            at = end.end() if end else len(page)
+        elif name in PLAIN and m["unseen"]:
+            if end := CLOSED[name].match(page, at):
+                name, at = None, end.end()
+        elif name in NESTED:
+            if m["end"]:
+                if unended[name]:
+                    unseen[unended[name].pop()] = len(found)
+            elif name == "svg" and attributes.endswith("/"):
+                name = None
+            else:
+                unended[name].append(len(found))
+        found.append((m.start(), at, name, bool(m["end"]), attributes))
+    i = 0
+    while i < len(found):
+        if i in unseen:
+            yield found[i][0], found[unseen[i]][1], None, False, ""
+            i = unseen[i]
+        else:
+            yield found[i]
+        i += 1
+
+
 def blocks_of(page: str) -> list[tuple[tuple, str, int]]:
     """The leaf blocks in order: their ancestors (tag, names), text, and how many characters stand in links."""
     found: list[tuple[tuple, str, int]] = []
@@ -86,24 +141,22 @@ def blocks_of(page: str) -> list[tuple[tuple, str, int]]:
             texts.clear()
         linked = 0
 
-    for m in PARSE.finditer(page):
-        if m.start() > at:
-            texts.append(page[at : m.start()])
-            linked += (m.start() - at) * (depth > 0)
-        at = m.end()
-        tag = m[3]
+    for start, end, tag, ends, attributes in _tags(page):
+        if start > at:
+            texts.append(page[at:start])
+            linked += (start - at) * (depth > 0)
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                depth = 0 if m[2] else 1
+                depth = 0 if ends else 1
             elif tag == "br":
                 texts.append(" ")
             continue
         flush()
         depth = 0
-        if m[2]:
+        if ends:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -116,8 +169,8 @@ def blocks_of(page: str) -> list[tuple[tuple, str, int]]:
                     break
                 if stack[i][0] not in ENDS_ITSELF:
                     break
-        if tag not in VOID and not m[4].endswith("/"):
-            names = " ".join("".join(g) for g in NAMES.findall(m[4])).lower() if m[4] else ""
+        if tag not in VOID and not attributes.endswith("/"):
+            names = " ".join("".join(g) for g in NAMES.findall(attributes)).lower() if attributes else ""
             stack.append((tag, names))
     if at < len(page):
         texts.append(page[at:])

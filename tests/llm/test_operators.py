@@ -278,6 +278,23 @@ def test_main_text(spark, folder):
     assert html_crf.extract(page, field).split("\n")[:3] == ["A story told at length", "It begins here, with a sentence.", "It goes on."]
 
 
+def test_main_text_after_elements_without_an_end(spark, folder):
+    field = html_crf.train(table(spark, folder, "pages"))
+    story = "<article class=story><h1>A story told at length</h1><p>It begins here, with a sentence.</p><p>It goes on.</p></article>"
+    want = "A story told at length\nIt begins here, with a sentence.\nIt goes on."
+    starts = ["<svg class=\"i\"/>", "<svg class=i />", "<svg title='a > b'/>", "<svg-icon name=x></svg-icon>"]
+    starts += [f"<{k} class=x>" for k in ("svg", "select", "noscript", "iframe", "template")] + ["<svg><style/><path d=z /></svg>", "<svg><style>a{}</svg>"]
+    later = ["", "<svg><svg/>Unseen<g/></svg>", "<template>Unseen<template>it</template>too</template><select><option>Unseen</select>", "<iframe>Unseen<!-- </iframe><noscript>Unseen</noscript>"]
+    for start in starts:
+        for end in later:
+            page = f"<nav>{start}Home</nav>{story}<div class=content>{end}</div>"
+            assert [t for _, t, _ in html_crf.blocks_of(page)] == ["Home", *want.split("\n")], page
+            assert html_crf.extract(page, field) == want, page
+    for unended in ("script", "style", "textarea"):
+        assert [t for _, t, _ in html_crf.blocks_of(f"{story}<{unended}>a{story}")] == want.split("\n")
+    assert [t for _, t, _ in html_crf.blocks_of("<p>A <svg><path/></svg>picture<iframe src=http://a/>Unseen</iframe> in it")] == ["A picture in it"]
+
+
 def test_viterbi_finds_the_best_chain():
     field, random = html_crf.Field(), np.random.default_rng(2)
     for _ in range(20):
