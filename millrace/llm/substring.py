@@ -4,7 +4,8 @@ A window is ``width`` consecutive words of one document. A word goes if a
 window over it also starts in a document with a smaller id.
 
 The texts are written once as *parts* of bounded bytes, in a bucketed table,
-so that later passes meet their answers without moving text. Windows are
+so that later passes meet their answers without moving text. Parts are cut by
+the running bytes of the rows that a task reads, however they are stored. Windows are
 dealt out over *shards* by their hash; a shard is a bounded share of the hash
 space, and there are more of them for more text.
 
@@ -27,11 +28,12 @@ make each other lose words. Order of input rows does not matter.
 from __future__ import annotations
 
 import uuid
-
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,13 +44,15 @@ from millrace.llm.words import NOT_SPACE, Words, join_words, mix, words_of
 from millrace.session import settle
 
 WIDTH = 13
-PART_BYTES = 4 << 20  # of input files; a part's text is a small multiple of it
+PART_BYTES = 4 << 20  # of a part's rows; its last row may go beyond
+ROW_BYTES = 64  # that a row counts besides its texts
 SHARD_BYTES = 24 << 20  # of text to a shard: some four million windows
 CELL_BITS = 24
 NO_ID = np.iinfo(np.int64).max
-ASKED = "part int, shard int, first binary, second binary"
-CANDIDATES = "part int, shard int, hashes binary, others binary, docs binary"
-ANSWER = "part int, shard int, step int, first binary, second binary"
+TEXTS = (pa.string(), pa.large_string(), pa.binary(), pa.large_binary())
+ASKED = "part long, shard int, first binary, second binary"
+CANDIDATES = "part long, shard int, hashes binary, others binary, docs binary"
+ANSWER = "part long, shard int, step int, first binary, second binary"
 
 
 def pack(cells: np.ndarray) -> bytes:
@@ -262,19 +266,32 @@ def remove_repeats(
     return out.withColumnsRenamed({"__made_text": text, "__made_n_words": "n_words", "__made_n_removed": "n_removed"})
 
 
+def _number_parts(part_bytes: int):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, before = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = np.full(batch.num_rows, ROW_BYTES, np.int64)
+            for column in batch.columns:
+                if column.type in TEXTS:
+                    size += pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+            ends = before + np.cumsum(size)
+            part = pa.array(first + (ends - size) // part_bytes)
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([part, *batch.columns], names=["__part", *batch.schema.names])
+
+    return number
+
+
 def _stage(docs: DataFrame, text: str, doc_id: str, carry: list[str], part_bytes: int, shard_bytes: int) -> tuple[str, int]:
     """Write the parts as a bucketed table; its name, and the number of shards as a power of two."""
     spark = docs.sparkSession
-    read_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    split = max(1, -(-read_bytes // part_bytes))
-    part = F.spark_partition_id() * split + F.pmod(F.xxhash64(F.col(doc_id)), F.lit(split)).cast("int")
     size = Observation()
     rows = docs.select(
-        part.alias("__part"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NO_ID))).alias("__id"),
         F.coalesce(F.col(text), F.lit("")).alias("__text"),
         *carry,
     ).observe(size, F.sum(F.octet_length("__text")).alias("n"))
+    rows = rows.mapInArrow(_number_parts(part_bytes), T.StructType([T.StructField("__part", T.LongType()), *rows.schema.fields]))
     name = f"millrace_parts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(buckets, "__part").format("parquet").saveAsTable(name)

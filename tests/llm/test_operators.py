@@ -178,6 +178,22 @@ def test_repeated_passages(docs, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_parts_are_bounded_whatever_the_compression(spark, tmp_path):
+    rows = [(i if i % 2 else None, lines(300)) for i in range(400)] + [(1000 + i, "") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/copies")
+    copies = spark.read.parquet(f"{tmp_path}/copies")
+    read_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 16)
+    try:
+        name, _ = substring._stage(copies, "text", "doc_id", [], 1 << 14, 1 << 14)
+        parts = spark.table(name).groupBy("__part").agg(F.sum(F.octet_length("__text")).alias("bytes"), F.count("*").alias("rows")).collect()
+        kept = substring.remove_repeats(copies, part_bytes=1 << 14, shard_bytes=1 << 14).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", read_bytes)
+    assert max(p["bytes"] for p in parts) <= (1 << 14) + len(lines(300)) and max(p["rows"] for p in parts) <= 1 << 8
+    assert sorted((x.doc_id or 0, x.n_words, x.n_removed, x.text) for x in kept) == brute_removed(rows)
+
+
 def test_gaps_round_trip():
     random = np.random.default_rng(0)
     for n, top in ((1, 1 << 24), (4, 2), (50_000, 1 << 24), (3, 1 << 22), (900, 1 << 24)):
