@@ -172,9 +172,10 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def least(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows of least ``h`` (and ties of the last): the bound is found on ``h`` alone, so no other column is sorted."""
+    """The ``n`` rows of least ``h``, ties by a hash of the row: the bound is found on ``h`` alone, so only what is within it is sorted."""
     bound = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return rows.filter(F.col("h") <= F.lit(bound).cast("long"))
+    within = rows.filter(F.col("h") <= F.lit(bound).cast("long"))
+    return within.orderBy("h", F.xxhash64(*rows.columns)).limit(n)
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:

@@ -123,6 +123,15 @@ def test_quality(spark, folder, docs, empty):
     assert quality.score(empty, quality.train(rows.limit(0))).count() == 0
 
 
+def test_the_sample_is_bounded_under_ties(spark):
+    rows = spark.createDataFrame([(i % 3, f"text {i}", i % 2) for i in range(300)], "h long, t string, y int").repartition(4)
+    for n in (1, 100, 150, 300, 400):
+        got = quality.least(rows, n).collect()
+        assert len(got) == min(n, 300) and sorted(x.h for x in got) == sorted(i % 3 for i in range(300))[:n]
+        assert set(got) == set(quality.least(rows.repartition(2), n).collect())
+    assert quality.least(rows.limit(0), 5).count() == 0
+
+
 def test_near_duplicates(docs, empty):
     got = {(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(docs).collect()}
     assert {(1, 57, 1, True), (2, 57, 1, False), (3, 58, 1, False), (12, 57, 1, False), (4, 0, 4, True), (6, 1, 6, True), (9, 1, 9, True)} <= got
