@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 KINDS = {
     "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
@@ -17,4 +21,16 @@ def fields_of(schema: str) -> pa.Schema:
 
 def table_of(schema: str, columns: list) -> pa.Table:
     fields = fields_of(schema)
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+    made = [c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, fields)]
+    return pa.table(made, schema=fields)
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``size`` bytes of a text column (a longer text is a slice)."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(int(np.searchsorted(ends, before + size, "right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end

@@ -9,7 +9,10 @@ themselves. Readers take stripes in parallel; the only thing that all ranges
 share is one token count for each.
 
 Null texts are empty: they hold the end id alone. Equal document ids stand
-together in no fixed order; null ids come first.
+together, ordered by a hash of their texts (equal texts are alike, so every run
+gives the same rows); null ids come first. An empty table gives no rows; other
+columns of the table are not read, whatever their names. A very long text is
+one row, encoded in blocks of bounded bytes.
 """
 
 from __future__ import annotations
@@ -22,33 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import encoder
+from millrace.llm.arrow import text_slices
+from millrace.llm.tokens import encoder, with_end
 from millrace.session import new_path
 
 STRIPE_BYTES = 64 << 20
 ROW_STRIDE = 1_000
 ROWS = "doc_id long, place long, n_tokens long, ids array<int>"
-TEXTS_AT_ONCE = 256
+SLICE_BYTES = 4 << 20  # of texts at a time
 
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, place = encoder(path), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                coded = of.encode(part.column(1).to_pylist())
-                end = np.array([end_id], of.type).tobytes()
-                flat = np.frombuffer(b"".join(c + end for c in coded), of.type).astype(np.int32)
-                n = np.array([len(c) // of.type.itemsize + 1 for c in coded], np.int64)
-                bounds = np.concatenate([[0], np.cumsum(n)])
+            for part in text_slices(batch, 1, SLICE_BYTES):
+                flat, bounds = with_end(*of.encode(part.column(1)), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array(bounds[:-1] + place), pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)),
-                    ],
+                    [part.column(0), pa.array(bounds[:-1] + place), pa.array(np.diff(bounds)), lists],
                     names=["doc_id", "place", "n_tokens", "ids"],
-                )
+                )
                 place += int(bounds[-1])
 
     return encode
@@ -62,7 +59,8 @@ def write_ids(
     folder = folder or new_path(spark, "token-ids")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plain.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]  # texts of one id stand in a fixed order, and in several ranges if they are many
+    ordered = plain.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     rows = ordered.mapInArrow(_encode(vocabulary, end_id), ROWS).withColumn("part", F.spark_partition_id())
     options = {
         "orc.stripe.size": STRIPE_BYTES, "orc.create.index": "true", "orc.row.index.stride": ROW_STRIDE,

@@ -24,37 +24,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import fields_of
-from millrace.llm.tokens import encoder
+from millrace.llm.arrow import fields_of, text_slices
+from millrace.llm.tokens import encoder, packed_lists, with_end
 from millrace.session import settle
 
 LENGTH = 4096
 DIMENSIONS, BIN_BITS = 4, 12
 HASHED = 1 << 16
-TEXTS_AT_ONCE = 256
+SLICE_BYTES = 4 << 20  # of texts at a time
 CODED = "doc_id long, n_tokens long, x0 float, x1 float, x2 float, x3 float, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def projection() -> np.ndarray:
     """Random directions of the hashed tokens."""
-    return np.random.default_rng(17).standard_normal((HASHED, DIMENSIONS)).astype(np.float32)
+    return np.asfortranarray(np.random.default_rng(17).standard_normal((HASHED, DIMENSIONS)).astype(np.float32))
 
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, table, schema = encoder(path), projection(), fields_of(CODED)
-        end = np.array([end_id], of.type).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                coded = [c + end for c in of.encode(part.column(1).to_pylist())]
-                n = np.array([len(c) // of.type.itemsize for c in coded], np.int64)
-                flat = np.frombuffer(b"".join(coded), of.type)
-                sums = np.add.reduceat(table[flat.astype(np.int64) % HASHED], np.cumsum(n) - n, axis=0)
+            for part in text_slices(batch, 1, SLICE_BYTES):
+                ids, bounds = with_end(*of.encode(part.column(1)), end_id)
+                n = np.diff(bounds)
+                sums = np.stack([np.add.reduceat(axis[ids & ids.dtype.type(HASHED - 1)], bounds[:-1]) for axis in table.T], axis=1)
                 x = sums / np.sqrt(n)[:, None]  # of like spread at any length
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), *(pa.array(x[:, d]) for d in range(DIMENSIONS)), pa.array(coded, pa.binary())],
+                    [part.column(0), pa.array(n), *(pa.array(x[:, d], pa.float32()) for d in range(DIMENSIONS)), packed_lists(ids, bounds)],
                     schema=schema,
                 )
 

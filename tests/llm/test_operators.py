@@ -8,11 +8,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import chat, components, decontaminate, fingerprint, html_crf, neardup, oracles, orc_ids, packing, quality, queries, substring, warc
+from millrace.llm import chat, components, decontaminate, fingerprint, html_crf, neardup, oracles, orc_ids, packing, quality, queries, substring, tokens, warc, words
 from millrace.llm.tokens import Encoder, encoder, vocabulary
 from millrace.sources.tables import TABLES, table
 
@@ -247,15 +248,40 @@ def test_warc(spark):
 def test_tokens_are_those_of_the_library(con, name):
     texts = [r[0] for r in con.execute("select text from documents").fetchall()]
     texts += ["a  b\n\n c\t\t x\x1c!!  'll don't  é", "  ", "", " a", "a ", "\n", "a\nb\n", "\na \n b", "x\0 y\0\nz", "a\xa0b \xa0c", " \n", "0 \n1", "it's\n's 's", "<|endoftext|> x"]
-    own = Encoder(vocabulary(name), remembered=50)
+    texts += ["U.S.A. x,y;Z!? a.\u0301 b's.c", "Éa ÀB.\nNo.1 caf\xe9\xa0b", "İstanbul ΣΣ. ﬁ µ ª", "a\u0301 ,.b", "y" * 9000, "a.b" * 500]
+    own = Encoder(vocabulary(name))
+    own.memory.limit = 20_000  # pieces are given up again and again
     plain = own.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(c, own.type).tolist() for i in range(0, len(texts), 40) for c in own.encode(texts[i : i + 40])] == [e.ids for e in plain]
+    assert [c for i in range(0, len(texts), 40) for c in ids_of(own, texts[i : i + 40])] == [e.ids for e in plain]
+    assert ids_of(own, [None, ""]) == [[], []] and ids_of(own, []) == []
+
+
+def ids_of(own, texts):
+    ids, bounds = own.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+
+
+def test_a_text_is_worked_off_in_blocks():
+    text = "word, and\n\nmore " * 400
+    data, bounds = words.text_buffers(pa.array([text, "x" * 3000, ""]))
+    starts = tokens.piece_starts(data, bounds, marks=True)
+    blocks = list(tokens.pieces_of(data, starts, 500))
+    assert "".join(b.distinct[i] for b in blocks for i in b.which.to_pylist()) == text + "x" * 3000
+    assert max(sum(len(b.distinct[i]) for i in b.which.to_pylist()) for b in blocks[:-1]) <= 500 and len(blocks) > 12
+
+
+def test_what_is_remembered_is_bounded():
+    memory = tokens.Memory(lambda pieces: [p.encode() for p in pieces], limit=4000)
+    for i in range(300):
+        assert memory.get([f"p{i}", "often", "l" * 100, f"p{i}"]) == [f"p{i}".encode(), b"often", b"l" * 100, f"p{i}".encode()]
+    kept = {**memory.recent, **memory.older}
+    assert "often" in kept and "l" * 100 not in kept and len(kept) * tokens.ENTRY_BYTES < 2 * 4000
 
 
 def test_packing(docs, empty):
     path = vocabulary(queries.PACK_VOCABULARY)
     pieces = packing.pack(docs, path, 2, length=512).collect()
-    ids = [np.frombuffer(c, "<u2").tolist() + [2] for c in encoder(path).encode([t for _, t in ROWS])]
+    ids = [c + [2] for c in ids_of(encoder(path), [t for _, t in ROWS])]
     assert sum(p.length for p in pieces) == sum(map(len, ids))
     full = {d: i for (d, _), i in zip(ROWS, ids) if d}
     sequences = collections.defaultdict(list)
@@ -284,12 +310,22 @@ def test_orc_ids(spark, docs, empty):
     text = dict(ROWS)
     for x in rows:
         if x.doc_id:
-            data = encoder(path).encode([text[x.doc_id]])[0]
-            assert x.ids_crc32 == zlib.crc32(np.append(np.frombuffer(data, "<u2"), 0).astype("<u4").tobytes())
+            data = ids_of(encoder(path), [text[x.doc_id]])[0]
+            assert x.ids_crc32 == zlib.crc32(np.append(data, 0).astype("<u4").tobytes())
     assert orc_ids.read_ids(spark, folder, [7, 12]).count() == 3
     assert orc_ids.read_digests(spark, orc_ids.write_ids(empty, path, 0)).count() == 0
 
 
+def test_orc_ids_of_equal_ids_stand_in_a_fixed_order(spark):
+    path, rows = vocabulary(queries.ORC_VOCABULARY), [(i % 2, f"text {i % 5} of an id") for i in range(60)]
+    runs = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(5)
+        found = orc_ids.read_digests(spark, orc_ids.write_ids(df, path, 0))
+        runs.append([tuple(x) for x in found.orderBy("start").collect()])
+    assert runs[0] == runs[1]
+
+
 def test_main_text(spark, folder):
     pages = table(spark, folder, "pages")
     field = html_crf.train(pages)
