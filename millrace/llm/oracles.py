@@ -63,5 +63,21 @@ from d left join (select doc_id, count(*) n from gone group by 1) g using (doc_i
 """
 
 
+OP11 = """
+with v as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, x -> floor(256 * cast(x as double))) q
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as materialized (
+  select a.vec_id a, b.vec_id b, a.l = b.l same, cast(list_dot_product(a.q, b.q) as bigint) s
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as materialized (
+  select a, b p, s ps from (select *, row_number() over (partition by a order by s desc, b) n from s where same) where n <= 5),
+n as (
+  select p.a, p.p, p.ps, s.b, s.s, row_number() over (partition by p.a, p.p order by s.s desc, s.b) r
+  from p join s on p.a = s.a and not s.same and 50 * ps <= 100 * s.s and 100 * s.s <= 95 * ps)
+select a anchor_id, p positive_id, cast(r as integer) rank, b negative_id, ps positive_score, s negative_score from n where r <= 3
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op4_near_duplicates": OP4, "op5_repeated_passages": OP5}
+    return {"op1_decontaminate": OP1, "op4_near_duplicates": OP4, "op5_repeated_passages": OP5, "op11_hard_negatives": OP11}

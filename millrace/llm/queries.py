@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, fingerprint, html_crf, neardup, orc_ids, packing, quality, substring, warc
+from millrace.llm import (
+    chat, cross_tokens, decontaminate, fingerprint, hard_negatives, html_crf, licenses, neardup, orc_ids, packing, quality, substring, warc,
+)
 from millrace.llm.tokens import vocabulary
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 PACK_VOCABULARY, PACK_END = "word_bpe_49k.json", 2
 ORC_VOCABULARY, ORC_END = "byte_bpe_50k.json", 0
+CROSS_A, CROSS_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CONFLICT = r"\### Assistant: </turn> ok"
 
 
@@ -84,10 +87,28 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.whole_vectors(table(spark, folder, "embeddings"), label=label), F.col("vec_id") % 50 == 0)
+
+
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents"), carry=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_base", F.col("first_base").alias("first_word"), F.col("last_base").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
+def op13_cross_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_tokens.align_documents(table(spark, folder, "documents"), vocabulary(CROSS_A), vocabulary(CROSS_B))
+
+
 REGISTRY: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_fingerprints, op3_quality, op4_near_duplicates, op5_repeated_passages,
-        op6_chat, op7_warc, op8_packing, op9_orc_ids, op10_main_text,
+        op6_chat, op7_warc, op8_packing, op9_orc_ids, op10_main_text, op11_hard_negatives, op12_licenses, op13_cross_tokens,
     )
 }
