@@ -65,8 +65,8 @@ from d left join (select doc_id, count(*) n from gone group by 1) g using (doc_i
 
 OP11 = """
 with v as materialized (
-  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, x -> floor(256 * cast(x as double))) q
-  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as materialized (
   select a.vec_id a, b.vec_id b, a.l = b.l same, cast(list_dot_product(a.q, b.q) as bigint) s
   from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
