@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import verbs
+
 WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 # Words and phrases looked for in a claim description.
@@ -56,31 +58,10 @@ BODY_PARTS_REMOVED = [
     "index finger", "big toe", "lobe", "muscle", "red blood cells", "white blood cells", "filling",
 ]
 
-# Verb forms as "form lemma rank"; rank 2 counts only where no rank 1 form is found.
-VERBS = """
-fell fall 1; falling fall 1; fallen fall 1; lifting lift 1; lifted lift 1; struck strike 1;
-striking strike 1; lacerated lacerate 1; removed remove 1; burnt burn 1; burned burn 1;
-driving drive 1; drove drive 1; driven drive 1; bent bend 1; bending bend 1; felt feel 1;
-twisted twist 1; twisting twist 1; slipped slip 1; slipping slip 1; tripped trip 1;
-tripping trip 1; crushed crush 1; caught catch 1; carrying carry 1; carried carry 1;
-pushing push 1; pushed push 1; pulling pull 1; pulled pull 1; hitting hit 1; walking walk 1;
-walked walk 1; climbing climb 1; climbed climb 1; jumped jump 1; jumping jump 1; cutting cut 1;
-loading load 1; loaded load 1; unloading unload 1; moving move 1; moved move 1; using use 1;
-used use 1; turned turn 1; turning turn 1; digging dig 1; dug dig 1; stepping step 1;
-stepped step 1; opening open 1; closing close 1; dropped drop 1; strained strain 1;
-bruised bruise 1; fractured fracture 1; cut cut 2; hit hit 2; lift lift 2; strain strain 2;
-burn burn 2; bend bend 2; slip slip 2; trip trip 2; stress stress 2; work work 2
-"""
-
-
 def word_list(text: str) -> list[str]:
     return [w.strip() for w in " ".join(text.split()).split(";") if w.strip()]
 
 
-def verb_list(text: str = VERBS) -> list[tuple[str, str, int]]:
-    return [(form, lemma, int(rank)) for form, lemma, rank in (w.split() for w in word_list(text))]
-
-
 def edited_word_list(words: Column, added: Sequence[str], removed: Sequence[str]) -> Column:
     """Add words that are absent at the end, then take out the removed ones; order is kept."""
     return F.array_except(F.array_union(words, _texts(added)), _texts(removed))
@@ -171,35 +152,22 @@ def body_parts(df: DataFrame, column: str = "ClaimDescription") -> DataFrame:
 
 
 def cause_of_injury(
-    df: DataFrame, column: str = "ClaimDescription", verbs: Sequence[tuple[str, str, int]] | None = None
+    df: DataFrame, column: str = "ClaimDescription", known: Sequence[str] | None = None, irregular: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Add the first and second verb of a text as lemmas, from a table of verb forms.
+    """Add the first and second verb of a text as lemmas.
 
-    Forms of rank 2 stand for the second tagger: they count only in texts
-    without a form of rank 1. Everything happens inside the row, so a text is
-    never exploded or shuffled.
+    Bare base forms stand for the second tagger: they count only in texts
+    without an inflected verb. Everything happens inside the row, so a text is
+    never exploded or shuffled; for a lexicon in a table there is ``verbs.text_verbs``.
     """
-    forms = verbs or verb_list()
-    entries = F.lit(",".join(f"{form}:{rank}{lemma}" for form, lemma, rank in forms))
-    known = F.expr(f"filter(__tokens, w -> {_in([form for form, _, _ in forms], 'w')})")
-    hits = F.transform(known, lambda w: F.try_element_at(F.str_to_map(entries), w))  # rank, then lemma
-    rank = F.substring(F.array_min("__hits"), 1, 1)
-    best = F.filter("__hits", lambda h: F.substring(h, 1, 1) == rank)
-
-    def lemma(n: int) -> Column:
-        return F.coalesce(F.expr(f"substring(get(__best, {n}), 2)"), F.lit("Unknown"))
-
+    known = verbs.bases() if known is None else known
+    irregular = verbs.irregular_forms() if irregular is None else irregular
+    hits = F.transform(tokens(F.lower(F.col(column))), lambda w: verbs.lemma_in_row(w, known, dict(irregular)))
+    first, second = (F.coalesce(c, F.lit("Unknown")) for c in verbs.first_two(F.col("__hits")))
     return (
-        df.withColumn("__tokens", tokens(F.lower(F.col(column))))
-        .withColumn("__hits", hits)
-        .withColumn("__best", best)
-        .withColumns(
-            {
-                "CauseOfInjury": F.when(lemma(0) == "fell", "fall").otherwise(lemma(0)),
-                "CauseOfInjury_Minor": lemma(1),
-            }
-        )
-        .drop("__tokens", "__hits", "__best")
+        df.withColumn("__hits", F.filter(hits, lambda h: h.isNotNull()))
+        .withColumns({"CauseOfInjury": F.when(first == "fell", "fall").otherwise(first), "CauseOfInjury_Minor": second})
+        .drop("__hits")
     )
 
 

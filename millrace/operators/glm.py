@@ -1,29 +1,33 @@
 """Least squares on class effects, from one pass over the data.
 
 Spark reduces the table to one row per combination of class levels (count,
-mean, corrected sum of squares), then to the cross products of the effects.
-Those are as large as the squared number of levels, whatever the number of
-rows, and are all that a fit, and each step of an effect selection, needs.
-The dense solve of that matrix is driver work, within ``MAX_PARAMETERS``.
+mean, corrected sum of squares). Up to ``MAX_PARAMETERS`` levels, the cross
+products of the effects are all that a fit, and each step of an effect
+selection, needs; the driver solves them. With more levels the fit stays in
+Spark, whatever their number (``operators.large_fit``); the result tables are
+the same.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators import large_fit
 from millrace.operators.encode import moments
+from millrace.operators.large_fit import LargeFit
+from millrace.operators.levels import number_rows
 from millrace.session import settle
 
 INTERCEPT = "Intercept"
-MAX_PARAMETERS = 2_000
+MAX_PARAMETERS = 500
 STOP_HORIZON = 3
 
 
@@ -36,15 +40,21 @@ def level_cells(df: DataFrame, effects: Sequence[str], response: str) -> DataFra
 
 
 def class_levels(cells: DataFrame, effects: Sequence[str], response: str) -> DataFrame:
-    """Levels of every class effect in sorted order, with rows read and used."""
+    """Levels of every class effect in sorted order, with rows read and used.
+
+    Levels are numbered by range, so an effect may have any number of them.
+    """
     pairs = F.array(*[F.struct(F.lit(e).alias("effect"), F.col(e).alias("level")) for e in effects])
-    return (
+    levels = (
         cells.select(F.explode(pairs).alias("p"), "n", F.col(f"{response}__n").alias("used"))
         .filter("p.level is not null")
         .groupBy("p.effect", "p.level")
         .agg(F.sum("n").alias("n_read"), F.sum("used").alias("n_used"))
-        .withColumn("level_no", F.row_number().over(Window.partitionBy("effect").orderBy("level")))
-        .withColumn("n_levels", F.count("*").over(Window.partitionBy("effect")))
+    )
+    numbered = number_rows(levels, ["effect", "level"], "place")
+    sizes = numbered.groupBy("effect").agg(F.min("place").alias("first"), F.count("*").alias("n_levels"))  # a row for each effect
+    return numbered.join(F.broadcast(sizes), "effect").select(
+        "effect", "level", "n_read", "n_used", (F.col("place") - F.col("first") + 1).cast("int").alias("level_no"), "n_levels"
     )
 
 
@@ -101,13 +111,15 @@ class CrossProducts:
         return out
 
 
-def collect_cross_products(cells: DataFrame, effects: Sequence[str], response: str) -> CrossProducts:
+def collect_cross_products(cells: DataFrame, effects: Sequence[str], response: str) -> CrossProducts | None:
+    """Cross products of settled cells; None if there are more than ``MAX_PARAMETERS`` levels."""
     effects = list(effects)
-    cells = settle(cells, "glm-cells")
     bound = 1 + MAX_PARAMETERS + MAX_PARAMETERS * MAX_PARAMETERS // 2
     rows = cross_products(cells, effects, response).limit(bound + 1).collect()
     bits = {e: 1 << (len(effects) - 1 - i) for i, e in enumerate(effects)}
     present = {r.set_id: [e for e in effects if not r.set_id & bits[e]] for r in rows}
+    if len(rows) > bound:
+        return None
     total = [r for r in rows if not present[r.set_id]]
     n_read = sum(r.n_read for r in total)
     n = sum(r.n for r in total)
@@ -118,8 +130,8 @@ def collect_cross_products(cells: DataFrame, effects: Sequence[str], response: s
             e = present[r.set_id][0]
             levels[e].append(r[e])
     terms = [(INTERCEPT, "")] + [(e, lv) for e in effects for lv in sorted(levels[e])]
-    if len(rows) > bound or len(terms) > MAX_PARAMETERS + 1:
-        raise ValueError(f"more than {MAX_PARAMETERS} class levels; the dense solve is meant for fewer")
+    if len(terms) > MAX_PARAMETERS + 1:
+        return None
     if n == 0:
         raise ValueError("no rows with a response")
     mean = total[0].sum_y / n
@@ -186,37 +198,11 @@ def fit_statistics(sse: float, tss: float, n: int, p: int) -> dict[str, float |
     }
 
 
-def solve(xtx: np.ndarray, xty: np.ndarray, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least squares by sweeping columns in order; a dependent column gets estimate 0.
-
-    Because levels come in sorted order, the last level of an effect is the
-    dependent one and so becomes the reference. Returns (estimates, diagonal
-    of the inverse, estimable).
-    """
-    p = len(xty)
-    a = np.zeros((p, p + 1))
-    a[:, :p], a[:, p] = xtx, xty
-    diagonal = np.diag(xtx).copy()
-    inverse = np.eye(p)
-    estimable = np.zeros(p, dtype=bool)
-    for k in range(p):
-        if a[k, k] <= tol * max(diagonal[k], 1.0):
-            continue
-        estimable[k] = True
-        pivot = a[k, k]
-        a[k] /= pivot
-        inverse[k] /= pivot
-        others = a[:, k].copy()
-        others[k] = 0.0
-        a -= np.outer(others, a[k])
-        inverse -= np.outer(others, inverse[k])
-    beta = np.where(estimable, a[:, p], 0.0)
-    return beta, np.where(estimable, np.diag(inverse), np.nan), estimable
-
-
 def fit_effects(cp: CrossProducts, effects: Sequence[str]) -> Fit:
     cols = cp.columns(effects)
-    beta, inverse, estimable = solve(cp.xtx[np.ix_(cols, cols)], cp.xty[cols])
+    xtx = cp.xtx[np.ix_(cols, cols)]
+    beta, inverse, estimable = large_fit.solve(xtx, cp.xty[cols], np.diag(xtx))
+    inverse = np.where(estimable, np.diag(inverse), np.nan)
     sse = max(cp.tss - float(beta @ cp.xty[cols]), 0.0)
     p = int(estimable.sum())
     mse = sse / (cp.n - p) if cp.n > p else math.nan
@@ -236,53 +222,158 @@ def fit_effects(cp: CrossProducts, effects: Sequence[str]) -> Fit:
     )
 
 
-def select_effects(cp: CrossProducts, method: str, horizon: int = STOP_HORIZON) -> Fit:
-    """BACKWARD or FORWARD selection of whole effects by SBC.
+@dataclass
+class Step:
+    """A model on the way of a selection, as far as choosing needs it."""
+
+    effects: list[str]
+    n: int
+    p: int
+    sse: float
+    state: tuple | None = None
+
+    @property
+    def sbc(self) -> float:
+        return sbc(self.sse, self.n, self.p)
+
+
+class Swept:
+    """Models that differ by one effect, by sweeping its columns in or out of one matrix.
+
+    The matrix holds X'X, X'y and y'y; sweeping a column once takes it into
+    the model, twice out again, each at the cost of one pass over the matrix.
+    A column without a pivot depends on those in the model and stays out; it
+    is tried again when others have left.
+    """
+
+    def __init__(self, cp: CrossProducts, tol: float = large_fit.TOLERANCE) -> None:
+        self.cp = cp
+        self.least = tol * np.maximum(np.diag(cp.xtx), 1.0)
+        whole = np.zeros((len(cp.terms) + 1,) * 2)
+        whole[:-1, :-1], whole[:-1, -1], whole[-1, :-1], whole[-1, -1] = cp.xtx, cp.xty, cp.xty, cp.tss
+        self.whole = whole
+
+    def _columns(self, effect: str) -> list[int]:
+        return self.cp.columns([effect])[1:]
+
+    def _enter(self, matrix: np.ndarray, inside: np.ndarray, columns: Sequence[int]) -> None:
+        for k in columns:
+            if not inside[k] and matrix[k, k] > self.least[k]:
+                sweep(matrix, k)
+                inside[k] = True
+
+    def start(self, effects: Sequence[str]) -> Step:
+        matrix, inside = self.whole.copy(), np.zeros(len(self.cp.terms), bool)
+        self._enter(matrix, inside, self.cp.columns(effects))
+        return self._step(list(effects), matrix, inside)
+
+    def with_effect(self, step: Step, effect: str) -> Step:
+        matrix, inside = (x.copy() for x in step.state)
+        self._enter(matrix, inside, self._columns(effect))
+        return self._step([*step.effects, effect], matrix, inside)
+
+    def without_effect(self, step: Step, effect: str) -> Step:
+        matrix, inside = (x.copy() for x in step.state)
+        for k in self._columns(effect):
+            if inside[k]:
+                sweep(matrix, k)
+                inside[k] = False
+        rest = [e for e in step.effects if e != effect]
+        self._enter(matrix, inside, self.cp.columns(rest))
+        return self._step(rest, matrix, inside)
+
+    def _step(self, effects: list[str], matrix: np.ndarray, inside: np.ndarray) -> Step:
+        return Step(effects, self.cp.n, int(inside.sum()), max(float(matrix[-1, -1]), 0.0), (matrix, inside))
+
+
+def sweep(matrix: np.ndarray, k: int) -> None:
+    """Sweep a symmetric matrix on its ``k``-th diagonal element, in place; a second sweep undoes it."""
+    pivot = matrix[k, k]
+    row, column = matrix[k] / pivot, matrix[:, k].copy()
+    matrix -= np.outer(column, row)
+    matrix[k], matrix[:, k] = row, -column / pivot
+    matrix[k, k] = 1.0 / pivot
+
+
+class Refitted:
+    """The same for fits that stay in Spark: each model is fitted from the settled cells."""
+
+    def __init__(self, cells: large_fit.Cells) -> None:
+        self.cells, self.fits = cells, {}
+
+    def start(self, effects: Sequence[str]) -> Step:
+        f = large_fit.fit_cells(self.cells, effects)
+        self.fits[tuple(effects)] = f
+        return Step(list(effects), f.n, f.p, f.sse)
+
+    def with_effect(self, step: Step, effect: str) -> Step:
+        return self.start([*step.effects, effect])
+
+    def without_effect(self, step: Step, effect: str) -> Step:
+        return self.start([e for e in step.effects if e != effect])
+
+
+def select_steps(models: Swept | Refitted, effects: Sequence[str], method: str, horizon: int = STOP_HORIZON) -> tuple[list[Step], list[dict]]:
+    """BACKWARD or FORWARD selection of whole effects by SBC: the models on the way, and a line for each.
 
     Each step takes the effect whose removal (entry) gives the lowest SBC; it
     ends when ``horizon`` steps in a row did not improve, or nothing is left.
-    The step with the lowest SBC wins. No step reads data again.
+    The step with the lowest SBC wins. No step reads the table again.
     """
     backward = method.upper() == "BACKWARD"
     if not backward and method.upper() != "FORWARD":
         raise ValueError("method must be BACKWARD or FORWARD")
-    current = fit_effects(cp, cp.effects if backward else [])
-    fits, moved, best, stale = [current], [""], current, 0
+    current = models.start(effects if backward else [])
+    steps, moved, best, stale = [current], [""], current, 0
     while stale < horizon:
-        options = current.effects if backward else [e for e in cp.effects if e not in current.effects]
+        options = current.effects if backward else [e for e in effects if e not in current.effects]
         if not options:
             break
-        tried = []
-        for e in options:
-            kept = [x for x in current.effects if x != e] if backward else [*current.effects, e]
-            tried.append((fit_effects(cp, kept), e))
-        current, effect = min(tried, key=lambda t: t[0].sbc)
-        fits.append(current)
+        move = models.without_effect if backward else models.with_effect
+        current, effect = min(((move(current, e), e) for e in options), key=lambda t: t[0].sbc)
+        steps.append(current)
         moved.append(effect)
         if current.sbc < best.sbc:
             best, stale = current, 0
         else:
             stale += 1
-    best.steps = [
+    lines = [
         {
             "step": i,
             "effect": effect,
-            "n_effects": len(f.effects) + 1,
-            "n_parameters": f.p,
-            "sbc": f.sbc,
-            "is_optimal": f is best,
+            "n_effects": len(s.effects) + 1,
+            "n_parameters": s.p,
+            "sbc": s.sbc,
+            "is_optimal": s is best,
+            "effects": s.effects,
         }
-        for i, (f, effect) in enumerate(zip(fits, moved))
+        for i, (s, effect) in enumerate(zip(steps, moved))
     ]
+    return steps, lines
+
+
+def select_effects(cp: CrossProducts, method: str, horizon: int = STOP_HORIZON) -> Fit:
+    """The model that a selection ends with, by sweeping effects in and out of one matrix."""
+    _, lines = select_steps(Swept(cp), cp.effects, method, horizon)
+    best = fit_effects(cp, next(x["effects"] for x in lines if x["is_optimal"]))
+    best.steps = lines
     return best
 
 
-def fit(
-    df: DataFrame, effects: Sequence[str], response: str, selection: str | None = None
-) -> Fit:
-    """Fit a model with class effects; ``selection`` is None, BACKWARD or FORWARD."""
-    cp = collect_cross_products(level_cells(df, effects, response), effects, response)
-    return select_effects(cp, selection) if selection else fit_effects(cp, effects)
+def fit(df: DataFrame, effects: Sequence[str], response: str, selection: str | None = None) -> Fit | LargeFit:
+    """Fit a model with class effects; ``selection`` is None, BACKWARD or FORWARD. The table is read once."""
+    cells = settle(level_cells(df, effects, response), "glm-cells")
+    cp = collect_cross_products(cells, effects, response)
+    if cp is not None:
+        return select_effects(cp, selection) if selection else fit_effects(cp, effects)
+    used = large_fit.used_cells(cells, effects, response)
+    if not selection:
+        return large_fit.fit_cells(used, effects)
+    models = Refitted(used)
+    _, lines = select_steps(models, list(effects), selection)
+    best = models.fits[tuple(next(x["effects"] for x in lines if x["is_optimal"]))]
+    best.steps = lines
+    return best
 
 
 # -- result tables ------------------------------------------------------------------
@@ -292,7 +383,29 @@ def _number(x: float) -> float | None:
     return None if x is None or math.isnan(x) else float(x)
 
 
-def parameter_estimates(spark: SparkSession, f: Fit) -> DataFrame:
+ESTIMATES = "effect string, level string, df int, estimate double, std_err double, t_value double, p_value double"
+
+
+def _tests(error_df: int):
+    """t values and their probabilities of estimates, row by row."""
+
+    def tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            estimate, se = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            t = [x / s if s else None for x, s in zip(estimate, se)]
+            p = [None if x is None or error_df <= 0 else t_p_value(x, error_df) for x in t]
+            columns = [*batch.columns, pa.array(t, pa.float64()), pa.array(p, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "t_value", "p_value"])
+
+    return tests
+
+
+def parameter_estimates(spark: SparkSession, f: Fit | LargeFit) -> DataFrame:
+    """A row for each level: df (0 for a reference), estimate, standard error, t value and probability."""
+    if isinstance(f, LargeFit):
+        mse = None if math.isnan(f.mse) else f.mse
+        error = F.when(F.col("df") == 1, F.sqrt(F.col("factor") * F.lit(mse).cast("double"))).alias("std_err")
+        return f.estimates.select("effect", "level", "df", "estimate", error).mapInArrow(_tests(f.n - f.p), ESTIMATES)
     lines = []
     for (effect, level), estimate, se, ok in zip(f.terms, f.estimate, f.std_err, f.estimable):
         t = estimate / se if ok and se and not math.isnan(se) else math.nan
@@ -300,16 +413,22 @@ def parameter_estimates(spark: SparkSession, f: Fit) -> DataFrame:
         lines.append(
             (effect, level, int(ok), float(estimate), _number(se if ok else math.nan), _number(t), _number(p))
         )
-    schema = "effect string, level string, df int, estimate double, std_err double, t_value double, p_value double"
-    return spark.createDataFrame(lines, schema)
+    return spark.createDataFrame(lines, ESTIMATES)
 
 
-def selection_summary(spark: SparkSession, f: Fit) -> DataFrame:
+def selection_summary(spark: SparkSession, f: Fit | LargeFit) -> DataFrame:
+    names = ["step", "effect", "n_effects", "n_parameters", "sbc", "is_optimal"]
     schema = "step int, effect string, n_effects int, n_parameters int, sbc double, is_optimal boolean"
-    return spark.createDataFrame([tuple(s.values()) for s in f.steps], schema)
+    return spark.createDataFrame([tuple(s[c] for c in names) for s in f.steps], schema)
 
 
-def anova(spark: SparkSession, f: Fit) -> DataFrame:
+def simple_steps(spark: SparkSession, f: Fit | LargeFit) -> DataFrame:
+    """The models with one effect or none on the way of a selection: their effect, parameters and SBC."""
+    lines = [(",".join(s["effects"]), s["n_parameters"], s["sbc"]) for s in f.steps if len(s["effects"]) < 2]
+    return spark.createDataFrame(lines, "effects string, n_parameters int, sbc double")
+
+
+def anova(spark: SparkSession, f: Fit | LargeFit) -> DataFrame:
     model_df, error_df = f.p - 1, f.n - f.p
     ssm = f.tss - f.sse
     msm = ssm / model_df if model_df else math.nan
@@ -324,7 +443,7 @@ def anova(spark: SparkSession, f: Fit) -> DataFrame:
     return spark.createDataFrame(lines, schema)
 
 
-def fit_table(spark: SparkSession, f: Fit) -> DataFrame:
+def fit_table(spark: SparkSession, f: Fit | LargeFit) -> DataFrame:
     stats = {"n_read": float(f.n_read), "n_used": float(f.n), "n_parameters": float(f.p)}
     stats |= fit_statistics(f.sse, f.tss, f.n, f.p)
     return spark.createDataFrame([(k, _number(v)) for k, v in stats.items()], "statistic string, value double")
@@ -336,23 +455,17 @@ def fit_table(spark: SparkSession, f: Fit) -> DataFrame:
 def score(df: DataFrame, coefficients: DataFrame, effects: Sequence[str], out: str = "predicted") -> DataFrame:
     """Sum of the coefficients that apply to a row; a level without one gives null.
 
-    ``coefficients`` has at most ``MAX_PARAMETERS`` rows, which bounds the
-    broadcast. The intercept rides on the first effect's table, so that the
-    same plan serves streams.
+    Levels are joined as their size asks: small tables by broadcast, large ones
+    by shuffle. The intercept is one number, so the same plan serves streams.
     """
     if not effects:
         raise ValueError("a model without effects predicts its intercept; nothing to join")
-    everything = Window.partitionBy(F.lit(1))
-    intercept = F.max(F.when(F.col("effect") == INTERCEPT, F.col("estimate"))).over(everything)
-    known = coefficients.withColumn("b0", intercept)
-    scored, total = df, None
+    intercept = coefficients.filter(F.col("effect") == INTERCEPT).agg(F.max("estimate")).first()[0]
+    scored, total = df, F.lit(intercept).cast("double")
     for i, e in enumerate(effects):
-        term = F.col("estimate") + F.col("b0") if i == 0 else F.col("estimate")
-        levels = known.filter(F.col("effect") == e).select(
-            F.col("level").alias(f"__level{i}"), term.alias(f"__term{i}")
-        )
-        scored = scored.join(F.broadcast(levels), F.col(e) == F.col(f"__level{i}"), "left")
-        total = F.col(f"__term{i}") if total is None else total + F.col(f"__term{i}")
+        levels = coefficients.filter(F.col("effect") == e).select(F.col("level").alias(f"__level{i}"), F.col("estimate").alias(f"__term{i}"))
+        scored = scored.join(levels, F.col(e) == F.col(f"__level{i}"), "left")
+        total = total + F.col(f"__term{i}")
     extra = [c for i in range(len(effects)) for c in (f"__level{i}", f"__term{i}")]
     return scored.withColumn(out, total).drop(*extra)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.functions import text
+from millrace.functions import text, verbs
 from millrace.operators.models import SEED
 from millrace.operators.summary import WORD
 from millrace.plans import abt
-from millrace.plans.queries import NOISE_LEVEL, REGISTERED, YEAR_A, YEAR_B
+from millrace.plans.queries import CITY_EFFECTS, EFFECTS, NOISE_LEVEL, REGISTERED, YEAR_A, YEAR_B
 from millrace.sources.fixtures import DESCRIPTIONS
 
 # Columns of the given tables, as Spark names their types.
@@ -120,16 +120,44 @@ def _word_list() -> list[str]:
     return [w for w in words if w not in text.BODY_PARTS_REMOVED]
 
 
+def _verb_forms() -> dict[str, str]:
+    """All forms of the known verbs, written out by inflecting them: form to rank and lemma (``1lift``).
+
+    Where two verbs share a form, the one with a silent e comes first, then the plain one, then the doubled consonant.
+    """
+    forms = {form: f"1{base}" for form, base in verbs.irregular_forms().items()}
+    known = verbs.bases()
+    silent = [(b[:-1] + end, b) for end in ("ing", "ed") for b in known if b.endswith("e")]
+    plain = [(b + end, b) for end in ("ing", "ed") for b in known]
+    doubled = [(b + b[-1] + end, b) for end in ("ing", "ed") for b in known if b[-1] in "bdfglmnprstvz"]
+    for form, base in [*silent, *plain, *doubled, *((b[:-1] + "ied", b) for b in known if b.endswith("y"))]:
+        forms.setdefault(form, f"1{base}")
+    bare = [*((b, b) for b in known), *((b[:-1] + "ies", b) for b in known if b.endswith("y")), *((b + "es", b) for b in known), *((b + "s", b) for b in known)]
+    for form, base in bare:
+        forms.setdefault(form, f"2{base}")
+    return forms
+
+
+def _document_verbs() -> str:
+    forms = ", ".join(f"({_str(f)}, {_str(v)})" for f, v in _verb_forms().items())
+    return f"""with f(form, v) as (values {forms}),
+w as (select doc_id, unnest(x) as form, unnest(range(len(x))) as place from (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as x from documents)),
+h as (select doc_id, place, v[1] as rank, substr(v, 2) as lemma, min(v[1]) over (partition by doc_id) as best from w join f using (form)),
+b as (select doc_id, lemma, row_number() over (partition by doc_id order by place) as n, count(*) over (partition by doc_id) as n_verbs from h where rank = best),
+g as (select doc_id, max(lemma) filter (n = 1) as verb, max(lemma) filter (n = 2) as second_verb, max(n_verbs) as n_verbs from b group by 1)
+select doc_id, verb, second_verb, cast(coalesce(n_verbs, 0) as bigint) as n_verbs from documents left join g using (doc_id)"""
+
+
 def _features(source: str) -> str:
     """CTEs ``tokenised`` and ``featured``: body parts and causes beside the source's columns."""
     listed = _list(w.upper() for w in _word_list())
-    forms = text.verb_list()
-    verbs, values = _list(f for f, _, _ in forms), _list(f"{r}{lemma}" for _, lemma, r in forms)
+    forms = _verb_forms()
+    listed_verbs, values = _list(forms), _list(forms.values())
     accident = " or ".join(f"list_contains(toks, {_str(w)})" for w in text.ACCIDENT_WORDS)
     return f"""tokenised as (select *, {_tokens('ClaimDescription')} as toks from {source}),
 matched as (
  select *, list_filter({listed}, lambda w: list_contains(toks, w)) as found,
-  list_filter(list_transform(toks, lambda w: {values}[list_position({verbs}, lower(w))]), lambda h: h is not null) as hits
+  list_filter(list_transform(toks, lambda w: {values}[list_position({listed_verbs}, lower(w))]), lambda h: h is not null) as hits
  from tokenised),
 ranked as (
  select *, list_filter(hits, lambda h: h[1] = list_min(hits)[1]) as best from matched),
@@ -365,6 +393,30 @@ union all select 'Error', n - p, round(sse, 2), round(mse, 2), null, null from m
 union all select 'Corrected Total', n - 1, round(tss, 2), null, null, null from m"""
 
 
+def _simple_steps() -> str:
+    """Closed forms for no effect and for each effect alone; both selections end or begin with the best of these on the given tables."""
+    single = " union all ".join(
+        f"select '{e}' as effects, count(*) as p, sum(css) as sse from (select var_pop(verified) * count(*) as css from u group by {e})" for e in EFFECTS
+    )
+    return f"""with {EMISSIONS}, u as (select * from emissions where year_comp = {YEAR_A} and verified is not null),
+t as (select count(*) as n, var_pop(verified) * count(*) as tss from u),
+m as (select '' as effects, 1 as p, tss as sse from t union all select * from ({single})),
+s as (select effects, p as n_parameters, n * ln(sse / n) + p * ln(n) as sbc from m, t),
+best as (select * from s where effects = '' union all select * from (select * from s where effects <> '' order by sbc limit 1))
+select method, effects, cast(n_parameters as int) as n_parameters, round(sbc, 4) as sbc from best, (values ('BACKWARD'), ('FORWARD')) v(method)"""
+
+
+def _city_estimates() -> str:
+    """Means of the cities beside that of the last one, and what their counts make of the error variance."""
+    return f"""with {EMISSIONS},
+e as (select city as level, count(*) as n, avg(verified) as m, var_pop(verified) * count(*) as css
+  from emissions where year_comp = {YEAR_A} and verified is not null group by 1),
+r as (select max(level) as last, max_by(m, level) as b0, max_by(n, level) as n0, sum(css) / (sum(n) - count(*)) as mse from e)
+select 'Intercept' as effect, '' as level, cast(1 as int) as df, round(b0, 6) as estimate, round(sqrt(mse / n0), 6) as std_err from r
+union all
+select 'city', level, cast(level <> last as int), round(m - b0, 6), case when level <> last then round(sqrt(mse * (1.0 / n + 1.0 / n0)), 6) end from e, r"""
+
+
 def _fit_statistics() -> str:
     stats = {
         "n_read": "n_read",
@@ -472,6 +524,7 @@ from (select page_id, list_transform(string_split_regex(html, '(?i)<li(\\s[^>]*)
         "body_parts": f"{features}select ClaimNumber, BodyParts, BodyParts_Minor, BodyParts_Minor2 from featured",
         "cause_of_injury": f"{features}select ClaimNumber, CauseOfInjury, CauseOfInjury_Minor, cast(CauseOfInjury = 'drive' as int) as CD_drive, "
         "cast(CauseOfInjury = 'bend' as int) as CD_bend, cast(CauseOfInjury = 'burn' as int) as CD_burn from featured",
+        "document_verbs": _document_verbs(),
         "wordlist_edit": f"{claims}, listed as (select unnest({words}) as word, unnest(range({len(_word_list())})) as position), "
         f"used as (select tok, count(*) as n from (select unnest(list_distinct({_tokens('lower(ClaimDescription)')})) as tok from claims) group by 1) "
         "select cast(position as int) as position, word, coalesce(n, 0) as n_claims from listed left join used on word = tok",
@@ -520,6 +573,9 @@ group by grouping sets ((), (country_id), (nace_desc), (activity_desc), (country
         "model_registry": _model_registry(),
         "glm_fit_totals": _level_totals(["country_id", "nace_desc", "activity_desc"]),
         "glm_published_totals": _level_totals(["activity_desc"]),
+        "glm_simple_steps": _simple_steps(),
+        "glm_city_estimates": _city_estimates(),
+        "glm_city_totals": _level_totals(CITY_EFFECTS),
         "glm_anova": _anova(),
         "automl_manage": f"""{emissions}, f as (select count(*) as n, round(avg(verified), 4) as m from emissions where verified is not null
   and cast('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8) as bigint) % 10 < 7)

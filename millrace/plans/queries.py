@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import dates, rules, text, vectors
-from millrace.operators import context, conversation, encode, glm, knn, models, ranking, summary
+from millrace.functions import dates, rules, text, vectors, verbs
+from millrace.operators import context, conversation, encode, glm, knn, large_fit, models, ranking, summary
 from millrace.operators.percentile import exact_percentile
 from millrace.operators.registry import Registry
 from millrace.plans import abt
@@ -24,6 +24,7 @@ from millrace.streaming import scoring
 YEAR_A, YEAR_B = 1997, 1998
 EFFECTS = ["country_id", "nace_desc", "activity_desc"]
 ONE_EFFECT = ["activity_desc"]
+CITY_EFFECTS = ["country_id", "city", "nace_desc", "activity_desc"]  # a city lies in one country, which takes nothing further off
 REGISTERED = ["activity_desc", "country_id"]  # the effect of each version in the registry
 RESPONSE = "verified"
 KEY = "ClaimNumber"
@@ -237,6 +238,15 @@ def cause_of_injury(spark, folder):
     return found.select(KEY, "CauseOfInjury", "CauseOfInjury_Minor", "CD_drive", "CD_bend", "CD_burn")
 
 
+@query
+def document_verbs(spark, folder):
+    """First and second verb of every document, with the base forms as a table."""
+    docs = tables.table(spark, folder, "documents")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    lexicon = spark.createDataFrame([(b,) for b in verbs.bases()], "base string")
+    return verbs.text_verbs(docs, "doc_id", words, lexicon)
+
+
 @query
 def wordlist_edit(spark, folder):
     """The edited word list, with the number of claims that hold each word as a token."""
@@ -500,6 +510,33 @@ def glm_anova(spark, folder):
     return rounded(glm.anova(spark, _year_fit(spark, folder, selection="BACKWARD")), 2)
 
 
+@query
+def glm_simple_steps(spark, folder):
+    """The models without effects or with one on the way of both selections: parameters and SBC."""
+    chosen = {m: _year_fit(spark, folder, selection=m) for m in ("BACKWARD", "FORWARD")}
+    steps = [glm.simple_steps(spark, f).withColumn("method", F.lit(m)) for m, f in chosen.items()]
+    return rounded(union(steps).select("method", "effects", "n_parameters", "sbc"), 4)
+
+
+def _city_fit(spark, folder, effects: Sequence[str]):
+    """A fit with one level for each city, solved in Spark whatever their number."""
+    return large_fit.fit_cells(large_fit.used_cells(_year_cells(spark, folder, effects), effects, RESPONSE), effects)
+
+
+@query
+def glm_city_estimates(spark, folder):
+    """Estimates and standard errors of the model with the city alone."""
+    estimates = glm.parameter_estimates(spark, _city_fit(spark, folder, ["city"]))
+    return rounded(estimates.select("effect", "level", "df", "estimate", "std_err"))
+
+
+@query
+def glm_city_totals(spark, folder):
+    """Predicted totals per level of a model with the city beside other effects."""
+    coefficients = settle(glm.parameter_estimates(spark, _city_fit(spark, folder, CITY_EFFECTS)), "coefficients")
+    return _level_totals(spark, folder, coefficients, CITY_EFFECTS)
+
+
 def _level_totals(spark, folder, coefficients: DataFrame, effects: Sequence[str]) -> DataFrame:
     """Rows and predicted total per level of the effects: least squares meets the observed totals, and only it does."""
     used = fixtures.emissions(spark, folder, YEAR_A).filter(F.col(RESPONSE).isNotNull())

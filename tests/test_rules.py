@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, rules, text
+from millrace.functions import dates, rules, text, verbs
+from millrace.plans.oracles import _verb_forms
 from millrace.sources import fixtures
 
 
@@ -156,10 +158,43 @@ def test_second_tagger_counts_only_without_a_first_one(spark):
 
 
 def test_fell_is_recoded_when_a_verb_table_keeps_it(spark):
-    df = text.cause_of_injury(texts(spark, "FELL"), verbs=[("fell", "fell", 1)])
+    df = text.cause_of_injury(texts(spark, "FELL"), irregular={"fell": "fell"})
     assert column(df, "CauseOfInjury") == ["fall"]
 
 
+# Forms that the rules must lead to their verbs: endings, silent e, doubled consonants, irregular ones.
+FORMS = """
+falling fall; fallen fall; lifting lift; lifted lift; struck strike; striking strike; lacerated lacerate; removed remove;
+burnt burn; burned burn; driving drive; driven drive; bent bend; bending bend; felt feel; twisted twist; slipped slip;
+tripping trip; crushed crush; caught catch; carrying carry; carried carry; pushing push; pulled pull; hitting hit; climbed climb;
+jumping jump; cutting cut; loading load; unloading unload; moving move; using use; turned turn; dug dig; stepping step;
+opening open; closing close; dropped drop; strained strain; bruised bruise; fractured fracture; lying lie; filling fill; seeing see
+"""
+
+
+def test_lemmas_by_rule(spark):
+    pairs = [w.split() for w in FORMS.replace("\n", " ").split(";")]
+    plain = [("cut", "2cut"), ("works", "2work"), ("pushes", "2push"), ("carries", "2carry"), ("dies", "2die"), ("bed", None), ("thing", None), ("unspecified", None), ("ing", None), ("", None)]
+    rows = [(f, f"1{lemma}") for f, lemma in pairs] + plain
+    df = spark.createDataFrame(rows, "form string, want string")
+    got = df.select("form", "want", verbs.lemma_in_row(F.col("form"), verbs.bases(), verbs.irregular_forms()).alias("lemma")).collect()
+    assert [(r.form, r.lemma) for r in got] == rows
+    assert {f: v for f, v in _verb_forms().items() if f in dict(rows)} == {f: v for f, v in rows if v}
+
+
+@pytest.mark.parametrize("small", [100_000, 3])
+def test_a_lexicon_table_gives_what_the_expression_gives(spark, monkeypatch, small):
+    monkeypatch.setattr(verbs, "SMALL_LEXICON", small)
+    texts_ = ["CUT FINGER FELL", "CUT FINGER STRAIN", "FELT PAIN", "NOTHING", "FELL AND SLIPPED", None, "", "lifting " * 500, "using used uses use", "work stress work"]
+    df = spark.createDataFrame([*enumerate(texts_), (None, "fell")], "k int, ClaimDescription string").repartition(3)
+    lexicon = spark.createDataFrame([(b,) for b in verbs.bases()] + [(None,), ("cut",)], "base string")
+    words = F.split(F.lower("ClaimDescription"), " ")
+    table = {r.k: (r.verb or "Unknown", r.second_verb or "Unknown") for r in verbs.text_verbs(df, "k", words, lexicon).collect()}
+    row = {r.k: (r.CauseOfInjury, r.CauseOfInjury_Minor) for r in text.cause_of_injury(df).collect()}
+    assert {k: v for k, v in table.items() if k is not None} == {k: v for k, v in row.items() if k is not None} and len(table) == len(row)
+    assert {r.k: r.n_verbs for r in verbs.text_verbs(df, "k", words, lexicon).collect()}[7] == 500
+
+
 def test_word_list_edit(spark):
     words = F.array(*[F.lit(w) for w in ("a", "b", "c")])
     df = spark.range(1).select(text.edited_word_list(words, ["c", "d"], ["a", "z"]).alias("w"))
