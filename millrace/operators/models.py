@@ -1,22 +1,33 @@
-"""Model templates, projects with a leaderboard, and a text classifier."""
+"""Model templates, projects with a leaderboard, and a text classifier.
+
+Classes enter a project's models by the mean target of their levels, kept as
+a table, so features are as many as there are columns, however many levels
+there are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param.shared import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.rules import column_roles
-from millrace.session import settle
+from millrace.operators.levels import unpivot
+from millrace.session import durable_path, settle
 
 SEED = 9125
+PRIOR_ROWS = 10.0  # rows of the overall mean that a level's mean is mixed with
+FOLDS = 5
 WORD = r"[\p{L}\p{N}]+"
 TEMPLATES = [
     ("linear", "Linear template", "One linear model on encoded classes", ["linear"]),
@@ -43,16 +54,47 @@ def _learner(kind: str, binary: bool):
     return make(maxIter=10, maxDepth=4, seed=SEED, **common)
 
 
-def _features(classes: Sequence[str], numbers: Sequence[str]) -> Pipeline:
-    indexed, coded = [f"{c}__i" for c in classes], [f"{c}__v" for c in classes]
-    stages = []
-    if classes:
-        stages += [
-            StringIndexer(inputCols=list(classes), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=coded),
-        ]
-    stages.append(VectorAssembler(inputCols=[*coded, *numbers], outputCol="features", handleInvalid="keep"))
-    return Pipeline(stages=stages)
+class LevelMeans(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Class columns as numbers: the mean target of a row's level, from a table of all levels.
+
+    The table is joined by hash, sent to the tasks or shuffled as its size
+    asks, so a class may have any number of levels and none of them comes to
+    the driver. A level that was not met in training, or null, gets the overall mean.
+    """
+
+    classes = Param(Params._dummy(), "classes", "class columns", TypeConverters.toListString)
+    path = Param(Params._dummy(), "path", "place of the table of level means", TypeConverters.toString)
+    overall = Param(Params._dummy(), "overall", "mean of levels that are not in the table", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, classes: list[str] | None = None, path: str | None = None, overall: float | None = None) -> None:
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        means = df.sparkSession.read.schema("effect string, level string, mean double").parquet(self.getOrDefault(self.path))
+        for i, c in enumerate(self.getOrDefault(self.classes)):
+            own = means.filter(F.col("effect") == c).select(F.col("level").alias(f"__level{i}"), F.col("mean").alias(f"__mean{i}"))
+            df = df.join(own, F.col(c).cast("string") == F.col(f"__level{i}"), "left")
+            df = df.withColumn(f"{c}__m", F.coalesce(f"__mean{i}", F.lit(self.getOrDefault(self.overall)))).drop(f"__level{i}", f"__mean{i}")
+        return df
+
+
+def fit_level_means(rows: DataFrame, classes: Sequence[str], label: str = "label", prior: float = PRIOR_ROWS) -> LevelMeans:
+    """Mean of the label for every level of every class, mixed with ``prior`` rows of the overall mean; one grouped pass."""
+    overall = rows.agg(F.avg(label)).first()[0] or 0.0
+    levels = unpivot(rows.select(*[F.col(c).cast("string").alias(c) for c in classes], label), classes, label).filter("level is not null")
+    sums = levels.groupBy("effect", "level").agg(F.count("*").alias("n"), F.sum(label).alias("s"))
+    path = durable_path(rows.sparkSession, "level-means")
+    sums.select("effect", "level", ((F.col("s") + F.lit(prior * overall)) / (F.col("n") + F.lit(prior))).alias("mean")).write.parquet(path)
+    return LevelMeans(classes=list(classes), path=path, overall=float(overall))
+
+
+def _features(rows: DataFrame, classes: Sequence[str], numbers: Sequence[str]) -> list[Transformer]:
+    """Stages that make a row's features, fitted on some rows."""
+    means = [fit_level_means(rows, classes)] if classes else []
+    inputs = [*[f"{c}__m" for c in classes], *numbers]
+    return [*means, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
 
 
 @dataclass
@@ -73,6 +115,46 @@ def train_part(key: Sequence[str]) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10 < 7
 
 
+def fold_of(key: Sequence[str], folds: int = FOLDS) -> Column:
+    """The part of a row for cross-validation, by md5 of its key (other digits than ``train_part``)."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    return (F.conv(F.substring(digest, 9, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+def fold_errors(df: DataFrame, target: str, classes: Sequence[str], key: Sequence[str], folds: int = FOLDS) -> DataFrame:
+    """Cross-validated error of the models with a closed form: the overall mean, and each class's level means.
+
+    Rows (model, n, rmse, rank). One pass to moments by level and fold gives
+    every model without a fold, and its error in that fold, since a squared
+    error about any prediction is the spread plus the squared distance of the
+    mean. A level that is met in one fold only, or null, is predicted by the
+    overall mean of the other folds. Rows without target take no part.
+    """
+    rows = df.filter(F.col(target).isNotNull()).select(
+        F.lit("").alias("__all"), *[F.col(c).cast("string").alias(c) for c in classes], F.col(target).cast("double").alias("y"), fold_of(key, folds).alias("fold")
+    )
+    cells = unpivot(rows, ["__all", *classes], "y", "fold").groupBy("effect", "level", "fold").agg(
+        F.count("*").alias("n"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("*")).alias("css")
+    )
+    cells = settle(cells, "fold-cells")
+    s = F.sum(F.col("n") * F.col("mean"))
+    levels = cells.filter("level is not null").groupBy(F.col("effect").alias("e"), F.col("level").alias("l")).agg(F.sum("n").alias("tn"), s.alias("ts"))
+    other = levels.filter("e = '__all'").select("tn", "ts").first()
+    if other is None:
+        return df.sparkSession.createDataFrame([], "model string, n long, rmse double, rank int")
+    without = cells.filter("effect = '__all'").select(
+        F.col("fold").alias("f"), F.try_divide(F.lit(other.ts) - F.col("n") * F.col("mean"), F.lit(other.tn) - F.col("n")).alias("base")
+    )  # a row for each fold
+    rest = F.try_divide(F.col("ts") - F.col("n") * F.col("mean"), F.col("tn") - F.col("n"))
+    guess = F.coalesce(rest, F.col("base"))
+    judged = cells.join(levels, (F.col("effect") == F.col("e")) & (F.col("level") == F.col("l")), "left").join(F.broadcast(without), F.col("fold") == F.col("f"))
+    error = F.col("css") + F.col("n") * (F.col("mean") - guess) * (F.col("mean") - guess)
+    found = judged.groupBy("effect").agg(F.sum("n").alias("n"), F.sqrt(F.sum(error) / F.sum("n")).alias("rmse"))
+    name = F.when(F.col("effect") == "__all", "overall mean").otherwise(F.concat(F.lit("mean by "), "effect"))
+    by_error = Window.orderBy("rmse", "model")  # a row for each class
+    return found.select(name.alias("model"), "n", "rmse").withColumn("rank", F.row_number().over(by_error))
+
+
 def project_from_table(
     spark: SparkSession, name: str, table: str, target: str, template: str = "standard", key: Sequence[str] = (), **options
 ) -> Project:
@@ -113,8 +195,8 @@ def create_project(
         F.col(target).cast("double").alias("label"),
         train_part(key).alias("train"),
     )
-    encoder = _features(classes, numbers).fit(rows.filter("train"))
-    prepared = encoder.transform(rows).select("features", "label", "train")
+    stages = _features(rows.filter("train"), classes, numbers)
+    prepared = PipelineModel(stages=stages).transform(rows).select("features", "label", "train")
     # even parts of a bounded size, as many as there are cores at least: every iteration runs over them
     ready = settle(prepared.hint("rebalance"), "features")
     train, check = ready.filter("train"), ready.filter("not train")
@@ -127,7 +209,7 @@ def create_project(
         model = _learner(kind, binary).fit(train)
         tried.append((kind, judge.evaluate(model.transform(check)), model))
     tried.sort(key=lambda t: -t[1] if judge.isLargerBetter() else t[1])
-    champion = PipelineModel(stages=[*encoder.stages, tried[0][2]])
+    champion = PipelineModel(stages=[*stages, tried[0][2]])
     metric = judge.getMetricName()
     return Project(name, template, table, target, metric, [(k, v) for k, v, _ in tried], champion)
 

@@ -406,6 +406,20 @@ best as (select * from s where effects = '' union all select * from (select * fr
 select method, effects, cast(n_parameters as int) as n_parameters, round(sbc, 4) as sbc from best, (values ('BACKWARD'), ('FORWARD')) v(method)"""
 
 
+def _fold_errors() -> str:
+    """Each row against the means of the rows of its level in the other four folds."""
+    models = []
+    for name, e in (("overall mean", "''"), *((f"mean by {e}", e) for e in [*EFFECTS, "city"])):
+        models.append(f"""select '{name}' as model, count(*) as n, sqrt(avg((y - coalesce((ts - fs) / nullif(tn - fn, 0), (a.s - b.s) / (a.n - b.n))) ** 2)) as rmse
+from (select y, fold, sum(y) over (partition by {e}) as ts, count(*) over (partition by {e}) as tn, sum(y) over (partition by {e}, fold) as fs,
+  count(*) over (partition by {e}, fold) as fn from r) join b using (fold), a""")
+    digits = "substr(md5(l_orderkey || '|' || l_linenumber), 9, 8)"
+    return f"""with {EMISSIONS}, r as (select *, verified as y, cast('0x' || {digits} as bigint) % 5 as fold from emissions where verified is not null),
+a as (select sum(y) as s, count(*) as n from r), b as (select fold, sum(y) as s, count(*) as n from r group by 1),
+m as ({' union all '.join(models)})
+select model, n, round(rmse, 6) as rmse, cast(row_number() over (order by rmse, model) as int) as rank from m"""
+
+
 def _city_estimates() -> str:
     """Means of the cities beside that of the last one, and what their counts make of the error variance."""
     return f"""with {EMISSIONS},
@@ -574,6 +588,7 @@ group by grouping sets ((), (country_id), (nace_desc), (activity_desc), (country
         "glm_fit_totals": _level_totals(["country_id", "nace_desc", "activity_desc"]),
         "glm_published_totals": _level_totals(["activity_desc"]),
         "glm_simple_steps": _simple_steps(),
+        "automl_folds": _fold_errors(),
         "glm_city_estimates": _city_estimates(),
         "glm_city_totals": _level_totals(CITY_EFFECTS),
         "glm_anova": _anova(),

@@ -639,6 +639,12 @@ def automl_leaderboard(spark, folder):
     return rounded(models.leaderboard(spark, _project(spark, folder)), 4)
 
 
+@query
+def automl_folds(spark, folder):
+    """Cross-validated errors of the candidates with a closed form, the city with its many levels among them."""
+    return rounded(models.fold_errors(fixtures.emissions(spark, folder), RESPONSE, [*EFFECTS, "city"], PROJECT_KEY))
+
+
 @query
 def automl_manage(spark, folder):
     """Actions on a running, a failed and a finished project; the published champion is loaded and applied."""

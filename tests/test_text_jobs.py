@@ -106,6 +106,42 @@ def test_binary_project(spark):
     assert project.metric == "areaUnderROC" and project.results[0][1] == pytest.approx(1.0)
 
 
+def test_level_means_and_unseen_levels(spark, tmp_path):
+    rows = [(i, f"c{i % 40}", None if i % 3 else "x", float(i % 40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, c string, d string, label double")
+    means = models.fit_level_means(df, ["c", "d"], prior=10.0)
+    new = spark.createDataFrame([("c3", "x"), ("c39", None), ("other", "y"), (None, None)], "c string, d string")
+    got = {(r.c, r.d): r for r in means.transform(new).collect()}
+    overall = sum(r[3] for r in rows) / 400
+    x = [r[3] for r in rows if r[2] == "x"]
+    assert got[("c3", "x")].c__m == pytest.approx((30 + 10 * overall) / 20) and got[("c3", "x")].d__m == pytest.approx((sum(x) + 10 * overall) / (len(x) + 10))
+    assert got[("other", "y")].c__m == got[(None, None)].c__m == got[("c39", None)].d__m == pytest.approx(overall)
+    project = models.create_project(df, "p", "linear", "lib.t", "label", ["c"], [], ["k"])
+    project.champion.write().overwrite().save(str(tmp_path / "m"))
+    loaded = models.PipelineModel.load(str(tmp_path / "m"))
+    assert loaded.transform(df).orderBy("k").select("prediction").collect() == project.champion.transform(df).orderBy("k").select("prediction").collect()
+
+
+def test_fold_errors_by_hand(spark):
+    rows = [(i, "ab"[i % 2] if i % 7 else None, f"only{i}", float(i % 5) if i % 11 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, c string, u string, y double").withColumn("fold", models.fold_of(["k"]))
+    data = [r for r in df.collect() if r.y is not None]
+    mean = lambda values: sum(values) / len(values)
+
+    def rmse(column):
+        errors = []
+        for r in data:
+            level = [x.y for x in data if x.fold != r.fold and column and x[column] is not None and x[column] == r[column]]
+            errors.append((r.y - mean(level or [x.y for x in data if x.fold != r.fold])) ** 2)
+        return math.sqrt(mean(errors))
+
+    got = {r.model: r for r in models.fold_errors(df, "y", ["c", "u"], ["k"]).collect()}
+    want = {"overall mean": rmse(None), "mean by c": rmse("c"), "mean by u": rmse("u")}
+    assert {m: r.rmse for m, r in got.items()} == pytest.approx(want) and {r.n for r in got.values()} == {len(data)}
+    assert sorted(r.rank for r in got.values()) == [1, 2, 3]
+    assert models.fold_errors(df.limit(0), "y", ["c"], ["k"]).count() == 0
+
+
 def test_text_classifier(spark):
     rows = [(i, "good fine nice" if i % 2 else "bad poor awful", float(i % 2)) for i in range(60)]
     df = spark.createDataFrame(rows, "i int, text string, label double")
