@@ -381,6 +381,17 @@ def _level_totals(effects: list[str]) -> str:
 {' union all '.join(levels)}"""
 
 
+def _stream_published() -> str:
+    """Each row by the mean of its level of the effect that was published last when it arrived."""
+    means = " union all ".join(
+        f"select {v} as version, {e} as level, avg(verified) as m from u group by {e}" for v, e in enumerate(REGISTERED, 1)
+    )
+    level = " ".join(f"when {v} then {e}" for v, e in enumerate(REGISTERED, 1))
+    return f"""with {EMISSIONS}, u as (select * from emissions where year_comp = {YEAR_A} and verified is not null), means as ({means}),
+a as (select *, cast(l_orderkey % 2 + 1 as int) as model_version from emissions)
+select l_orderkey, l_linenumber, round(m, 6) as predicted, model_version from a left join means on version = model_version and level = case model_version {level} end"""
+
+
 def _anova() -> str:
     """Analysis of variance of the selected model, which holds activity_desc alone; its p-value is 0 to two digits."""
     return f"""with {EMISSIONS}, u as (select * from emissions where year_comp = {YEAR_A} and verified is not null),
@@ -516,6 +527,8 @@ def all_sql() -> dict[str, str]:
         "head_n": "select o_orderkey, o_custkey, o_orderstatus from orders order by o_orderkey limit 5",
         "vector_ingest": "select vec_id as id, text as content, cast(len(embedding) as int) as n_dims, "
         "round(list_sum(cast(embedding as double[])), 6) as vector_sum from embeddings join documents on vec_id = doc_id",
+        "vector_ingest_batches": "select vec_id as id, cast(len(embedding) as int) as n_dims, round(list_sum(cast(embedding as double[])), 6) as vector_sum from embeddings",
+        "stream_published": _stream_published(),
         "html_items": """select page_id, cast(generate_subscripts(found, 1) - 1 as int) as item_no,
  lower(regexp_replace(unnest(found), '<[^>]*>', '', 'g')) as item
 from (select page_id, list_transform(string_split_regex(html, '(?i)<li(\\s[^>]*)?>')[2:],

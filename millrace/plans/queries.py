@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from millrace.operators.registry import Registry
 from millrace.plans import abt
 from millrace.session import new_path, settle
 from millrace.sources import fixtures, tables
+from millrace.sources.batches import BatchTable
 from millrace.streaming import scoring
 
 YEAR_A, YEAR_B = 1997, 1998
@@ -120,6 +122,25 @@ def vector_ingest(spark, folder):
     return rounded(stored.select("id", "content", F.size("vector").alias("n_dims"), total.alias("vector_sum")))
 
 
+@query
+def vector_ingest_batches(spark, folder):
+    """The same rows in three batches with a commit each; one is sent twice, and one fails at first."""
+    rows = tables.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), vectors.pack(F.to_json("embedding")).alias("vector"))
+    stored = BatchTable(spark, new_path(spark, "vector-batches"), rows.schema)
+    broken = F.assert_true(F.col("id") < 100, "the batch fails half-way")
+    for part in (0, 1, 2):
+        batch = rows.filter(F.col("id") % 3 == part)
+        if part == 1:
+            try:
+                stored.append(batch.filter(broken.isNull()), "1")
+            except SparkRuntimeException:  # as meant
+                pass
+        for _ in range(1 + (part == 2)):
+            stored.append(batch, f"{part}")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rounded(stored.read().select("id", F.size("vector").alias("n_dims"), total.alias("vector_sum")))
+
+
 @query
 def html_items(spark, folder):
     pages = tables.table(spark, folder, "pages")
@@ -599,6 +620,28 @@ def glm_score(spark, folder):
     return rounded(scored.select("l_orderkey", "l_linenumber", "activity_desc", "predicted"))
 
 
+@query
+def stream_published(spark, folder):
+    """Line items arrive in two rounds; between them a second model is published, which scores the later round alone."""
+    registry = Registry(spark, new_path(spark, "registry"))
+    lines = tables.table(spark, folder, "lineitem")
+    others = [tables.table(spark, folder, t) for t in ("part", "supplier", "nation")]
+    source, checkpoint = new_path(spark, "arriving"), new_path(spark, "published-checkpoint")
+    sink = BatchTable(
+        spark, new_path(spark, "published-scores"), T._parse_datatype_string("l_orderkey long, l_linenumber int, predicted double, model_version int")
+    )
+    for round_no, effect in enumerate(REGISTERED):
+        estimates = glm.parameter_estimates(spark, _year_fit(spark, folder, [effect]))
+        registry.register(registry.store_table(estimates, "reg_model"), "glm_back", "emissions", force=True, action="publish")
+        lines.filter(F.col("l_orderkey") % 2 == round_no).write.mode("append").parquet(f"{source}/lineitem.parquet")
+        running = scoring.score_published(
+            scoring.parquet_stream(spark, source, "lineitem", lines.schema),
+            lambda arrived: fixtures.emissions_from(arrived, *others), registry, "emissions", "glm_back", sink, checkpoint,
+        )
+        running.awaitTermination()
+    return rounded(sink.read())
+
+
 @query
 def stream_score(spark, folder):
     """The same scores for line items that arrive as a stream of files."""

@@ -1,11 +1,16 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace import session
-from millrace.operators import glm
+from millrace.operators import commit_log, glm
 from millrace.operators.registry import Registry
 from millrace.plans import abt, queries
 from millrace.sources import fixtures, tables
+from millrace.sources.batches import BatchTable
 from millrace.streaming import scoring
 
 
@@ -77,6 +82,79 @@ def test_versions_keep_their_content(spark, tmp_path):
             registry.published_table("p", "m", version)
 
 
+def test_two_writers_get_two_versions(spark, tmp_path):
+    """Ten registrations from each of four writers at once: forty versions, none twice; a forced loser tries again."""
+    writers = [Registry(spark, str(tmp_path)) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda i: writers[i % 4].register(f"path{i}", "m", "p", force=True), range(40)))
+    assert sorted(got) == list(range(1, 41))
+    assert {e["version"]: e["path"] for e in writers[0].versions()} == {v: f"path{i}" for i, v in enumerate(got)}
+    late, first = Registry(spark, str(tmp_path)), writers[1]
+    late.versions()
+    asked = []
+
+    def make(entries):  # someone else is first, between reading and writing
+        if not asked:
+            first.set_state("p", "completed")
+        asked.append(len(entries))
+        return {"what": "state", "project": "p", "state": f"seen {len(entries)}"}
+
+    assert late.log.append(make)["state"] == f"seen {asked[1]}" and asked[1] == asked[0] + 1
+
+
+def test_half_written_entries_say_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commit_log, "PATIENCE", 0.1)
+    log = commit_log.CommitLog(spark, str(tmp_path / "log"))
+    log.append(lambda _: {"n": 1})
+    (tmp_path / "log" / "000000000002.json").write_text('{"n": 2')
+    again = commit_log.CommitLog(spark, str(tmp_path / "log"))
+    assert again.append(lambda entries: {"n": len(entries) + 2}) == {"n": 3}
+    assert [e["n"] for e in again.entries()] == [1, 3]
+    assert not commit_log.put_if_absent(spark, str(tmp_path / "log" / "000000000001.json"), "x")
+
+
+def test_batches_count_once_and_whole(spark, tmp_path):
+    rows = spark.range(100)
+    stored = BatchTable(spark, str(tmp_path), rows.schema)
+    assert stored.read().count() == 0
+    assert stored.append(rows, "a") and not stored.append(rows, "a")
+    with pytest.raises(SparkRuntimeException):
+        stored.append(rows.repartition(5).filter(F.assert_true(F.col("id") != 77).isNull()), "b")
+    assert stored.batches() == ["a"] and stored.read().count() == 100 and len(list((tmp_path / "data").iterdir())) == 1
+    # another writer commits the batch while this one still writes it
+    other = BatchTable(spark, str(tmp_path), rows.schema)
+    mine = other.log.append
+    other.log.append = lambda make: (stored.append(rows, "c"), mine(make))[1]
+    assert not other.append(rows, "c") and other.read().count() == 200 and len(list((tmp_path / "data").iterdir())) == 2
+
+
+def test_a_stream_follows_the_published_version(spark, tmp_path):
+    registry = Registry(spark, str(tmp_path / "registry"))
+    sink = BatchTable(spark, str(tmp_path / "sink"), T._parse_datatype_string("k string, predicted double, model_version int"))
+    source = str(tmp_path / "in")
+
+    def publish(*lines):
+        table = spark.createDataFrame([("Intercept", "", 10.0), *lines], "effect string, level string, estimate double")
+        registry.register(registry.store_table(table, "c"), "m", "p", force=True, action="publish")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema("k string").parquet(source)
+        scoring.score_published(stream, lambda df: df, registry, "p", "m", sink, str(tmp_path / checkpoint)).awaitTermination()
+
+    publish(("k", "a", 1.0))
+    spark.createDataFrame([("a",), ("b",)], "k string").coalesce(1).write.mode("append").parquet(source)
+    run("one")
+    publish(("k", "a", 2.0), ("k", "b", 3.0))
+    registry.register("nowhere", "m", "p", force=True, action="register")  # not published, so not used
+    spark.createDataFrame([("a",), ("b",)], "k string").coalesce(1).write.mode("append").parquet(source)
+    run("one")
+    want = [("a", 11.0, 1), ("a", 12.0, 2), ("b", None, 1), ("b", 13.0, 2)]
+    assert sorted(map(tuple, sink.read().collect()), key=str) == sorted(want, key=str)
+    publish(("k", "a", 9.0))
+    run("two")  # a lost checkpoint: batch 0 is there already
+    assert sink.read().count() == 4 and sink.batches() == ["0", "1"]
+
+
 def test_a_project_that_failed_after_all_is_not_published(spark, tmp_path):
     registry = Registry(spark, str(tmp_path))
     for state in ("completed", "failed"):
