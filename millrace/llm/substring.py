@@ -44,7 +44,7 @@ from millrace.llm.words import NOT_SPACE, Words, join_words, mix, words_of
 from millrace.session import settle
 
 WIDTH = 13
-PART_BYTES = 4 << 20  # of a part's rows; its last row may go beyond
+PART_BYTES = 2 << 20  # of a part's rows; its last row may go beyond
 ROW_BYTES = 64  # that a row counts besides its texts
 SHARD_BYTES = 24 << 20  # of text to a shard: some four million windows
 CELL_BITS = 24
@@ -77,6 +77,13 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(gaps).astype(np.uint32)
 
 
+def _joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    """All arrays as one; the list is emptied, so that they do not stand beside it for longer than needed."""
+    out = np.concatenate(arrays) if arrays else np.zeros(0, kind)
+    arrays.clear()
+    return out
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -88,32 +95,37 @@ def from_bits(data: bytes, n: int) -> np.ndarray:
 class Part:
     """The windows of a part: each distinct one with its least and greatest document."""
 
-    def __init__(self, table: pa.Table, shard_bits: int, width: int, chains: int) -> None:
+    def __init__(self, table: pa.Table, shard_bits: int, width: int, chains: int, places: bool = False) -> None:
         ids = table.column("__id").to_numpy().astype(np.int64)
-        self.slices: list[Words] = list(words_of(table.column("__text"), NOT_SPACE, False))
-        self.width, shift = width, 0
-        texts, at, hashes, others = [], [], [], []
-        for words in self.slices:
+        self.slices: list[Words] = []  # kept only where words are taken out
+        self.width, self.n_words = width, 0
+        docs, at, hashes, others = [], [], [], []
+        for words in words_of(table.column("__text"), NOT_SPACE, False):
             found = words.windows(width, chains)
-            texts.append(found[0] + words.first)
-            at.append(found[1] + shift)
+            docs.append(ids[found[0] + words.first])
             hashes.append(found[2])
-            others.append(found[-1])
-            shift += len(words.hashes)
-        self.n_words = shift
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        self.order = np.argsort(flat)
-        ordered = flat[self.order]
-        doc = ids[np.concatenate(texts)] if texts else ids[:0]
-        self.doc = doc[self.order]
-        self.new = np.ones(len(flat), bool)
+            if places:
+                at.append((found[1] + self.n_words).astype(np.int32 if self.n_words < 1 << 30 else np.int64))
+                words.hashes = words.hashes[:0]
+                self.slices.append(words)
+            if chains == 2:
+                others.append(found[3])
+            self.n_words += len(words.starts)
+        flat = _joined(hashes, np.uint64)
+        kind = np.int32 if len(flat) < 1 << 31 else np.int64
+        order = np.argsort(flat).astype(kind)
+        ordered = flat[order]
+        del flat
+        self.new = np.ones(len(ordered), bool)
         self.new[1:] = ordered[1:] != ordered[:-1]
-        starts = np.flatnonzero(self.new)
+        starts = np.flatnonzero(self.new).astype(kind)
         self.hashes = ordered[starts]
-        self.least = np.minimum.reduceat(self.doc, starts) if len(starts) else self.doc
-        self.most = np.maximum.reduceat(self.doc, starts) if len(starts) else self.doc
-        self.others = (np.concatenate(others)[self.order][starts] if len(starts) else flat) if chains == 2 else None
+        del ordered
+        doc = _joined(docs, np.int64)[order]
+        self.least = np.minimum.reduceat(doc, starts) if len(starts) else doc
+        self.most = np.maximum.reduceat(doc, starts) if len(starts) else doc
+        self.others = _joined(others, np.uint64)[order[starts]] if chains == 2 else None
+        self.at, self.doc = (_joined(at, np.int32)[order], doc) if places else (None, None)
         shard = (self.hashes >> np.uint64(64 - shard_bits)).astype(np.int64)
         edges = np.searchsorted(shard, np.arange((1 << shard_bits) + 1))
         self.shards = [(s, slice(a, b)) for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
@@ -203,7 +215,7 @@ def _exact(key: tuple, table: pa.Table) -> pa.Table:
 
 def _remove(shard_bits: int, width: int, schema: pa.Schema, keep_layout: bool):
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        part = Part(left, shard_bits, width, 1)
+        part = Part(left, shard_bits, width, 1, places=True)
         maybe = part.candidates(_answers(right, 1))
         elsewhere = np.zeros(len(maybe), bool)
         second = _answers(right, 2)
@@ -213,11 +225,10 @@ def _remove(shard_bits: int, width: int, schema: pa.Schema, keep_layout: bool):
                 elsewhere[m] = from_bits(second[s][0], len(m))
         group = np.cumsum(part.new) - 1
         gone = maybe[group] & (elsewhere[group] | (part.doc > part.least[group]))
-        cover = np.zeros(part.n_words + 1, np.int64)
-        starts = part.at[part.order[gone]]
-        cover += np.bincount(starts, minlength=part.n_words + 1)
+        starts = part.at[gone]
+        cover = np.bincount(starts, minlength=part.n_words + 1)
         cover -= np.bincount(starts + width, minlength=part.n_words + 1)[: part.n_words + 1]
-        kept = np.cumsum(cover)[: part.n_words] == 0
+        kept = np.cumsum(cover, out=cover)[: part.n_words] == 0
         texts, n_words, n_removed, shift = [], [], [], 0
         for words in part.slices:
             k = kept[shift : shift + len(words.starts)]

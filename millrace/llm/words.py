@@ -3,7 +3,8 @@
 Texts stay in the Arrow buffer; a word is a pair of byte positions. A word's
 hash is a polynomial over random byte values, read off a running sum, so a
 pass costs the same per byte whatever the length of texts or words. Batches
-are worked off in slices of bounded bytes (a single longer text is a slice).
+are worked off in slices of bounded bytes (a single longer text is a slice);
+bytes are hashed in steps of one fixed size, also within a long text or word.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+STEP = 1 << 19  # bytes hashed at once
 MASK = (1 << 64) - 1
 GOLDEN = 0x9E3779B97F4A7C15
 BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
@@ -54,23 +56,15 @@ def _byte_values(lower: bool) -> np.ndarray:
 BYTE_VALUES = {lower: _byte_values(lower) for lower in (False, True)}
 
 
-class Powers:
-    """Powers of an odd base and of its inverse, grown on demand (by doubling)."""
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
 
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS = Powers(BASE)
-_WINDOW_POWERS = [Powers(b) for b in WINDOW_BASES]
+UP, DOWN = _powers(BASE, STEP + 1), _powers(pow(BASE, -1, 1 << 64), STEP + 1)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +120,12 @@ class Words:
         at = np.arange(len(texts)) - before[texts] + self.bounds[:-1][texts]
         length = np.minimum(counts[texts], width)
         hashes = []
-        for powers in _WINDOW_POWERS[:chains]:
-            up, down = powers.get(n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.hashes * up[:n], out=total[1:])
-            hashes.append(mix((total[at + length] - total[at]) * down[at] + length.astype(np.uint64)))
+        for base in WINDOW_BASES[:chains]:
+            total = length.astype(np.uint64)
+            for i in range(width):
+                value = self.hashes[np.minimum(at + i, max(n - 1, 0))] * np.uint64(pow(base, i, 1 << 64))
+                total += np.where(i < length, value, np.uint64(0)) if short else value
+            hashes.append(mix(total))
         return texts, at, *hashes
 
 
@@ -158,13 +153,26 @@ def _slice(data: np.ndarray, bounds: np.ndarray, first: int, keep: np.ndarray, l
     after[edges - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _BYTE_POWERS.get(size + 1)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[lower][data] * up[:size], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = mix(_sums(data, starts, ends, BYTE_VALUES[lower]) + (ends - starts).astype(np.uint64))
     return Words(data, starts, ends, np.searchsorted(starts, bounds), bounds, first, hashes)
 
 
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Each word's polynomial, added up over the steps that it lies in."""
+    out = np.zeros(len(starts), np.uint64)
+    total = np.zeros(STEP + 1, np.uint64)
+    for at in range(0, len(data), STEP):
+        end = min(at + STEP, len(data))
+        np.cumsum(values[data[at:end]] * UP[: end - at], out=total[1 : end - at + 1])
+        low, high = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(starts, end))
+        a, b = np.maximum(starts[low:high], at) - at, np.minimum(ends[low:high], end) - at
+        part = (total[b] - total[a]) * DOWN[a]
+        if low < high and starts[low] < at:  # a word that began in an earlier step
+            part[:1] *= np.uint64(pow(BASE, int(at - starts[low]), 1 << 64))
+        out[low:high] += part
+    return out
+
+
 def join_words(words: Words, keep: np.ndarray) -> pa.Array:
     """The kept words of each text, joined by one blank."""
     kept = np.flatnonzero(keep)
