@@ -4,8 +4,9 @@ A shard is a slice of documents in one task. Its words become numbers of the
 benchmark's vocabulary (0: none), and only runs of such words that are long
 enough for the shortest window stay, as nothing else can match. A suffix array
 over them is sorted to the window's depth; every benchmark suffix is searched
-in it, word by word, all suffixes at once. Windows on one diagonal join to the
-longest verbatim matches.
+in it, word by word, all suffixes at once. Windows that follow each other in
+text and item join to the longest verbatim matches. Equal windows are met once
+for all items that hold them, so repetitive texts and items cost no pairs.
 
 A window is ``width`` consecutive words of an item; an item of fewer words,
 but not none, is one window. Documents never shuffle, and no result leaves
@@ -14,13 +15,15 @@ characters, one narrow pass each.
 
 Null or empty texts have no words and match nothing. Repeated documents or
 items each count. A null item id hits words but is no item in ``items``. An
-empty benchmark hits nothing. Input columns of the same names as the added
-ones are replaced.
+empty benchmark hits nothing; an empty table gives no rows. Input columns of
+the same names as the added ones are replaced. A very long text is a slice of
+its own, and memory grows with its bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.llm.arrow import lean
 from millrace.llm.words import ALNUM, words_of
+from millrace.session import settle
 
 WIDTH = 13
 BLOCK_CHARS = 32_000_000
+HIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 MATCH = "array<struct<item_id:string,item_start:int,start:int,n_words:int>>"
 ADDED = f"n_words long, n_hit long, items array<string>, matches {MATCH}"
 
@@ -57,7 +63,7 @@ class Suffixes:
         need = np.minimum(lengths, width)
         self.suffix = (starts[of] + place)[place + need[of] <= lengths[of]] if len(of) else np.zeros(0, np.int64)
         self.item = of[place + need[of] <= lengths[of]].astype(np.int64) if len(of) else np.zeros(0, np.int64)
-        self.start = starts
+        self.start, self.lengths = starts, lengths
         self.need = need[self.item] if len(of) else np.zeros(0, np.int64)
         self.shortest = int(self.need.min()) if len(self.need) else 0
 
@@ -129,10 +135,26 @@ def long_runs(numbers: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.n
     return words, at
 
 
-def find(column: pa.Array, query: Suffixes) -> Iterator[tuple[int, np.ndarray, list[list[tuple]]]]:
-    """By slices of the texts: the first text, word counts, and each text's longest matches (item, its place, place, length)."""
+@dataclass
+class Slice:
+    """What a slice of texts has: words inside windows, and by text the items and longest matches."""
+
+    first: int
+    bounds: np.ndarray  # words before each text, and in all
+    hit: np.ndarray  # of each word
+    items: dict[int, set[int]]  # by text, for those that have any
+    matches: tuple[np.ndarray, ...]  # text, item, place in the item, place in the text, words
+
+
+def find(column: pa.Array, query: Suffixes, with_matches: bool = True) -> Iterator[Slice]:
+    """The benchmark's windows in the texts, by slices.
+
+    Equal windows are met once, however many items hold them: their part of the
+    suffix array marks the words, and texts meet whole sets of items. Only the
+    longest matches go by item, with one place of a window in each.
+    """
     for words in words_of(column, ALNUM, True):
-        matches: list[list[tuple]] = [[] for _ in range(words.n_texts)]
+        out = Slice(words.first, words.bounds, np.zeros(len(words.hashes), bool), {}, tuple(np.zeros(0, np.int64) for _ in range(5)))
         if query.shortest:
             at = np.searchsorted(query.vocabulary, words.hashes)
             at[at == len(query.vocabulary)] = 0
@@ -140,93 +162,143 @@ def find(column: pa.Array, query: Suffixes) -> Iterator[tuple[int, np.ndarray, l
             kept, places = long_runs(numbers, words.bounds, query.shortest)
             if len(kept):
                 order = suffix_array(kept, query.width)
-                which, low, high = search(kept, order, query)
-                n = high - low
-                which = np.repeat(which, n)
-                spot = order[np.arange(len(which)) - np.repeat(np.cumsum(n) - n - low, n)]
-                _join(words, places[spot], which, query, matches)
-        yield words.first, words.counts, matches
-
-
-def _join(words, place, which, query, matches) -> None:
-    """Windows on one diagonal of a text and an item, word after word, are one match."""
-    if not len(place):
-        return
-    text = np.searchsorted(words.bounds, place, "right") - 1
-    item, there, need = query.item[which], query.suffix[which] - query.start[query.item[which]], query.need[which]
-    order = np.lexsort((place, place - there, item, text))
-    text, item, there, place, need = (x[order] for x in (text, item, there, place, need))
+                found = search(kept, order, query)
+                if len(found[0]):
+                    _meet(out, places[order], *found, query, with_matches)
+        yield out
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first`` and the ``n - 1`` numbers after it, for each, end to end."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def _meet(out: Slice, spots: np.ndarray, which: np.ndarray, low: np.ndarray, high: np.ndarray, query: Suffixes, with_matches: bool) -> None:
+    item, need = query.item[which], query.need[which]
+    there = query.suffix[which] - query.start[item]
+    order = np.lexsort((there, item, need, low))
+    item, there, need, low, high = (x[order] for x in (item, there, need, low, high))
+    new = np.ones(len(low), bool)  # windows that are equal have one part of the order
+    new[1:] = (low[1:] != low[:-1]) | (need[1:] != need[:-1])
+    group = np.cumsum(new) - 1
+    pair = new.copy()  # a window in an item, at its first place there
+    pair[1:] |= item[1:] != item[:-1]
+    heads, pairs = np.flatnonzero(new), np.flatnonzero(pair)
+    again = np.diff(np.append(pairs, len(low))) > 1
+    items, first_pair = item[pairs], np.searchsorted(group[pairs], np.arange(len(heads)))
+    n_items = np.diff(np.append(first_pair, len(pairs)))
+
+    n = high[heads] - low[heads]
+    place, of = spots[_spread(low[heads], n)], np.repeat(np.arange(len(heads)), n)
+    ends = np.bincount(place, minlength=len(out.hit) + 1) - np.bincount(place + need[heads][of], minlength=len(out.hit) + 1)
+    out.hit[:] = np.cumsum(ends)[:-1] > 0
+    text = np.searchsorted(out.bounds, place, "right") - 1
+
+    # windows of one passage mostly share their items: a text meets each set of items once
+    known: dict[bytes, int] = {}
+    sets = [items[a : a + k] for a, k in zip(first_pair.tolist(), n_items.tolist())]
+    named = np.array([known.setdefault(x.tobytes(), len(known)) for x in sets])
+    members = {}
+    for name, x in zip(named.tolist(), sets):
+        members.setdefault(name, x.tolist())
+    met = np.unique(text * len(known) + named[of])
+    for t, name in zip((met // len(known)).tolist(), (met % len(known)).tolist()):
+        out.items.setdefault(t, set()).update(members[name])
+
+    if with_matches:
+        k = n_items[of]
+        at = _spread(first_pair[of], k)
+        rows = [np.repeat(text, k), items[at], there[pairs][at], np.repeat(place, k), need[pairs][at], again[at]]
+        out.matches = _longest(rows, query.lengths, out.bounds)
+
+
+def _longest(rows: list[np.ndarray], lengths: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of one text and item, word after word in both, are one match; one that the item repeats follows any."""
+    order = np.lexsort((rows[3], rows[1], rows[0]))
+    text, item, there, place, need, again = (x[order] for x in rows)
     new = np.ones(len(place), bool)
-    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(place - there) != 0) | (np.diff(place) != 1)
+    new[1:] = (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(place) != 1) | ((np.diff(there) != 1) & ~again[1:] & ~again[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place)) - 1
-    length = place[last] - place[first] + need[first]
-    start = place[first] - words.bounds[text[first]]
-    for t, i, a, b, n in zip(*(x.tolist() for x in (text[first], item[first], there[first], start, length))):
-        matches[t].append((query.ids[i], a, b, n))
+    length = np.minimum(place[last] - place[first] + need[first], lengths[item[first]])
+    return text[first], item[first], there[first], place[first] - bounds[text[first]], length
 
 
-def covered(spans: list[tuple[int, int]]) -> int:
-    """Words inside any of the (start, length) spans."""
-    total, reach = 0, 0
-    for start, n in sorted(spans):
-        total += max(0, start + n - max(start, reach))
-        reach = max(reach, start + n)
-    return total
+def _n_blocks(rows: DataFrame, block_chars: int) -> int:
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    return max(1, -(-chars // block_chars))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_chars: int) -> Iterator[tuple[list, list]]:
-    """The items in blocks of about ``block_chars`` characters; only one is at the driver at a time."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-chars // block_chars)
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        got = sorted(map(tuple, part.collect()), key=lambda r: (r[0] or "", r[1]))
-        yield [r[0] for r in got], [r[1] for r in got]
+def _block(rows: DataFrame, n: int, k: int) -> tuple[list, list]:
+    """One block of the items, about ``block_chars`` characters; copies of an item are dealt to all blocks."""
+    salt = F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(n))
+    part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t") + salt, F.lit(n)) == k)
+    got = sorted(map(tuple, part.select("i", "t").collect()), key=lambda r: (r[0] or "", r[1]))
+    return [r[0] for r in got], [r[1] for r in got]
 
 
 def find_matches(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    width: int = WIDTH, block_chars: int = BLOCK_CHARS, carry: list[str] | None = None,
+    width: int = WIDTH, block_chars: int = BLOCK_CHARS, carry: list[str] | None = None, matches: bool = True,
 ) -> DataFrame:
-    """Add n_words, n_hit (words inside any occurrence of a window), items and matches to each document.
+    """Add n_words, n_hit (words inside any occurrence of a window), items and (if asked) matches to each document.
 
-    ``carry``: the input columns to return (all by default); the text itself is read either way.
+    ``carry``: the input columns to return (all by default); the text itself is read either way. A
+    benchmark of several blocks takes a written pass each, and one block's arrays are sent at a time.
     """
-    added = T._parse_datatype_string(ADDED)
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in added.names]
+    spark = docs.sparkSession
+    added = T._parse_datatype_string(ADDED if matches else ADDED.rpartition(", matches")[0])
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in T._parse_datatype_string(ADDED).names]
     df = docs.select(*carry, F.col(text).alias("__text"))
-    blocks = list(_blocks(benchmark, item_id, item_text, block_chars)) or [([], [])]
-    for k, (ids, texts) in enumerate(blocks):
-        last = k == len(blocks) - 1
-        sent = docs.sparkSession.sparkContext.broadcast(Suffixes(ids, texts, width))
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    n = _n_blocks(rows, block_chars)
+    rows = settle(rows, "benchmark") if n > 1 else rows
+    for k in range(n):
+        last = k == n - 1
+        sent = spark.sparkContext.broadcast(Suffixes(*_block(rows, n, k), width))
         kept = [f for f in df.schema.fields if f.name in carry or not last and f.name == "__text"]
-        schema = T.StructType(kept + added.fields)
-        df = df.mapInArrow(_scan(sent, [f.name for f in kept], to_arrow_schema(schema)), schema)
+        schema = T.StructType(kept + added.fields + ([] if last else [T.StructField("__hit", HIT)]))
+        df = df.mapInArrow(lean(_scan(sent, [f.name for f in kept], to_arrow_schema(schema), matches)), schema)
+        if not last:
+            df = settle(df, "benchmark-block")
+            sent.destroy()
     return df
 
 
-def _scan(sent, kept: list[str], schema: pa.Schema):
-    n_added = 4
+def _runs(hit: np.ndarray) -> list[dict]:
+    """Stretches of hit words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
+    return [{"start": a, "n": b - a} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+
 
+def _scan(sent, kept: list[str], schema: pa.Schema, with_matches: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query = sent.value
         for batch in batches:
-            column = batch.column(batch.schema.names.index("__text"))
             names = batch.schema.names
-            before = batch.column(names.index("matches")).to_pylist() if "matches" in names else [None] * len(column)
-            counts, hits, items, spans = [], [], [], []
-            for first, n_words, found in find(column, query):
-                for t, matches in enumerate(found):
-                    for m in before[first + t] or []:
-                        matches.append((m["item_id"], m["item_start"], m["start"], m["n_words"]))
-                    hits.append(covered([m[2:] for m in matches]) if matches else 0)
-                    items.append(sorted({m[0] for m in matches if m[0] is not None}) if matches else [])
-                    spans.append([dict(zip(("item_id", "item_start", "start", "n_words"), m)) for m in matches])
-                counts.extend(n_words.tolist())
-            made = [pa.array(c, schema.field(len(kept) + i).type) for i, c in enumerate((counts, hits, items, spans))]
-            assert len(made) == n_added
+            before = {c: batch.column(names.index(c)).to_pylist() for c in ("items", "matches", "__hit") if "__hit" in names and c in names}
+            counts, hits, items, spans, stretches = [], [], [], [], []
+            for part in find(batch.column(names.index("__text")), query, with_matches):
+                n = len(part.bounds) - 1
+                found = [{query.ids[i] for i in part.items[t]} - {None} if t in part.items else () for t in range(n)]
+                texts: list[list] = [[] for _ in range(n)]
+                for t, i, a, b, size in zip(*(x.tolist() for x in part.matches)):
+                    texts[t].append({"item_id": query.ids[i], "item_start": a, "start": b, "n_words": size})
+                for t in range(n if before else 0):
+                    found[t] = {*found[t], *before["items"][part.first + t]}
+                    texts[t] += before.get("matches", {part.first + t: []})[part.first + t]
+                    for x in before["__hit"][part.first + t]:
+                        part.hit[part.bounds[t] + x["start"] : part.bounds[t] + x["start"] + x["n"]] = True
+                total = np.concatenate([[0], np.cumsum(part.hit)])[part.bounds]
+                counts.append(np.diff(part.bounds))
+                hits.append(np.diff(total))
+                items += [sorted(x) for x in found]
+                spans += texts
+                if "__hit" in schema.names:
+                    stretches += [_runs(part.hit[a:b]) for a, b in zip(part.bounds, part.bounds[1:])]
+            made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (counts, hits)]
+            made += [items] + [spans] * with_matches + [stretches] * ("__hit" in schema.names)
+            made = [pa.array(c, schema.field(len(kept) + i).type) for i, c in enumerate(made)]
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + made, schema=_like(batch, kept, schema))
 
     return scan
@@ -246,5 +318,5 @@ def contaminated(share: int = 20) -> Column:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
     inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}  # so that no name clashes with an added one
-    found = find_matches(docs.withColumnsRenamed(inner), benchmark, text=inner[text], **options)
+    found = find_matches(docs.withColumnsRenamed(inner), benchmark, text=inner[text], matches=False, **options)
     return found.filter(~contaminated()).select(*inner.values()).withColumnsRenamed({v: k for k, v in inner.items()})

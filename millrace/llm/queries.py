@@ -21,7 +21,7 @@ CONFLICT = r"\### Assistant: </turn> ok"
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.find_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"])
+    found = decontaminate.find_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"], matches=False)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),

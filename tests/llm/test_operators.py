@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import duckdb
@@ -91,6 +92,29 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.remove_contaminated(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_repetitive_texts_cost_no_pairs():
+    bench = decontaminate.Suffixes(["r", "s", "t"], ["w " * 4000, "w " * 3000 + lines(30), lines(30)], 13)
+    column = pa.array(["w " * 20_000 + lines(30), "w w", None, "x " + lines(30) + " y"])
+    start = time.process_time()
+    parts = list(decontaminate.find(column, bench))
+    assert time.process_time() - start < 5
+    hit = np.concatenate([p.hit for p in parts])
+    assert hit.sum() == 20_030 + 30
+    rows = [(p.first + t, bench.ids[i], a, b, n) for p in parts for t, i, a, b, n in zip(*(x.tolist() for x in p.matches))]
+    assert (0, "r", 0, 0, 4000) in rows and (0, "t", 0, 20_000, 30) in rows and (3, "t", 0, 1, 30) in rows
+    assert {p.first + t: {bench.ids[i] for i in x} for p in parts for t, x in p.items.items()} == {0: {"r", "s", "t"}, 3: {"s", "t"}}
+
+
+def test_copies_of_an_item_are_dealt_to_all_blocks(spark, docs):
+    bench = spark.createDataFrame([(f"c{i}", lines(20)) for i in range(60)], "item_id string, text string")
+    rows = bench.selectExpr("item_id i", "text t")
+    sizes = [len(decontaminate._block(rows, 5, k)[0]) for k in range(5)]
+    assert sum(sizes) == 60 and max(sizes) < 30
+    one, more = (decontaminate.find_matches(docs, bench, carry=["doc_id"], block_chars=n) for n in (10**6, 1000))
+    key = lambda x: str(x)
+    assert sorted(map(key, (tuple(r)[:4] for r in one.collect()))) == sorted(map(key, (tuple(r)[:4] for r in more.collect())))
+
+
 def test_fingerprints(docs, empty):
     made = fingerprint.edited_fingerprints(docs).collect()
     assert len(made) == len(ROWS) and fingerprint.edited_fingerprints(empty).count() == 0
