@@ -18,7 +18,11 @@ page. Pictures (svg), frames, lists to choose from, templates and what stands
 for a script are left out only if they are ended; a start tag without its end
 hides nothing.
 
-Null html is an empty page; a page without main text has an empty text.
+Null html is an empty page; a page without main text has an empty text. An
+empty table gives no rows; repeated pages each have theirs; input columns named
+as the added text are replaced. A page is read once from front to back: what has
+been found to lack its end is not looked for again, so long or broken pages
+cost time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +49,8 @@ EPOCHS, RATE, DECAY = 6, 0.3, 1e-4
 RAW = ("script", "style", "textarea")
 #: Content that is not shown, if its end tag is there; without it they are tags like others.
 PLAIN, NESTED = ("iframe", "noscript"), ("svg", "template", "select")
-PARSE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?P<rest>[^>]*)>"
-    rf"|<(?P<unseen>{'|'.join(PLAIN + NESTED)})(?=[\s/>])(?P<more>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*|[^>]*)>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+OPEN = re.compile(r"(?P<comment><!--)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)|<[!?]")
+STOP = re.compile(r"[\"'>]")
 END = {k: re.compile(rf"</{k}\s*>", re.I) for k in RAW}
 #: To the end tag, with no other start tag of the kind before it.
 CLOSED = {k: re.compile(rf"(?:(?!<{k}[\s/>]).)*?</{k}\s*>", re.S | re.I) for k in RAW + PLAIN}
@@ -83,51 +84,173 @@ PRIMER = [
 ]
 
 
-def _tags(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
-    """Where the text breaks off and goes on again, and the tag there if it counts: its name, whether it ends, attributes."""
-    found: list[tuple[int, int, str | None, bool, str]] = []
+class Mark(NamedTuple):
+    """A comment, declaration or tag: where it lies, its name in small letters, its attributes, and what kind of tag."""
+
+    start: int
+    end: int
+    tag: str | None = None
+    ends: bool = False
+    attributes: str = ""
+    raw: bool = False
+    unseen: bool = False
+
+
+class Marks:
+    """The marks of a page, from any place on. What has been found to have no end is remembered, so a page is read once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.span = (0, -1, None)  # between these two places the next stop is the third
+        self.dead: set[tuple[bool, int]] = set()  # quotes from which no end of a tag is reached
+        self.none: dict[str, int] = {}  # from here on there is none of it
+
+    def next(self, at: int) -> Mark | None:
+        page = self.page
+        while m := OPEN.search(page, at):
+            start, at = m.start(), m.end()
+            if m["comment"]:
+                end = self.find("-->", at)
+                return Mark(start, len(page) if end < 0 else end + 3)
+            if self.last < at:
+                continue  # nothing but comments can follow
+            if m["tag"] is None:
+                return Mark(start, page.index(">", at) + 1)
+            name, ends = m["tag"].lower(), bool(m["end"])
+            plain = not ends and (page[at] in "/>" or page[at].isspace())
+            if plain and name in RAW:
+                end = page.index(">", at)
+                return Mark(start, end + 1, name, False, page[at:end], raw=True)
+            unseen = plain and name in PLAIN + NESTED
+            end = self._end(at, unseen)
+            if end is None and unseen:
+                end = page.index(">", at)
+            if end is not None:
+                return Mark(start, end + 1, name, ends, page[at:end], unseen=unseen)
+        return None
+
+    def find(self, text: str, at: int) -> int:
+        """Like ``str.find``; a text that is not there is looked for once."""
+        if at >= self.none.get(text, len(self.page) + 1):
+            return -1
+        found = self.page.find(text, at)
+        if found < 0:
+            self.none[text] = at
+        return found
+
+    def _stop(self, at: int) -> int | None:
+        if not self.span[0] <= at <= self.span[1]:
+            m = STOP.search(self.page, at)
+            self.span = (at, m.start() if m else len(self.page), m.start() if m else None)
+        return self.span[2]
+
+    def _end(self, at: int, no_tags: bool) -> int | None:
+        """Place of the ``>`` after attributes; quotes are read as wholes (with ``no_tags``, without any ``<`` in them)."""
+        met = []
+        while (stop := self._stop(at)) is not None:
+            quote = self.page[stop]
+            if quote == ">":
+                return stop
+            met.append((no_tags, stop))
+            close = -1 if met[-1] in self.dead else self.find(quote, stop + 1)
+            if close < 0 or no_tags and self.page.find("<", stop, close) >= 0:
+                break
+            at = close + 1
+        self.dead.update(met)
+        return None
+
+
+def _tags(page: str) -> Iterator[Mark]:
+    """Where the text breaks off and goes on again, and the tag there if it counts."""
+    marks, found = Marks(page), []
     unended: dict[str, list[int]] = {k: [] for k in NESTED}
     unseen: dict[int, int] = {}  # start tag to end tag
+    svg_end: tuple[int, re.Match | None] = (0, None)
     at = 0
-    while m := PARSE.search(page, at):
-        at = m.end()
-        name, attributes = m["tag"] or m["unseen"], m["attributes"] or m["more"] or ""
-        name = name and name.lower()
-        if m["raw"]:
-            kind = m["raw"].lower()
+    while m := marks.next(at):
+        at, name = m.end, m.tag
+        if m.raw:
             if not unended["svg"]:
-                end = END[kind].search(page, at)
-            elif m["rest"].endswith("/"):  # in an svg a tag can be its own end
-                end = m
-            else:
-                end = CLOSED[kind].match(page, at) or SVG_END.search(page, at) or END[kind].search(page, at)
-            at = end.end() if end else len(page)
-        elif name in PLAIN and m["unseen"]:
+                end = END[name].search(page, at)
+                at = end.end() if end else len(page)
+            elif not m.attributes.endswith("/"):  # in an svg a tag can be its own end
+                end = CLOSED[name].match(page, at)
+                if not end:
+                    if svg_end[1] is None and svg_end[0] <= at < len(page) or svg_end[1] and svg_end[1].start() < at:
+                        svg_end = (len(page) + 1, None) if not (x := SVG_END.search(page, at)) else (0, x)
+                    end = svg_end[1] or END[name].search(page, at)
+                at = end.end() if end else len(page)
+            name = m.tag
+        elif name in PLAIN and m.unseen:
             if end := CLOSED[name].match(page, at):
                 name, at = None, end.end()
         elif name in NESTED:
-            if m["end"]:
+            if m.ends:
                 if unended[name]:
                     unseen[unended[name].pop()] = len(found)
-            elif name == "svg" and attributes.endswith("/"):
+            elif name == "svg" and m.attributes.endswith("/"):
                 name = None
             else:
                 unended[name].append(len(found))
-        found.append((m.start(), at, name, bool(m["end"]), attributes))
+        # what a script holds is no tag
+        found.append(Mark(m.start, at, None if m.raw else name, m.ends, m.attributes))
     i = 0
     while i < len(found):
         if i in unseen:
-            yield found[i][0], found[unseen[i]][1], None, False, ""
+            yield Mark(found[i].start, found[unseen[i]].end)
             i = unseen[i]
         else:
             yield found[i]
         i += 1
 
 
-def blocks_of(page: str) -> list[tuple[tuple, str, int]]:
-    """The leaf blocks in order: their ancestors (tag, names), text, and how many characters stand in links."""
-    found: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, str]] = []
+class Node:
+    """An open element: its tag and names, and what they and all those around it add up to."""
+
+    __slots__ = ("tag", "words", "parent", "own", "tags", "section", "aside", "inside")
+
+    def __init__(self, tag: str = "", names: str = "", parent: Node | None = None) -> None:
+        self.tag, self.words, self.parent = tag, (), parent
+        if parent is None:
+            self.own, self.tags, self.section, self.aside, self.inside = frozenset([_number("bias")]), frozenset(), "", False, False
+            return
+        words = [w for w in re.split(r"[\s_-]+", names) if w] if names else []
+        self.words = tuple(words)
+        aside = tag in ASIDE_TAGS or bool(ASIDE_NAMES & set(words))
+        own = {_number(f) for f in [f"in:{tag}", *(f"name:{w}" for w in words), *["aside"] * aside]}
+        self.own = parent.own if own <= parent.own else parent.own | own  # shared where nothing is new
+        self.tags = parent.tags if tag in parent.tags else parent.tags | {tag}
+        self.section = tag if tag in SECTIONS else parent.section
+        self.aside = parent.aside or aside
+        self.inside = parent.inside or tag in ("article", "main") or "main" in words or "article" in words
+
+    def label(self) -> int:
+        """The label that the source itself gives: in the article, and in nothing aside within."""
+        return int(self.inside and not self.aside)
+
+    def within(self, name: str) -> bool:
+        """Whether the element or one around it has the name."""
+        node: Node | None = self
+        while node is not None and name not in node.words:
+            node = node.parent
+        return node is not None
+
+    def features(self) -> tuple[int, ...]:
+        last = [n.tag for n in (self.parent, self) if n is not None and n.parent is not None]
+        return _path_features(self.own, self.tags, self.section, ">".join(last), self.tag)
+
+
+@lru_cache(maxsize=20_000)
+def _path_features(own: frozenset, tags: frozenset, section: str, last: str, tag: str) -> tuple[int, ...]:
+    """Numbers of the features of a block's ancestors."""
+    return tuple(sorted(own | {_number(f) for f in [*(f"{section}/{t}" for t in tags), f"last:{last}", f"parent:{tag}"]}))
+
+
+def blocks_of(page: str) -> list[tuple[Node, str, int]]:
+    """The leaf blocks in order: the innermost open element, text, and how many characters stand in links."""
+    found: list[tuple[Node, str, int]] = []
+    here = Node()
+    opened: dict[str, list[Node]] = {}  # by tag, those that are open
     texts: list[str] = []
     linked = at = 0
     depth = 0  # of open links
@@ -137,79 +260,57 @@ def blocks_of(page: str) -> list[tuple[tuple, str, int]]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                found.append((tuple(stack), text, linked))
+                found.append((here, text, linked))
             texts.clear()
         linked = 0
 
-    for start, end, tag, ends, attributes in _tags(page):
-        if start > at:
-            texts.append(page[at:start])
-            linked += (start - at) * (depth > 0)
-        at = end
+    def close(node: Node) -> Node:
+        """Close an element and all in it."""
+        current = here
+        while current is not node.parent:
+            opened[current.tag].pop()
+            current = current.parent
+        return current
+
+    for mark in _tags(page):
+        if mark.start > at:
+            texts.append(page[at : mark.start])
+            linked += (mark.start - at) * (depth > 0)
+        at, tag = mark.end, mark.tag
         if tag is None:
             continue
         if tag in INLINE:
             if tag == "a":
-                depth = 0 if ends else 1
+                depth = 0 if mark.ends else 1
             elif tag == "br":
                 texts.append(" ")
             continue
         flush()
         depth = 0
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if mark.ends:
+            if opened.get(tag):
+                here = close(opened[tag][-1])
             continue
         if tag in ENDS_ITSELF:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in ENDS_ITSELF:
-                    break
-        if tag not in VOID and not attributes.endswith("/"):
-            names = " ".join("".join(g) for g in NAMES.findall(attributes)).lower() if attributes else ""
-            stack.append((tag, names))
+            node = here
+            while node.parent is not None and node.tag != tag and node.tag in ENDS_ITSELF:
+                node = node.parent
+            if node.parent is not None and node.tag == tag:
+                here = close(node)
+        if tag not in VOID and not mark.attributes.endswith("/"):
+            names = " ".join("".join(g) for g in NAMES.findall(mark.attributes)).lower() if mark.attributes else ""
+            here = Node(tag, names, here)
+            opened.setdefault(tag, []).append(here)
     if at < len(page):
         texts.append(page[at:])
     flush()
     return found
 
 
-def silver(stack: tuple) -> int:
-    """The label that the source itself gives: in the article, and in nothing aside within."""
-    inside = False
-    for tag, names in stack:
-        words = set(re.split(r"[\s_-]+", names)) if names else set()
-        if tag in ASIDE_TAGS or words & ASIDE_NAMES:
-            return 0
-        inside |= tag in ("article", "main") or "main" in words or "article" in words
-    return int(inside)
-
-
 def _number(feature: str) -> int:
     return zlib.crc32(feature.encode()) % FEATURES
 
 
-@lru_cache(maxsize=50_000)
-def path_features(stack: tuple) -> tuple[int, ...]:
-    """Numbers of the features of a block's ancestors."""
-    out = ["bias"]
-    for tag, names in stack:
-        out.append(f"in:{tag}")
-        words = re.split(r"[\s_-]+", names) if names else []
-        out += [f"name:{w}" for w in words if w]
-        out += ["aside"] * bool(tag in ASIDE_TAGS or ASIDE_NAMES & set(words))
-    tags = [t for t, _ in stack]
-    section = next((t for t in reversed(tags) if t in SECTIONS), "")
-    out += [f"{section}/{t}" for t in tags]
-    out.append("last:" + ">".join(tags[-2:]))
-    out.append(f"parent:{tags[-1] if tags else ''}")
-    return tuple(sorted({_number(f) for f in out}))
-
-
 @lru_cache(maxsize=50_000)
 def _text_numbers(key: tuple) -> tuple[int, ...]:
     return tuple(_number(f"{kind}:{value}") for kind, value in zip(("size", "links", "end", "capitals", "first"), key))
@@ -271,8 +372,8 @@ class Field:
         return out[::-1]
 
 
-def features_of(blocks: list[tuple[tuple, str, int]]) -> list[np.ndarray]:
-    return [np.array(path_features(s) + text_features(t, n)) for s, t, n in blocks]
+def features_of(blocks: list[tuple[Node, str, int]]) -> list[np.ndarray]:
+    return [np.array(node.features() + text_features(t, n)) for node, t, n in blocks]
 
 
 def fit(pages: list[str]) -> Field:
@@ -280,12 +381,10 @@ def fit(pages: list[str]) -> Field:
     data = []
     for page, name in PRIMER:
         blocks = blocks_of(page)
-        words = lambda s: {w for _, names in s for w in re.split(r"[\s_-]+", names)}
-        aside = lambda s: any(t in ASIDE_TAGS for t, _ in s) or words(s) & ASIDE_NAMES
-        data += [(features_of(blocks), [int(name in words(s) and not aside(s)) for s, _, _ in blocks])] * 12
+        data += [(features_of(blocks), [int(node.within(name) and not node.aside) for node, _, _ in blocks])] * 12
     for page in pages:
         blocks = blocks_of(page)
-        labels = [silver(s) for s, _, _ in blocks]
+        labels = [node.label() for node, _, _ in blocks]
         if any(labels):
             data.append((features_of(blocks), labels))
     field, random = Field(), np.random.default_rng(5)
@@ -302,19 +401,20 @@ def extract(page: str | None, field: Field) -> str:
         return ""
     weight = field.weight
     path = _path_score(field)
-    scores = [path(s) + sum(weight[i] for i in text_features(t, n)) for s, t, n in blocks]
+    scores = [path(node) + sum(weight[i] for i in text_features(t, n)) for node, t, n in blocks]
     return "\n".join(b[1] for b, y in zip(blocks, field.decode(scores)) if y)
 
 
 def _path_score(field: Field):
     known = field.__dict__.setdefault("_known", {})
 
-    def score(stack: tuple) -> float:
-        if stack not in known:
-            if len(known) > 50_000:
+    def score(node: Node) -> float:
+        numbers = node.features()
+        if numbers not in known:
+            if len(known) > 20_000:
                 known.clear()
-            known[stack] = float(sum(field.weight[i] for i in path_features(stack)))
-        return known[stack]
+            known[numbers] = float(sum(field.weight[i] for i in numbers))
+        return known[numbers]
 
     return score
 
