@@ -17,31 +17,53 @@ from millrace.session import settle
 from millrace.sources.tables import table
 
 
+def inner_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under names that clash with nothing a stage adds, and those names."""
+    inner = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(inner), inner
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels of ``docs`` that are not held out."""
+    """Documents that the classifier rejects go; it learns from the labels of ``docs`` that are not held out.
+
+    A null or empty text is scored as a text without words. Rows without id, or
+    with one that repeats, are each judged by their own text.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.train(docs.select("doc_id", "text").join(labels, "doc_id").filter(~quality.held_out()))
-    return quality.score(docs, model).filter(F.col("score") >= 0.5).select(*docs.columns)
+    rows, inner = inner_names(docs)
+    kept = quality.score(rows, model, text=inner["text"]).filter(F.col("score") >= 0.5)
+    return kept.select(*[F.col(inner[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least id."""
+    """One document of each group of near copies stays, that of the least id.
+
+    Documents without words or without id stay. Rows that share an id stay or go together.
+    """
     return neardup.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a text that loses nothing stays as it is."""
-    kept = substring.remove_repeats(docs, keep_layout=True)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Repeated passages go; a text that loses nothing stays as it is, a null text becomes an empty one.
+
+    Every document stays, if without words. Of equal passages that of the least
+    id stays; rows without id count as later than all others, and rows of one
+    id never take words off each other.
+    """
+    rows, inner = inner_names(docs)
+    kept = substring.remove_repeats(rows, inner["text"], inner["doc_id"], keep_layout=True)
+    made = {"n_chars": F.length(inner["text"]).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return kept.select(*[made.get(c, F.col(inner[c])).alias(c) for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of a benchmark item go."""
+    """Documents that hold too much of a benchmark item go. Null and empty texts, and repeated rows, are judged row by row."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences, with their token ids."""
+    """The pieces of all documents in sequences, with their token ids. A null or empty text is its end id alone."""
     return packing.pack(docs, vocabulary(PACK_VOCABULARY), PACK_END)
 
 
