@@ -165,6 +165,14 @@ def test_near_duplicates(docs, empty):
     assert sorted(x.doc_id or 0 for x in neardup.keep_one(docs).collect()) == [0, 0, 1, 4, 5, 6, 7, 8, 9, 10, 11, 13]
 
 
+def test_an_id_with_two_texts_has_the_links_of_both(spark):
+    a, b = lines(100), lines(100, 5000)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, lines(50, 9000)), (4, a.replace("w50 ", "")), (5, None), (5, "")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = [(x.doc_id, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()]
+        assert sorted(got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (5, 5), (5, 5)]
+
+
 def test_near_duplicates_of_a_chain(spark):
     """Copies that drift: only neighbours are linked, all are one group."""
     rows = [(i, lines(200, 6 * i)) for i in range(60)] + [(100 + i, lines(40, 9000 + 35 * i)) for i in range(30)]
@@ -380,6 +388,24 @@ def test_main_text_after_elements_without_an_end(spark, folder):
     assert [t for _, t, _ in html_crf.blocks_of("<p>A <svg><path/></svg>picture<iframe src=http://a/>Unseen</iframe> in it")] == ["A picture in it"]
 
 
+@pytest.mark.parametrize("piece, end, blocks", [("<a ", "", 1), ('<a "', "", 1), ('<a "', ">", 1), ("<div>a", "", 60_000), ("<div>a</p>", "", 60_000), ("<svg><script>", "", 0), ("<iframe>a", "", 60_000), ("<a ", '" >', 1), ("<!-", "", 1)])
+def test_broken_pages_are_read_once(piece, end, blocks):
+    page = piece * (60_001 if piece.endswith('"') else 60_000) + end
+    start = time.process_time()
+    found = html_crf.blocks_of(page)
+    assert len(found) == blocks and time.process_time() - start < 5
+
+
+def test_main_text_of_odd_tables(spark, folder):
+    field = html_crf.train(table(spark, folder, "pages"))
+    page = html_crf.PRIMER[3][0]
+    rows = [(1, "u", page, "x"), (1, "u", page, "y"), (None, None, "<p>" * 3000, None)]
+    got = html_crf.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), field).collect()
+    assert len({r.text for r in got if r.page_id}) == 1 and len(got) == 3 and got[0].text.startswith("A story") and not any(r.text for r in got if not r.page_id)
+    nothing = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_crf.main_text(nothing, field).count() == 0 and html_crf.main_text(nothing, html_crf.train(nothing)).count() == 0
+
+
 def test_viterbi_finds_the_best_chain():
     field, random = html_crf.Field(), np.random.default_rng(2)
     for _ in range(20):
