@@ -26,6 +26,7 @@ from millrace.session import new_path, settle
 
 MAX_CELLS = 16_000_000  # numbers in the question matrix a task holds (128 MB)
 SCORES_AT_ONCE = 4_000_000
+FOLD_AT = 100_000  # candidates that may wait, at least
 
 
 def mean_vector(df: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -118,10 +119,13 @@ def _block_top(stored: DataFrame, block: pa.Table, k: int, schema: T.StructType)
         best = None
         for batch in batches:
             if batch.num_rows and len(matrix):
-                best = _merge(best, batch.column(0), _as_matrix(batch.column(1), matrix.shape[1]), matrix, k)
+                if best is None:
+                    best = _Best(matrix, k, batch.column(0).slice(0, 0).to_numpy(zero_copy_only=False))
+                best.add(batch.column(0), _as_matrix(batch.column(1), matrix.shape[1]))
         if best is not None:
-            asked, scores, ids = best
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(asked)).cast(arrow.types[0]), pa.array(ids, arrow.types[1]), pa.array(scores)], schema=arrow)
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(best.asked)).cast(arrow.types[0]), pa.array(best.found, arrow.types[1]), pa.array(best.scores)], schema=arrow
+            )
 
     return stored.mapInArrow(run, schema)
 
@@ -136,41 +140,60 @@ def _as_matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
-def _merge(best: tuple | None, ids: pa.Array, rows: np.ndarray, matrix: np.ndarray, k: int) -> tuple:
-    """Fold a batch into the running hits: arrays of question number, score and id, the best first per question.
+class _Best:
+    """Running hits of a block of questions: arrays of question number, score and id, the best first per question.
 
-    One matrix product finds candidates, with a margin above its rounding
-    error; their scores are then summed row by row in a fixed order, so equal
-    vectors get equal scores and ties are decided by id.
+    Candidates are gathered and folded in when there are as many as hits, so
+    sorting costs a small share of scoring however many questions a block has.
     """
-    names = np.array(ids.to_pylist(), dtype=object) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
-    n, dim = matrix.shape
-    asked, scores, found = best or (np.empty(0, np.int64), np.empty(0), names[:0])
-    lengths = np.sqrt((matrix * matrix).sum(axis=1))
-    step, pairs = max(1, SCORES_AT_ONCE // n), max(1, SCORES_AT_ONCE // max(1, dim))
-    for at in range(0, len(rows), step):
-        block, block_ids = rows[at : at + step], names[at : at + step]
-        with np.errstate(all="ignore"):
-            rough = matrix @ block.T
-            rough[~np.isfinite(rough)] = -np.inf
-            cut = np.partition(rough, -min(k, len(block)), axis=1)[:, -min(k, len(block))]
-            full = np.bincount(asked, minlength=n) >= k  # the last hit of a full question bounds what can still enter
-            last = np.full(n, np.inf)
-            np.minimum.at(last, asked, scores)
-            cut = np.maximum(cut, np.where(full, last, -np.inf))
-            margin = 8 * (dim + 1) * np.finfo(float).eps * lengths * np.sqrt((block * block).sum(axis=1).max())
-            least = np.where(np.isfinite(margin), cut - margin, -np.inf)
-            q, r = np.nonzero(rough >= least[:, None])
-            for i in range(0, len(q), pairs):
-                qs, rs = q[i : i + pairs], r[i : i + pairs]
-                exact = (block[rs] * matrix[qs]).sum(axis=1)
-                good = np.isfinite(exact)
-                asked = np.concatenate([asked, qs[good]])
-                scores = np.concatenate([scores, exact[good]])
-                found = np.concatenate([found, block_ids[rs[good]]])
-                order = np.lexsort((found, -scores, asked))
-                asked, scores, found = asked[order], scores[order], found[order]
-                first = np.searchsorted(asked, asked)
-                keep = np.arange(len(asked)) - first < k
-                asked, scores, found = asked[keep], scores[keep], found[keep]
-    return asked, scores, found
+
+    def __init__(self, matrix: np.ndarray, k: int, names: np.ndarray) -> None:
+        self.matrix, self.k, self.lengths = matrix, k, np.sqrt((matrix * matrix).sum(axis=1))
+        self.asked, self.scores, self.found = np.empty(0, np.int64), np.empty(0), names[:0]
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
+        self.last = np.full(len(matrix), -np.inf)  # the last hit of a full question bounds what can still enter
+
+    def fold(self) -> None:
+        """Sort what waits into the hits."""
+        asked, scores, found = (np.concatenate(x) for x in zip((self.asked, self.scores, self.found), *self.waiting))
+        self.waiting, self.n_waiting = [], 0
+        order = np.lexsort((found, -scores, asked))
+        ordered = asked[order]
+        order = order[np.arange(len(ordered)) - np.searchsorted(ordered, ordered) < self.k]
+        self.asked, self.scores, self.found = asked[order], scores[order], found[order]
+        full = np.bincount(self.asked, minlength=len(self.matrix)) >= self.k
+        least = np.full(len(self.matrix), np.inf)
+        np.minimum.at(least, self.asked, self.scores)
+        self.last = np.where(full, least, -np.inf)
+
+    def add(self, ids: pa.Array, rows: np.ndarray) -> None:
+        """Fold a batch of vectors into the hits.
+
+        One matrix product finds candidates, with a margin above its rounding
+        error; their scores are then summed row by row in a fixed order, so equal
+        vectors get equal scores and ties are decided by id.
+        """
+        names = np.array(ids.to_pylist(), dtype=object) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+        n, dim = self.matrix.shape
+        step, pairs = max(1, SCORES_AT_ONCE // n), max(1, SCORES_AT_ONCE // max(1, dim))
+        for at in range(0, len(rows), step):
+            block, block_ids = rows[at : at + step], names[at : at + step]
+            with np.errstate(all="ignore"):
+                rough = self.matrix @ block.T
+                rough[~np.isfinite(rough)] = -np.inf
+                cut = np.partition(rough, -min(self.k, len(block)), axis=1)[:, -min(self.k, len(block))]
+                cut = np.maximum(cut, self.last)
+                margin = 8 * (dim + 1) * np.finfo(float).eps * self.lengths * np.sqrt((block * block).sum(axis=1).max())
+                least = np.where(np.isfinite(margin), cut - margin, -np.inf)
+                q, r = np.nonzero(rough >= least[:, None])
+                for i in range(0, len(q), pairs):
+                    qs, rs = q[i : i + pairs], r[i : i + pairs]
+                    exact = (block[rs] * self.matrix[qs]).sum(axis=1)
+                    good = np.isfinite(exact)
+                    self.waiting.append((qs[good], exact[good], block_ids[rs[good]]))
+                    self.n_waiting += int(good.sum())
+                    if self.n_waiting >= max(len(self.asked), FOLD_AT):
+                        self.fold()
+        if self.waiting:
+            self.fold()

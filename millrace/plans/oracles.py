@@ -638,6 +638,10 @@ select vec_id, round(list_dot_product(cast(embedding as double[]), v), 6) as sco
 from embeddings left join documents on vec_id = doc_id, q
 order by list_dot_product(cast(embedding as double[]), v) desc, vec_id limit 3""",
         "knn_batch": f"with {_hits(5)} select question_id, vec_id, round(score, 6) as score, rank from hits",
+        "knn_by_id": """select question_id, vec_id, round(score, 6) as score, rank from (
+ select *, cast(row_number() over (partition by question_id order by score desc, vec_id) as int) as rank
+ from (select q.vec_id as question_id, e.vec_id, list_dot_product(cast(e.embedding as double[]), cast(q.embedding as double[])) as score
+  from embeddings e join embeddings q on q.vec_id % 20 = 0 and e.vec_id <> q.vec_id)) where rank <= 3""",
         "rag_context": f"{CONTEXTS} select * from contexts",
         "rag_prompt": _prompt(),
         "chat_history": """select conv_id, turn, role, text,

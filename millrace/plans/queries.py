@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import SparkRuntimeException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,7 @@ RESPONSE = "verified"
 KEY = "ClaimNumber"
 NOISE_LEVEL = 0.01
 PROJECT_KEY = ["l_orderkey", "l_linenumber"]
+QUESTION_CELLS = 1_000_000  # numbers in a block of questions
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -753,6 +754,16 @@ def knn_batch(spark, folder):
     return rounded(_hits(spark, folder, _topic_questions(spark, folder), 5))
 
 
+@query
+def knn_by_id(spark, folder):
+    """The three best other vectors of every twentieth vector, several blocks of questions."""
+    stored = tables.table(spark, folder, "embeddings")
+    questions = stored.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
+    hits = knn.top_k(stored, questions, 4, max_cells=QUESTION_CELLS).filter("question_id <> vec_id")
+    order = Window.partitionBy("question_id").orderBy("rank")
+    return rounded(hits.withColumn("rank", F.row_number().over(order)).filter("rank <= 3"))
+
+
 def _contexts(spark, folder, questions: DataFrame) -> DataFrame:
     hits = settle(_hits(spark, folder, questions), "hits")
     documents = tables.table(spark, folder, "documents")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +29,36 @@ def build(app: str = "millrace", master: str | None = None, **conf: str) -> Spar
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship(spark)
+    return spark
+
+
+def package_zip() -> bytes:
+    """This package as a zip file that Python imports from."""
+    root = Path(__file__).resolve().parent
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, str(path.relative_to(root.parent)))
+    return out.getvalue()
+
+
+def ship(spark: SparkSession) -> str:
+    """Send the package to the executors, by way of the shared folder; for sessions not made by ``build``, where it is not installed."""
+    data = package_zip()
+    path = f"{shared_dir(spark)}/millrace/package-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(part)
+        out.write(bytearray(data))
+        out.close()
+        fs.rename(part, where)
+    spark.sparkContext.addPyFile(path)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:

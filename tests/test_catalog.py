@@ -1,3 +1,5 @@
+import io
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -19,6 +21,15 @@ def test_shared_dir_is_the_named_one(spark):
     assert session.settle(spark.range(5), "x").count() == 5
 
 
+def test_the_package_is_shipped_as_a_zip(spark):
+    path = session.ship(spark)
+    assert session.ship(spark) == path  # the same content is stored once
+    names = zipfile.ZipFile(io.BytesIO(session.package_zip())).namelist()
+    assert {"millrace/__init__.py", "millrace/operators/glm.py"} <= set(names) and all(n.endswith(".py") for n in names)
+    with zipfile.ZipFile(path.removeprefix("file:")) as archive:
+        assert archive.namelist() == names
+
+
 def test_invalid_names_are_reported(spark, tmp_path):
     for name in ("good", "toolongname", "9bad"):
         spark.range(3).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -37,11 +37,12 @@ def test_top_k_is_exact(case, max_cells, at_once, monkeypatch):
     vectors, questions, stored, asked = case
     matrix, rows = (np.array([v for _, v in x], dtype=float) for x in (questions, vectors))
     monkeypatch.setattr(knn, "SCORES_AT_ONCE", at_once)
-    best = None
+    monkeypatch.setattr(knn, "FOLD_AT", min(at_once, 100))
+    best = knn._Best(matrix, 5, np.empty(0, np.int64))
     for at in range(0, len(rows), 150):
-        best = knn._merge(best, pa.array([i for i, _ in vectors[at : at + 150]]), rows[at : at + 150], matrix, 5)
+        best.add(pa.array([i for i, _ in vectors[at : at + 150]]), rows[at : at + 150])
     place = np.arange(35) % 5 + 1
-    assert {(q, i, p, round(s, 9)) for q, s, i, p in zip(*best, place)} == brute(vectors, questions, 5)
+    assert {(q, i, p, round(s, 9)) for q, s, i, p in zip(best.asked, best.scores, best.found, place)} == brute(vectors, questions, 5)
     assert collected(knn.top_k(stored, asked, 5, max_cells=max_cells)) == brute(vectors, questions, 5)
 
 
