@@ -79,5 +79,20 @@ select a anchor_id, p positive_id, cast(r as integer) rank, b negative_id, ps po
 """
 
 
+#: Tests that compare what SQL cannot express with brute force, an exact round trip or held-out labels.
+CERTIFICATES = {
+    "op2_fingerprints": "tests/llm/test_stages.py::test_fingerprints_of_documents",
+    "op3_quality": "tests/llm/test_stages.py::test_the_identity_is_the_sum_over_pairs",
+    "op6_chat": "tests/llm/test_operators.py::test_chat",
+    "op7_warc": "tests/llm/test_operators.py::test_warc",
+    "op8_packing": "tests/llm/test_operators.py::test_packing",
+    "op9_orc_ids": "tests/llm/test_operators.py::test_orc_ids",
+    "op10_main_text": "tests/llm/test_operators.py::test_main_text",
+    "op12_licenses": "tests/llm/test_new_operators.py::test_licenses",
+    "op13_cross_tokens": "tests/llm/test_new_operators.py::test_cross_tokens_of_documents",
+    "pipeline": "tests/llm/test_stages.py::test_substring_stage_takes_repeated_words",
+}
+
+
 def all_sql() -> dict[str, str]:
     return {"op1_decontaminate": OP1, "op4_near_duplicates": OP4, "op5_repeated_passages": OP5, "op11_hard_negatives": OP11}
