@@ -1,7 +1,12 @@
-"""Extractive summary: the best lines of each document by mean TF-IDF."""
+"""Extractive summaries: the best lines of each document by mean TF-IDF, or its sentences until enough is said."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +105,74 @@ def extractive_summary(
     return documents.join(chosen, doc_id, "left").select(
         doc_id, count.alias("n_lines"), F.concat_ws("\n", bullets).alias("summary")
     )
+
+
+# -- without a number of points ------------------------------------------------------------
+
+#: A sentence ends with a mark in front of white space, or with its line.
+SENTENCE_END = re.compile(r"[.!?](?=\s)|\n")
+TOKEN = re.compile(r"[^\W_]+")
+MAX_WORDS = 180
+ADDED = "n_sentences int, n_words int, summary string"
+
+
+def sentences_of(text: str) -> list[str]:
+    cuts = [0, *(m.end() for m in SENTENCE_END.finditer(text)), len(text)]
+    found = (text[a:b].strip() for a, b in zip(cuts, cuts[1:]))
+    return [x for x in found if TOKEN.search(x)]
+
+
+def chosen_sentences(words: list[list[str]], max_words: int) -> list[int]:
+    """Which sentences to keep, by number: those of frequent words first, none that says again what has been said.
+
+    A word weighs its share of the text. The sentence of greatest mean weight
+    is taken (ties go to the earlier one), and the weights of its words are
+    squared, so that the next one tells something else. A sentence that would
+    exceed ``max_words`` is passed over; the first one always fits.
+    """
+    total = sum(map(len, words))
+    weight = {w: n / total for w, n in Counter(w for s in words for w in s).items()}
+    holds: dict[str, list[int]] = {}
+    for i, s in enumerate(words):
+        for w in set(s):
+            holds.setdefault(w, []).append(i)
+    count = [Counter(s) for s in words]
+    mean = [sum(n * weight[w] for w, n in sorted(c.items())) / len(s) for c, s in zip(count, words)]
+    left, room, out = set(range(len(words))), max_words, []
+    while left:
+        best = min(left, key=lambda i: (-round(mean[i], 12), i))
+        out.append(best)
+        room -= len(words[best])
+        left = {i for i in left if i != best and len(words[i]) <= room}  # so there are no more turns than words
+        touched = {i for w in count[best] for i in holds[w] if i in left}
+        for w in count[best]:
+            weight[w] *= weight[w]
+        for i in touched:
+            mean[i] = sum(n * weight[w] for w, n in sorted(count[i].items())) / len(words[i])
+    return sorted(out)
+
+
+def _free(max_words: int):
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                found = sentences_of(text or "")
+                words = [TOKEN.findall(x.lower()) for x in found]
+                kept = chosen_sentences(words, max_words) if found else []
+                rows.append((len(kept), sum(len(words[i]) for i in kept), " ".join(found[i] for i in kept)))
+            made = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, (pa.int32(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[batch.schema.names[0], "n_sentences", "n_words", "summary"])
+
+    return free
+
+
+def free_summary(documents: DataFrame, max_words: int = MAX_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document the sentences that sum it up, in text order, in at most ``max_words`` words (unless the first is longer).
+
+    Every document is summed up where it lies; nothing shuffles. A null text,
+    or one without words, has no sentences and an empty summary.
+    """
+    rows = documents.select(doc_id, text)
+    kind = rows.schema[doc_id].dataType.simpleString()
+    return rows.mapInArrow(_free(max_words), f"`{doc_id}` {kind}, {ADDED}")

@@ -503,6 +503,7 @@ CERTIFICATES = {
     "glm_backward": "glm_published_totals, glm_anova",
     "glm_forward": "tests/test_glm.py",
     "automl_leaderboard": "automl_manage, tests/test_text_jobs.py",
+    "free_summary": "tests/test_text_jobs.py::test_free_summary_of_documents",
 }
 
 

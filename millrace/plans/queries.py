@@ -18,7 +18,7 @@ from millrace.operators import context, conversation, encode, glm, knn, large_fi
 from millrace.operators.percentile import exact_percentile
 from millrace.operators.registry import Registry
 from millrace.plans import abt
-from millrace.session import new_path, settle
+from millrace.session import durable_path, new_path, settle
 from millrace.sources import fixtures, tables
 from millrace.sources.batches import BatchTable
 from millrace.streaming import scoring
@@ -469,8 +469,9 @@ def topk_by_task(spark, folder):
 @query
 def abt_train(spark, folder):
     train, _ = abt.build_abt(fixtures.train_claims(spark, folder))
-    stored = tables.create_table_as(train, "claims_losses")
-    return rounded(stored)
+    path = durable_path(spark, "claims_losses")
+    stored = tables.create_table_as(train, "claims_losses", path)
+    return rounded(tables.promote_folder(spark, "claims_losses", path, stored.schema))
 
 
 @query
@@ -720,6 +721,12 @@ def extractive_summary(spark, folder):
     return summary.extractive_summary(tables.table(spark, folder, "documents"))
 
 
+@query
+def free_summary(spark, folder):
+    """Every document summed up in its own sentences, without a given number of points."""
+    return summary.free_summary(tables.table(spark, folder, "documents"))
+
+
 # -- vectors, context, conversations ------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.commit_log import CommitLog
 from millrace.session import durable_path
 
 TABLES = (
@@ -150,10 +152,34 @@ def create_table_as(df: DataFrame, name: str, path: str | None = None) -> DataFr
     return spark.catalog.createTable(name, path=path, source="parquet", schema=df.schema)
 
 
+def _promotions(spark: SparkSession) -> CommitLog:
+    return CommitLog(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/promoted")
+
+
+def promote_folder(spark: SparkSession, name: str, path: str, schema: T.StructType) -> DataFrame:
+    """Make a stored parquet folder visible under a name to every session and every later application on the warehouse."""
+    _promotions(spark).append(lambda _: {"name": name, "path": path, "schema": schema.json()})
+    return promoted(spark, name)
+
+
 def promote(df: DataFrame, name: str) -> DataFrame:
-    """Store a table in the warehouse and make it visible to every session of the application."""
-    spark = df.sparkSession
-    path = durable_path(spark, name)
+    """Store a table in the warehouse and promote it; of several promotions under a name the last one holds."""
+    path = durable_path(df.sparkSession, name)
     df.write.parquet(path)
-    spark.read.schema(df.schema).parquet(path).createOrReplaceGlobalTempView(name)
+    return promote_folder(df.sparkSession, name, path, df.schema)
+
+
+def promoted(spark: SparkSession, name: str) -> DataFrame:
+    """The table that was promoted last under a name, by whichever application; it is a global view here from now on."""
+    entries = [e for e in _promotions(spark).entries() if e["name"] == name]
+    if not entries or entries[-1]["path"] is None:
+        raise ValueError(f"nothing was promoted as {name}")
+    schema = T.StructType.fromJson(json.loads(entries[-1]["schema"]))
+    spark.read.schema(schema).parquet(entries[-1]["path"]).createOrReplaceGlobalTempView(name)
     return spark.table(f"global_temp.{name}")
+
+
+def drop_promotion(spark: SparkSession, name: str) -> None:
+    """Forget what was promoted under a name; stored rows stay."""
+    _promotions(spark).append(lambda entries: {"name": name, "path": None} if any(e["name"] == name for e in entries) else None)
+    spark.catalog.dropGlobalTempView(name)

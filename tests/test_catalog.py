@@ -1,6 +1,10 @@
 import io
+import os
+import subprocess
+import sys
 import zipfile
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.errors import SparkRuntimeException
@@ -50,6 +54,26 @@ def test_promoted_table_is_seen_by_other_sessions(spark):
     assert spark.newSession().table("global_temp.shared_numbers").count() == 4
 
 
+def test_a_promotion_outlives_the_application(spark):
+    tables.promote(spark.range(4), "lasting")
+    tables.promote(spark.range(6).withColumnRenamed("id", "n"), "lasting")
+    code = """
+import sys
+from millrace.session import build
+from millrace.sources import tables
+spark = build("later", "local[1]", **{"spark.sql.warehouse.dir": sys.argv[1], "spark.ui.enabled": "false"})
+print(tables.promoted(spark, "lasting").columns, spark.table("global_temp.lasting").count())
+"""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    env = {**os.environ, "PYTHONPATH": str(Path(session.__file__).parents[1])}
+    later = subprocess.run([sys.executable, "-c", code, warehouse], env=env, capture_output=True, text=True, timeout=120)
+    assert later.stdout.strip() == "['n'] 6", later.stderr[-2000:]
+    tables.drop_promotion(spark, "lasting")
+    for name in ("lasting", "never"):
+        with pytest.raises(ValueError):
+            tables.promoted(spark, name)
+
+
 def test_create_table_replaces(spark):
     tables.create_table_as(spark.range(4), "t_replace")
     tables.create_table_as(spark.table("t_replace").filter("id > 1"), "t_replace")

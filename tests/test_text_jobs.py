@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from millrace.operators import conversation, models, summary
+from millrace.plans import queries
 
 LOG = [
     (1, 0, "system", "be kind"),
@@ -86,6 +87,48 @@ def test_summary_matches_brute_force(spark, monkeypatch, share, most):
     assert got == brute_summary(DOCS, 2)
 
 
+def brute_free_summary(text, max_words):
+    """Weights and means worked out anew for every choice."""
+    found = [x.strip() for line in (text or "").split("\n") for x in re.split(r"(?<=[.!?])(?=\s)", line)]
+    found = [x for x in found if re.search(r"[^\W_]", x)]
+    words = [re.findall(r"[^\W_]+", x.lower()) for x in found]
+    total = sum(map(len, words))
+    times = Counter(w for s in words for w in s)
+    said, kept, passed = Counter(), [], set()
+    while len(kept) + len(passed) < len(found):
+        weight = {w: (n / total) ** (2 ** said[w]) for w, n in times.items()}
+        mean = {i: sum(weight[w] for w in s) / len(s) for i, s in enumerate(words) if i not in kept and i not in passed}
+        best = min(mean, key=lambda i: (-round(mean[i], 12), i))
+        if kept and sum(len(words[i]) for i in kept) + len(words[best]) > max_words:
+            passed.add(best)
+            continue
+        kept.append(best)
+        said.update(set(words[best]))
+        if sum(len(words[i]) for i in kept) >= max_words:
+            break
+    return len(kept), sum(len(words[i]) for i in kept), " ".join(found[i] for i in sorted(kept))
+
+
+FREE = [*DOCS, (8, "Tea is good. Tea is good. Coffee is bad! Is it? No.\nTea, tea and tea"), (9, "one two three " * 90 + "end. Short one."), (None, "A b. C d."), (8, "again")]
+
+
+@pytest.mark.parametrize("max_words", [1, 6, 180])
+def test_free_summary_matches_brute_force(spark, max_words):
+    df = spark.createDataFrame([(*r, 1) for r in FREE], "doc_id long, text string, summary int").repartition(3)
+    got = [(r.doc_id, r.n_sentences, r.n_words, r.summary) for r in summary.free_summary(df, max_words).collect()]
+    assert sorted(map(str, got)) == sorted(str((d, *brute_free_summary(t, max_words))) for d, t in FREE)
+    assert summary.free_summary(df.limit(0)).count() == 0
+
+
+def test_free_summary_of_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    short = [r for r in queries.free_summary(spark, folder).collect() if len(text[r.doc_id] or "") < 4000]
+    assert len(short) > 100
+    for r in short:
+        assert (r.n_sentences, r.n_words, r.summary) == brute_free_summary(text[r.doc_id], summary.MAX_WORDS)
+
+
 def test_templates_and_project(spark):
     assert {"id", "name", "description"} == set(models.templates(spark).columns)
     rows = [(i, "ab"[i % 2], float(i % 2) * 10 + (i % 7) * 0.01) for i in range(400)]
