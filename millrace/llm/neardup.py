@@ -18,8 +18,10 @@ all of them, by an exact prefix filter, so no link between documents that
 share a bucket is lost, and no bucket is turned into all its pairs.
 
 Documents without words (null or empty texts) are linked with nothing. A null
-id is never linked; it has no component and is kept. Rows that share an id
-are one document.
+id is never linked; it has no component and is kept. Rows that share an id are
+one document with all their texts' links, in whatever order they come. An empty
+table gives no rows; other columns are not read, whatever their names. A very
+long text is a slice of its own, and its set is one value.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import fields_of, table_of
+from millrace.llm.arrow import fields_of, lean, table_of
 from millrace.llm.components import components
 from millrace.llm.tables import settle_with
 from millrace.llm.words import GOLDEN, MASK, NOT_SPACE, mix, words_of
@@ -42,7 +44,8 @@ BANDS = PLACES // ROWS
 FIRST_BANDS = 4  # the first hubs come from these alone; the other bands meet what is still apart
 HUB_ROUNDS = 2
 CELLS, BLOCK = 1 << 20, 1 << 12  # of the counts that order shingles: 8 MB, whatever the input
-MARKS = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+MARKS = "doc_id long, t long, n_shingles long, d1 long, d2 long, bands array<long>"
+HOT_SHARE = 1_000  # a set in more than one document of so many is sent to all tasks; there are fewer such sets than this
 SETS = "node long, members binary"
 
 
@@ -105,7 +108,7 @@ def _marks(width: int):
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in words_of(batch.column(1), NOT_SPACE, True):
+            for words in words_of(batch.column(2), NOT_SPACE, True):
                 text, hashes = shingles(words, width)
                 n = np.bincount(text, minlength=words.n_texts)
                 sums = [np.zeros(words.n_texts + 1, np.uint64) for _ in range(2)]
@@ -118,7 +121,7 @@ def _marks(width: int):
                 offsets = pa.array(np.arange(words.n_texts + 1, dtype=np.int32) * keys.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(words.first, words.n_texts),
+                        *(batch.column(i).slice(words.first, words.n_texts) for i in (0, 1)),
                         pa.array(n),
                         *map(pa.array, digests),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
@@ -169,7 +172,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_linked(least), "a long, b long")
+    return both.mapInArrow(lean(_linked(least)), "a long, b long")
 
 
 def _hub_pairs(state: DataFrame) -> DataFrame:
@@ -239,12 +242,12 @@ def _rest_pairs(state: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     pieces = pieces.filter("low <> high").select("bucket")
     rest = state.join(pieces, "bucket").select("node", "n", "component").distinct()
     rest = settle(sets.join(rest, "node").select("node", "members", "n", "component"), "rest")
-    blocks = rest.mapInArrow(_cell_counts, "block long, counts binary")
+    blocks = rest.mapInArrow(lean(_cell_counts), "block long, counts binary")
     counts = np.zeros(CELLS, np.int64)
     for block, part in blocks.groupBy("block").applyInArrow(_add_blocks, "block long, counts binary").collect():
         counts[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part, np.int64)
     sent = rest.sparkSession.sparkContext.broadcast(counts)
-    first = rest.mapInArrow(_prefixes(sent, least), "shingle long, node long, n long, component long, left long")
+    first = rest.mapInArrow(lean(_prefixes(sent, least)), "shingle long, node long, n long, component long, left long")
     other = first.toDF("shingle", "other", "m", "part", "remain")
     enough = (100 + least) * F.least("left", "remain") >= least * (F.col("n") + F.col("m"))
     alike = 100 * F.least("n", "m") >= least * F.greatest("n", "m")
@@ -253,16 +256,22 @@ def _rest_pairs(state: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def near_links(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (one for each set: n_shingles, d1, d2, node) and, where near ones exist, their components."""
+    """Nodes (one for each set, named by a row that has it) and, where near ones exist, their components."""
     some = marks.filter("n_shingles > 0 and doc_id is not null")
-    nodes = some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"))
+    nodes = settle(
+        some.groupBy("n_shingles", "d1", "d2").agg(
+            F.min(F.struct("uid", "doc_id", "t")).alias("first"), F.min("doc_id").alias("least_id"),
+            F.count("*").alias("copies"), F.any_value("bands").alias("bands"),
+        ).withColumn("node", F.col("first.uid")),
+        "nodes",
+    )
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     buckets = settle(spread.join(shared, "bucket").select("bucket", "band", "node", "n"), "buckets")
-    wanted = buckets.select(F.col("node").alias("wanted")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-    texts = texts.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
-    sets = settle(texts.mapInArrow(_sets(width), SETS).dropDuplicates(["node"]), "sets")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.t")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
+    texts = texts.join(wanted, ["doc_id", "t"]).select("node", "text")
+    sets = settle(texts.mapInArrow(lean(_sets(width)), SETS).dropDuplicates(["node"]), "sets")
     spark = docs.sparkSession
     found = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")
@@ -279,20 +288,39 @@ def near_links(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width:
         links, count = settle_with(confirm(pairs, sets, least), "confirmed", n=F.count(F.lit(1)))
         if count["n"]:
             found = components(found.toDF("a", "b").unionAll(links), "a", "b")
-    return nodes.select("n_shingles", "d1", "d2", "node"), found
+    same, count = settle_with(_same_id(some, nodes), "same-id", n=F.count(F.lit(1)))
+    if count["n"]:
+        found = components(found.toDF("a", "b").unionAll(same), "a", "b")
+    return nodes, found
+
+
+def _same_id(some: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the sets of documents that share an id."""
+    own = F.struct("n_shingles", "d1", "d2")
+    several = some.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low <> high").select("doc_id", "low")
+    keys = ["n_shingles", "d1", "d2"]
+    rows = some.join(several, "doc_id").select("low", *keys).distinct()
+    named = nodes.select(*keys, "node")
+    rows = rows.join(named, keys).select("low.*", F.col("node").alias("a"))
+    return rows.join(named, keys).select("a", F.col("node").alias("b")).filter("a <> b")
 
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, least: int = 80
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id it reaches) and kept."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = settle(plain.mapInArrow(_marks(width), MARKS), "marks")
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    marked = plain.mapInArrow(lean(_marks(width)), MARKS).withColumn("uid", F.monotonically_increasing_id())
+    marks, count = settle_with(marked, "marks", n=F.count(F.lit(1)))
     nodes, found = near_links(docs, marks, text, doc_id, width, least)
-    named = nodes.join(found, "node", "left").select(
-        "n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component")
-    )
-    out = marks.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
+    both = found.unionAll(found.select(F.col("component").alias("node"), "component")).distinct()
+    names = both.join(nodes.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("name"))
+    named = nodes.join(both.join(names, "component").select("node", "name"), "node", "left")
+    keys = ["n_shingles", "d1", "d2"]
+    named = named.select(*keys, F.coalesce("name", "least_id").alias("component"), (F.col("copies") * HOT_SHARE > F.lit(count["n"])).alias("hot"))
+    hot = F.broadcast(named.filter("hot").drop("hot"))  # fewer than HOT_SHARE rows
+    rows = marks.select("doc_id", *keys)
+    out = rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(named.filter("not hot").drop("hot"), keys, "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
