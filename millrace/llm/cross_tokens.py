@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import fields_of, table_of, text_slices
+from millrace.llm.arrow import fields_of, lean, table_of, text_slices
 from millrace.llm.tokens import BLANK, BLOCK_BYTES, Encoder, Memory, decimal_table, numbers_of, piece_starts, pieces_of, take_lists
 from millrace.llm.words import text_buffers
 from millrace.session import settle
@@ -304,7 +304,7 @@ def align_documents(
     docs: DataFrame, a_path: str, b_path: str, text: str = "text", doc_id: str = "doc_id", part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Per document: tokens of both sides, groups, links, how many of them are their B id's commonest, their counts' sum, a digest of the groups."""
-    aligned = settle(_plain(docs, text, doc_id).mapInArrow(_align(a_path, b_path, part_bytes), ALIGNED), "aligned")
+    aligned = settle(_plain(docs, text, doc_id).mapInArrow(lean(_align(a_path, b_path, part_bytes)), ALIGNED), "aligned")
     lists = aligned.filter("pairs is not null").select("part", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "x"))
     sent = lists.select("part", "place", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     totals = sent.groupBy("pair").agg(F.sum("times").alias("n"))
@@ -341,4 +341,4 @@ def _groups(a_path: str, b_path: str, slice_bytes: int):
 
 def aligned_groups(docs: DataFrame, a_path: str, b_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per document: the ids of both sides, and for each group how many tokens of A and of B end with it or before."""
-    return _plain(docs, text, doc_id).mapInArrow(_groups(a_path, b_path, PART_BYTES), GROUPS)
+    return _plain(docs, text, doc_id).mapInArrow(lean(_groups(a_path, b_path, PART_BYTES)), GROUPS)

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.arrow import lean
 from millrace.llm.words import ALNUM, Words, words_of
 
 SHORT_WORD = 3
@@ -322,4 +323,4 @@ def scan_licenses(
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (text, *MADE.fieldNames())]
     schema = T.StructType([*(docs.schema[c] for c in carry), *MADE])
-    return docs.select(F.col(text).alias("__text"), *carry).mapInArrow(_scan(tuple(notices), len(carry)), schema)
+    return docs.select(F.col(text).alias("__text"), *carry).mapInArrow(lean(_scan(tuple(notices), len(carry))), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import text_slices
+from millrace.llm.arrow import lean, text_slices
 from millrace.llm.tokens import encoder, with_end
 from millrace.session import new_path
 
@@ -61,7 +61,7 @@ def write_ids(
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", F.xxhash64("text")]  # texts of one id stand in a fixed order, and in several ranges if they are many
     ordered = plain.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    rows = ordered.mapInArrow(_encode(vocabulary, end_id), ROWS).withColumn("part", F.spark_partition_id())
+    rows = ordered.mapInArrow(lean(_encode(vocabulary, end_id)), ROWS).withColumn("part", F.spark_partition_id())
     options = {
         "orc.stripe.size": STRIPE_BYTES, "orc.create.index": "true", "orc.row.index.stride": ROW_STRIDE,
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "lz4",
@@ -100,7 +100,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
         start += totals[part]
     bases = spark.createDataFrame(base, "part int, base long")
     read = rows.select("doc_id", "part", "place", "ids")
-    checked = read.mapInArrow(_check, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    checked = read.mapInArrow(lean(_check), "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     return checked.join(F.broadcast(bases), "part").select(
         "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import fields_of, text_slices
+from millrace.llm.arrow import fields_of, lean, text_slices
 from millrace.llm.tokens import encoder, packed_lists, with_end
 from millrace.session import settle
 
@@ -140,7 +140,7 @@ def pack(
     """One row per piece of a document: where it lies in the document and in which sequence, and its ids."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    coded = plain.mapInArrow(_encode(vocabulary, end_id), CODED).withColumn("uid", F.monotonically_increasing_id())
+    coded = plain.mapInArrow(lean(_encode(vocabulary, end_id)), CODED).withColumn("uid", F.monotonically_increasing_id())
     coded = settle(coded, "coded")
     axes = [f"x{d}" for d in range(DIMENSIONS)]
     spread = coded.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.avg, F.stddev_pop) for c in axes]).first()
@@ -152,7 +152,7 @@ def pack(
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "doc_id", "uid"]
     placed = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("uid", "n_tokens")
-    placed = placed.mapInArrow(_places, "uid long, n long, place long").withColumn("part", F.spark_partition_id())
+    placed = placed.mapInArrow(lean(_places), "uid long, n long, place long").withColumn("part", F.spark_partition_id())
     placed = settle(placed, "places")
     totals = dict(placed.groupBy("part").agg(F.sum("n")).collect())  # one number for each range
     base, start = [], 0
@@ -163,4 +163,4 @@ def pack(
     at = placed.join(F.broadcast(bases), "part").select("uid", (F.col("base") + F.col("place")).alias("at"))
     kind = encoder(vocabulary).type.str
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return coded.select("uid", "doc_id", "ids").join(at, "uid").select("doc_id", "at", "ids").mapInArrow(_cut(length, kind, with_ids), schema)
+    return coded.select("uid", "doc_id", "ids").join(at, "uid").select("doc_id", "at", "ids").mapInArrow(lean(_cut(length, kind, with_ids)), schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.arrow import lean
 from millrace.llm.words import NOT_SPACE, Words, mix, words_of
 
 MAX_ROWS = 4_000
@@ -205,7 +206,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in rows.schema.fields if f.name != "__text"]
     schema = type(rows.schema)(fields).add("score", "double")
-    return rows.mapInArrow(_scores(sent), schema)
+    return rows.mapInArrow(lean(_scores(sent)), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.llm.arrow import table_of
+from millrace.llm.arrow import lean_cogroup, lean_group, table_of
 from millrace.llm.words import NOT_SPACE, Words, join_words, mix, words_of
 from millrace.session import settle
 
@@ -264,16 +264,16 @@ def remove_repeats(
     table, shard_bits = _stage(docs, text, doc_id, carry, part_bytes, shard_bytes)
     parts = spark.table(table)
     read = parts.select("__part", "__id", "__text")
-    asked = read.groupBy("__part").applyInArrow(_sketch(shard_bits, width), ASKED)
-    met = settle(asked.groupBy("shard").applyInArrow(_merge, ANSWER), "met-twice")
-    sent = read.groupBy("__part").cogroup(met.groupBy("part")).applyInArrow(_candidates(shard_bits, width), CANDIDATES)
-    judged = settle(sent.groupBy("shard").applyInArrow(_exact, ANSWER), "smaller-elsewhere")
+    asked = read.groupBy("__part").applyInArrow(lean_group(_sketch(shard_bits, width)), ASKED)
+    met = settle(asked.groupBy("shard").applyInArrow(lean_group(_merge), ANSWER), "met-twice")
+    sent = read.groupBy("__part").cogroup(met.groupBy("part")).applyInArrow(lean_cogroup(_candidates(shard_bits, width)), CANDIDATES)
+    judged = settle(sent.groupBy("shard").applyInArrow(lean_group(_exact), ANSWER), "smaller-elsewhere")
     schema = T.StructType(
         [T.StructField("__made_text", T.StringType()) if c == text else docs.schema[c] for c in docs.columns if c in (text, *carry)]
         + [T.StructField(f"__made_{c}", T.LongType()) for c in ("n_words", "n_removed")]
     )
     out = parts.groupBy("__part").cogroup(met.unionAll(judged).groupBy("part"))
-    out = out.applyInArrow(_remove(shard_bits, width, to_arrow_schema(schema), keep_layout), schema)
+    out = out.applyInArrow(lean_cogroup(_remove(shard_bits, width, to_arrow_schema(schema), keep_layout)), schema)
     return out.withColumnsRenamed({"__made_text": text, "__made_n_words": "n_words", "__made_n_removed": "n_removed"})
 
 
