@@ -176,9 +176,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def _hub_pairs(state: DataFrame) -> DataFrame:
-    """Members of buckets that are in pieces, each with its bucket's hub (the least node)."""
+    """Members of buckets that are in pieces, each with its bucket's hub (the set of the least document)."""
     hubs = state.groupBy("bucket").agg(
-        F.min_by(F.struct("node", "n", "component"), "node").alias("hub"),
+        F.min_by(F.struct("node", "n", "component"), F.struct("least_id", "node")).alias("hub"),
         F.min("component").alias("low"), F.max("component").alias("high"),
     ).filter("low <> high").select("bucket", "hub")
     return state.join(hubs, "bucket").filter("component <> hub.component").select(
@@ -265,9 +265,9 @@ def near_links(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width:
         ).withColumn("node", F.col("first.uid")),
         "nodes",
     )
-    spread = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
+    spread = nodes.select("node", "least_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    buckets = settle(spread.join(shared, "bucket").select("bucket", "band", "node", "n"), "buckets")
+    buckets = settle(spread.join(shared, "bucket").select("bucket", "band", "node", "least_id", "n"), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.t")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
     texts = texts.join(wanted, ["doc_id", "t"]).select("node", "text")
@@ -277,7 +277,7 @@ def near_links(docs: DataFrame, marks: DataFrame, text: str, doc_id: str, width:
     tested = spark.createDataFrame([], "a long, b long")
     for turn in range(HUB_ROUNDS + 1):
         state = (buckets if turn else buckets.filter(F.col("band") < FIRST_BANDS)).join(found, "node", "left")
-        state = state.select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+        state = state.select("bucket", "node", "least_id", "n", F.coalesce("component", "node").alias("component"))
         pairs = _hub_pairs(state) if turn < HUB_ROUNDS else _rest_pairs(state, sets, least)
         pairs = pairs.filter((100 * F.least("n", "m") >= least * F.greatest("n", "m")) & (F.col("a") != F.col("b")))
         pairs = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
