@@ -87,6 +87,21 @@ def test_summary_matches_brute_force(spark, monkeypatch, share, most):
     assert got == brute_summary(DOCS, 2)
 
 
+@pytest.mark.parametrize("most", [500_000, 2])
+def test_summary_scores_documents_in_the_row(spark, monkeypatch, most):
+    """Only ids of several rows have their words written and grouped; common and rare words together, a null id."""
+    monkeypatch.setattr(summary, "MAX_HOT", most)
+    written, settle = [], summary.settle
+    monkeypatch.setattr(summary, "settle", lambda df, label: written.append(label) or settle(df, label))
+    df = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.summary for r in summary.extractive_summary(df, 2).collect()} == brute_summary(DOCS, 2)
+    assert "document-words" not in written
+    more = spark.createDataFrame([*DOCS, (2, "a bird"), (None, "the lost cat")], "doc_id long, text string")
+    got = [(r.doc_id, r.n_lines, r.summary) for r in summary.extractive_summary(more, 2).collect()]
+    assert len(got) == 9 and (None, 0, "") in got and sorted(g[1] for g in got if g[0] == 2) == [2, 2]
+    assert "document-words" in written
+
+
 def brute_free_summary(text, max_words):
     """Weights and means worked out anew for every choice."""
     found = [x.strip() for line in (text or "").split("\n") for x in re.split(r"(?<=[.!?])(?=\s)", line)]
