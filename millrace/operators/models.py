@@ -28,6 +28,7 @@ from millrace.session import durable_path, settle
 SEED = 9125
 PRIOR_ROWS = 10.0  # rows of the overall mean that a level's mean is mixed with
 FOLDS = 5
+ROWS_A_PART = 400_000  # feature rows that a learner's task holds, about 0.2 KB each
 WORD = r"[\p{L}\p{N}]+"
 TEMPLATES = [
     ("linear", "Linear template", "One linear model on encoded classes", ["linear"]),
@@ -170,6 +171,19 @@ def project_from_table(
     return create_project(df, name, template, table, target, classes, numbers, key or plain, **options)
 
 
+def dealt(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Stored rows in as many parts as their number asks for, ``most`` rows in each.
+
+    Features of few values shrink to some bytes a row in a file, and files are
+    cut by bytes; what a learner keeps of a row is many times that. A small
+    table stays in the parts it is read in.
+    """
+    parts = -(-rows.count() // (most or ROWS_A_PART))
+    if parts <= rows.rdd.getNumPartitions():
+        return rows
+    return rows.withColumn("__slot", F.monotonically_increasing_id()).repartition(parts, "__slot").drop("__slot")
+
+
 def create_project(
     df: DataFrame,
     name: str,
@@ -199,7 +213,7 @@ def create_project(
     prepared = PipelineModel(stages=stages).transform(rows).select("features", "label", "train")
     # even parts of a bounded size, as many as there are cores at least: every iteration runs over them
     ready = settle(prepared.hint("rebalance"), "features")
-    train, check = ready.filter("train"), ready.filter("not train")
+    train, check = dealt(ready.filter("train")), ready.filter("not train")
     if binary:
         judge = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
     else:

@@ -157,6 +157,28 @@ def test_templates_and_project(spark):
         models.create_project(df, "p", "none", "lib.t", "y", ["c"], [], ["k"])
 
 
+def test_learners_get_parts_of_bounded_rows(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], float(i % 5)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, c string, y double")
+    seen, learner = [], models._learner
+
+    class Spy:
+        def __init__(self, *args):
+            self.inner = learner(*args)
+
+        def fit(self, train):
+            seen.append(train.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+            return self.inner.fit(train)
+
+    monkeypatch.setattr(models, "_learner", Spy)
+    small = models.create_project(df, "p", "linear", "lib.t", "y", ["c"], [], ["k"])
+    monkeypatch.setattr(models, "ROWS_A_PART", 100)
+    large = models.create_project(df, "p", "linear", "lib.t", "y", ["c"], [], ["k"])
+    assert sum(seen[0]) == sum(seen[1]) and len(seen[0]) < 10
+    assert len(seen[1]) == -(-sum(seen[1]) // 100) and max(seen[1]) < 200
+    assert small.results[0][1] == pytest.approx(large.results[0][1])
+
+
 def test_binary_project(spark):
     rows = [(i, "ab"[i % 2], float(i % 2)) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, c string, y double")
