@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
@@ -22,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.rules import column_roles
+from millrace.operators.common import least_common
 from millrace.operators.levels import unpivot
 from millrace.session import durable_path, settle
 
 SEED = 9125
 PRIOR_ROWS = 10.0  # rows of the overall mean that a level's mean is mixed with
 FOLDS = 5
+MAX_HOT = 500_000  # words whose weights are sent to every task
 ROWS_A_PART = 400_000  # feature rows that a learner's task holds, about 0.2 KB each
 WORD = r"[\p{L}\p{N}]+"
 TEMPLATES = [
@@ -247,25 +250,40 @@ def _words(text: str) -> Column:
 
 
 def fit_text_classifier(texts: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
-    """Multinomial naive Bayes on words, labels 0 and 1: a table (word, weight), the prior under the null word.
+    """Multinomial naive Bayes on words, labels 0 and 1: a table (word, weight, n), the prior under the null word.
 
     Every word keeps a weight of its own, the logarithm of its smoothed share
-    in texts of label 1 over that in texts of label 0. One grouped pass;
-    texts without a label are left out.
+    in texts of label 1 over that in texts of label 0; ``n`` is how often it
+    was met. One grouped pass; texts without a label are left out.
     """
     one, zero = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     counts = settle(texts.select(label, _words(text)).groupBy("word").agg(one.alias("one"), zero.alias("zero")).filter("one + zero > 0"), "word-counts")
     total = counts.agg(F.coalesce(F.sum("one"), F.lit(0)).alias("one"), F.coalesce(F.sum("zero"), F.lit(0)).alias("zero"), F.count("*").alias("n")).first()
     share = F.log((F.col("one") + 1.0) / (total.one + total.n)) - F.log((F.col("zero") + 1.0) / (total.zero + total.n))
     prior = texts.agg(F.log((one + 1.0) / (zero + 1.0)).alias("weight"))
-    return counts.select("word", share.alias("weight")).unionByName(prior.select(F.lit(None).cast("string").alias("word"), "weight"))
+    weights = counts.select("word", share.alias("weight"), (F.col("one") + F.col("zero")).alias("n"))
+    return weights.unionByName(prior.select(F.lit(None).cast("string").alias("word"), "weight", F.lit(None).cast("long").alias("n")))
 
 
 def classify(texts: DataFrame, weights: DataFrame, key: str, names: Sequence[str] = ("negative", "positive"), text: str = "text") -> DataFrame:
-    """Label and its probability for every text, in batch; ``key`` tells texts apart. A text without known words gets the prior's."""
+    """Label and its probability for every text, in batch; ``key`` tells texts apart. A text without known words gets the prior's.
+
+    The weights of the commonest ``MAX_HOT`` words are sent to the tasks, which
+    add them up where a text lies; only other words are looked up by shuffle.
+    """
     prior = weights.filter("word is null").first().weight
-    counted = texts.select(key, _words(text)).groupBy(key, "word").agg(F.count("*").alias("n"))
-    sums = counted.join(weights, "word").groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias("__sum"))
+    known, words = weights.filter("word is not null"), texts.select(key, _words(text))
+    met = []
+    if known.count() <= MAX_HOT:
+        met.append(words.join(F.broadcast(known.select("word", "weight")), "word"))
+    else:
+        if "n" not in known.columns:
+            known = settle(known.join(words.groupBy("word").agg(F.count("*").alias("n")), "word"), "word-weights")
+        least = least_common(known, "n", 1, MAX_HOT)
+        hot = F.broadcast(known.filter(F.col("n") >= least).select("word", "weight"))
+        rare = known.filter(F.col("n") < least).select("word", "weight")
+        met += [words.join(hot, "word"), words.join(hot, "word", "left_anti").join(rare, "word")]
+    sums = reduce(DataFrame.unionAll, [m.select(key, "weight") for m in met]).groupBy(key).agg(F.sum("weight").alias("__sum"))
     odds = F.round(F.coalesce("__sum", F.lit(0.0)) + F.lit(prior), 9)  # a tie is one whatever the order of summation
     return texts.select(key).join(sums, key, "left").select(
         key,

@@ -13,10 +13,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.common import least_common
 from millrace.session import settle
 
 WORD = r"[\p{L}\p{N}]+"
-HOT_SHARE = 100_000
+HOT_SHARE = 100_000  # a common word stands in at least one document of so many
 MAX_HOT = 500_000  # words that may be broadcast
 ROWS = 1_000  # documents scored at once
 
@@ -55,21 +56,6 @@ def distinct_words(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(*rest, F.explode(F.array_distinct(F.flatten(line_words(text)))).alias("word"))
 
 
-def least_hot(frequency: DataFrame, n_documents: int) -> int:
-    """The document frequency from which words are broadcast.
-
-    At least one in ``HOT_SHARE`` documents, and doubled until no more than
-    ``MAX_HOT`` words are left; one pass over the vocabulary.
-    """
-    least = max(n_documents // HOT_SHARE, 1)
-    doubled = F.length(F.bin(F.floor(F.col("df") / least)))
-    sizes = {r.turn: r.n for r in frequency.filter(F.col("df") >= least).groupBy(doubled.alias("turn")).agg(F.count("*").alias("n")).collect()}
-    turn = 1
-    while sum(n for t, n in sizes.items() if t >= turn) > MAX_HOT:
-        turn += 1
-    return least * 2 ** (turn - 1)
-
-
 def with_frequency(words: DataFrame, frequency: DataFrame, least: int) -> DataFrame:
     """Join the words of documents with their document frequency.
 
@@ -188,7 +174,7 @@ def extractive_summary(
     if words is not None:
         frequency = frequency.unionByName(document_frequency(words)).groupBy("word").agg(F.sum("df").alias("df"))
     frequency = settle(frequency, "word-frequency")
-    least = least_hot(frequency, n_documents)
+    least = least_common(frequency, "df", n_documents // HOT_SHARE, MAX_HOT)
     chosen = _best_in_row(once, frequency, least, n_documents, n_lines, doc_id, text)
     if words is not None:
         chosen = chosen.unionByName(_best_of_rows(shared, words, frequency, least, n_documents, n_lines, doc_id, text))

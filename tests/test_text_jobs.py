@@ -242,6 +242,29 @@ def test_text_classifier_by_hand(spark):
     assert models.classify(df, nothing, "i").count() == 6
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_classify_shuffles_no_common_word(spark, monkeypatch, counted):
+    """All weights sent to the tasks, or only the commonest; texts that share a key count together."""
+    rows = [(i, f"the w{i % 9} w{i % 4} the", i % 2) for i in range(40)] + [(7, "w1 new", None), (None, "the w2", 1), (90, None, None)]
+    df = spark.createDataFrame(rows, "i int, text string, label int")
+    weights = models.fit_text_classifier(df)
+    weight = {r.word: r.weight for r in weights.collect()}
+    table = weights if counted else weights.select("word", "weight")
+    sums = Counter()
+    for i, text, _ in rows:
+        sums[i] += sum(weight.get(w, 0) for w in (text or "").split())
+    want = []
+    for i, _, _ in rows:
+        odds = weight[None] + (sums[i] if i is not None else 0)
+        want.append((i, "positive" if round(odds, 9) >= 0 else "negative", round(1 / (1 + math.exp(-abs(odds))), 6)))
+    for most in (500_000, 3):
+        monkeypatch.setattr(models, "MAX_HOT", most)
+        found = models.classify(df, table, "i")
+        assert sorted(map(str, ((r.i, r.label, round(r.score, 6)) for r in found.collect()))) == sorted(map(str, want))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [i#" in plan and not re.search(r"Aggregate \[i#\d+, word#", plan)
+
+
 def test_project_from_a_table_name(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], float(i % 2), f"free text {i}", [i]) for i in range(200)], "k int, c string, y double, t string, a array<int>")
     df.createOrReplaceTempView("lines_of_project")
