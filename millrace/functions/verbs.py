@@ -7,7 +7,7 @@ count only in texts without one of rank 1.
 
 Two ways, same result: with the lexicon in the expression everything stays in
 the row, and a word costs a few hash lookups; with the lexicon as a table, of
-any size, words are joined to it, and only what is found is grouped.
+any size, distinct words are joined to it, and only what is found is grouped.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import settle
+
 SMALL_LEXICON = 100_000  # base forms that are sent to every task
 
 # Base forms known without a table. Rare verbs belong in a lexicon table.
@@ -107,22 +109,27 @@ def text_verbs(
 ) -> DataFrame:
     """First and second verb of each text, and how many it has, with the base forms in a table.
 
-    ``words``: an array of words in small letters. Each word's candidates are
-    joined to the lexicon by hash (sent to every task if it has at most
-    ``SMALL_LEXICON`` rows, else by shuffle, where a frequent word is split by
-    AQE). A text without verbs, a null text and a row without key have nulls
-    and 0. The key tells texts apart.
+    ``words``: an array of words in small letters. Candidates are made once for
+    each distinct word and joined to the lexicon by hash (sent to every task if
+    it has at most ``SMALL_LEXICON`` rows); the words that are verbs are then
+    looked up in the texts (likewise, else by shuffle, where a frequent word is
+    split by AQE). A text without verbs, a null text and a row without key have
+    nulls and 0. The key tells texts apart.
     """
     irregular = irregular_forms() if irregular is None else irregular
     word = F.col("word")
-    rows = texts.select(F.col(key).alias("__key"), F.posexplode(words).alias("place", "word")).filter(F.length("word") > 1)
     options = [F.struct(F.lit(1).alias("rank"), F.lit(0).alias("turn"), _irregular(word, irregular).alias("form"))] if irregular else []
     for rank, columns in candidates(word):
         options += [F.struct(F.lit(rank).alias("rank"), F.lit(i + 1).alias("turn"), c.alias("form")) for i, c in enumerate(columns)]
-    asked = rows.select("__key", "place", F.explode(F.filter(F.array(*options), lambda o: o["form"].isNotNull())).alias("o"))
+    vocabulary = texts.select(F.explode(words).alias("word")).filter(F.length("word") > 1).distinct()
+    asked = vocabulary.select("word", F.explode(F.filter(F.array(*options), lambda o: o["form"].isNotNull())).alias("o"))
     known = lexicon.select(F.col(base).alias("__base")).filter("__base is not null").distinct()
     known = F.broadcast(known) if lexicon.limit(SMALL_LEXICON + 1).count() <= SMALL_LEXICON else known
-    hits = asked.join(known, F.col("o.form") == F.col("__base")).select("__key", "place", "o.*")
+    of_word = asked.join(known, F.col("o.form") == F.col("__base")).groupBy("word").agg(F.min("o").alias("o"))  # its best candidate
+    verbs = settle(of_word.select("word", "o.*"), "verb-forms")
+    verbs = F.broadcast(verbs) if verbs.count() <= SMALL_LEXICON else verbs
+    rows = texts.select(F.col(key).alias("__key"), F.posexplode(words).alias("place", "word"))
+    hits = rows.join(verbs, "word").select("__key", "place", "rank", "turn", "form")
     # all that is found of a text comes together once: a few entries for each of its verbs
     listed = hits.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("place", "rank", "turn", "form"))).alias("__hits"))
     earlier = F.filter("__hits", lambda h, i: (i == 0) | (F.get("__hits", i - 1)["place"] != h["place"]))  # a word's best candidate

@@ -3,7 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.functions import verbs
 from millrace.operators import conversation, models, summary
 from millrace.plans import queries
 
@@ -265,6 +267,24 @@ def test_classify_shuffles_no_common_word(spark, monkeypatch, counted):
         assert "Aggregate [i#" in plan and not re.search(r"Aggregate \[i#\d+, word#", plan)
 
 
+def test_verbs_are_looked_up_by_distinct_words(spark, monkeypatch):
+    written, settle = [], verbs.settle
+    monkeypatch.setattr(verbs, "settle", lambda df, label: written.append(settle(df, label)) or written[-1])
+    rows = [(i, "he was lifting and lifted the lifts then fell ended") for i in range(50)] + [(3, "run and cut"), (None, "ran"), (60, None), (61, "none")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    lexicon = spark.createDataFrame([("lift",), ("fall",), ("run",), ("cut",), (None,), ("lift",)], "base string")
+    found = []
+    for small in (100_000, 0):
+        monkeypatch.setattr(verbs, "SMALL_LEXICON", small)
+        got = verbs.text_verbs(df, "k", F.split("t", " "), lexicon, {"fell": "fall", "ran": "run"}).collect()
+        found.append(sorted(str((r.k, r.verb, r.second_verb, r.n_verbs)) for r in got))
+    assert found[0] == found[1] and len(found[0]) == 54 and "(None, None, None, 0)" in found[0] and "(61, None, None, 0)" in found[0]
+    assert found[0].count("(1, 'lift', 'lift', 3)") == 1 and found[0].count("(3, 'lift', 'lift', 3)") == 2
+    assert {r.word: (r.rank, r.form) for r in written[0].collect()} == {
+        "lifting": (1, "lift"), "lifted": (1, "lift"), "lifts": (2, "lift"), "fell": (1, "fall"), "run": (2, "run"), "cut": (2, "cut"), "ran": (1, "run"),
+    }
+
+
 def test_project_from_a_table_name(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], float(i % 2), f"free text {i}", [i]) for i in range(200)], "k int, c string, y double, t string, a array<int>")
     df.createOrReplaceTempView("lines_of_project")
