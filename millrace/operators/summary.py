@@ -18,8 +18,8 @@ from millrace.session import settle
 
 WORD = r"[\p{L}\p{N}]+"
 HOT_SHARE = 100_000  # a common word stands in at least one document of so many
-MAX_HOT = 500_000  # words that may be broadcast
-ROWS = 1_000  # documents scored at once
+MAX_HOT = 200_000  # words that may be broadcast
+ROWS = 250  # documents scored at once
 
 
 def line_words(text: str) -> Column:
@@ -103,6 +103,7 @@ def _score(hot: Broadcast, n_documents: int):
             means = pa.array(sums / np.maximum(n_words, 1), pa.float64(), mask=n_words == 0)
             made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_lines)]), pa.int32()), means)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), made], names=[*rows.schema.names[:2], "scores"])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return score
 
