@@ -116,22 +116,24 @@ def cell_sums(numbered: DataFrame, cells: int, trees: int, seed: int) -> DataFra
     names = ["n", "s", *[f"{k}{t}" for t in range(trees) for k in "ns"]]
     chunk, piece = CHUNK, SLICE
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held, n = [], 0
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held = []
         for batch in batches:
             held.append(batch)
-            n += batch.num_rows
-            if n >= chunk:
-                yield tuple(np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1))
-                held, n = [], 0
-        if n:
-            yield tuple(np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1))
+            if sum(b.num_rows for b in held) >= chunk:
+                yield columns_of(held)
+                held = []
+        if held:
+            yield columns_of(held)
+
+    def columns_of(held: list[pa.RecordBatch]) -> list[np.ndarray]:
+        return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng([seed, TaskContext.get().partitionId()])
         counts = sums = None
         for cell, label in chunks(batches):
-            if counts is None:
+            if counts is None:  # a task without rows needs none
                 counts, sums = np.zeros((trees + 1, cells), np.uint32), np.zeros((trees + 1, cells))
             for t in range(trees + 1):
                 drawn = random.poisson(1.0, len(cell)) if t else np.ones(len(cell))
