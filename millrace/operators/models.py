@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import keyword_only
-from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark import SparkContext, keyword_only
+from pyspark.ml import Model, PipelineModel, Transformer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param.shared import Param, Params, TypeConverters
@@ -60,6 +60,13 @@ def _learner(kind: str, binary: bool):
     return make(maxIter=10, maxDepth=4, seed=SEED, **common)
 
 
+def _without_summary(model: Model) -> Model:
+    """A classifier without its training summary, which holds the session; tasks cannot be sent one that has observed a query."""
+    if isinstance(model, LogisticRegressionModel) and model.hasSummary:
+        model._java_obj.setSummary(SparkContext.getOrCreate()._jvm.scala.Option.empty())
+    return model
+
+
 class LevelMeans(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Class columns as numbers: the mean target of a row's level, from a table of all levels.
 
@@ -244,7 +251,7 @@ def create_project(
             model = learner.fit(_learner(kind, binary))
             tried.append((kind, learner.rmse(model), [*means, *bins.stages(), model]))
         else:
-            model = _learner(kind, binary).fit(train)
+            model = _without_summary(_learner(kind, binary).fit(train))
             tried.append((kind, judge.evaluate(model.transform(check)), [*stages, model]))
     tried.sort(key=lambda t: -t[1] if judge.isLargerBetter() else t[1])
     champion = PipelineModel(stages=tried[0][2])
